@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -45,6 +46,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def publish(spark: SparkSession, name: str, data: bytes) -> str:
+    """Put ``data`` in the shared folder and have every executor fetch it; returns the name for ``SparkFiles.get``.
+
+    Executors that join later fetch it too.  The caller checks the size.
+    """
+    name = f"{name}-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/files/{name}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        out = system.create(target)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+    spark.sparkContext.addFile(target.toString())
+    return name
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
