@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, lm_score, mixing, quality, secret_scan, simhash, spans, url_filter
+from . import decontaminate, language_id, license_scan, lm_score, mixing, pii, quality, secret_scan, simhash, spans, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -28,6 +33,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, key = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(F.col(key), lambda s: s["kind"].isin(*pii.KINDS))
+    return found.select(
+        "doc_id", *[spans.count_kind(F.col(key), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(spans.told(base), 256).alias("base_sha256"), spans.told(F.col(key)).alias("spans"), spans.count_kind(F.col(key), "term").alias("n_term"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     train = docs.where(~language_id.held_out(F.col("doc_id"))).select("text", "lang")
@@ -61,7 +75,9 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op6_url_filter": op6_url_filter,

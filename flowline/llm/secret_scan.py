@@ -123,4 +123,4 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = T
 def redact(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with every secret in the text replaced by ``[SECRET]``; columns are as given."""
     found, key = scan(docs, text_col=text_col, **how)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col(key), lambda kind: F.lit("[SECRET]"))).drop(key)
+    return found.withColumn(text_col, redacted(F.col(text_col), F.col(key), lambda s: F.lit("[SECRET]"))).drop(key)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected, forest
-from .shared import fresh, materialise
+from .shared import drop_documents, materialise
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -203,3 +203,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def hex_fingerprint(column: Column) -> Column:
     """16 lower-case hex digits of a fingerprint held as a signed long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns are as given.
+
+    Rows that share an id are one document: if the kept ids repeat, one row of each stays.  Rows without an id stay.
+    """
+    near = materialise(near_duplicates(docs, radius).select("doc_id", "component_id"), "near")
+    kept = drop_documents(docs, near.where("doc_id <> component_id").select("doc_id"))
+    ids = near.where("doc_id = component_id").select("doc_id")
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -60,13 +60,13 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """``text`` with every span replaced by ``mark(kind)``; a span that begins inside an earlier one only extends its cut."""
+    """``text`` with every span replaced by ``mark(span)``; a span that begins inside an earlier one only extends its cut."""
     done = F.aggregate(
         ordered(spans),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), mark(s["kind"])))).otherwise(acc["parts"]).alias("parts"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), mark(s)))).otherwise(acc["parts"]).alias("parts"),
         ),
     )
     return F.when(F.size(spans) > 0, F.concat(F.array_join(done["parts"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text)
