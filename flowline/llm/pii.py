@@ -39,7 +39,7 @@ def _digits(m: Column) -> Column:
 
 def is_ip(m: Column) -> Column:
     """No part above 255, leading zeros aside."""
-    return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+    return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
 
 
 def is_card(m: Column) -> Column:

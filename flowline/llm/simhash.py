@@ -97,7 +97,7 @@ def _by_syndrome(masks: np.ndarray, columns: np.ndarray, bits: int) -> dict[int,
     return {int(keys[g[0]]): masks[g] for g in np.split(order, cuts)}
 
 
-def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray) -> np.ndarray:
+def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int) -> np.ndarray:
     """Links (pairs of fingerprints, a spanning forest) that meet in a bucket, in slices of bounded size."""
     fps = np.unique(fps)
     columns, second = _columns(1), _columns(2)
@@ -125,15 +125,18 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray) ->
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
         same = np.flatnonzero(v[1:] == v[:-1])
-        pairs = np.stack([o[same], o[same + 1]], 1)
+        pairs = np.unique(np.stack([o[same], o[same + 1]], 1), axis=0)
+        # two that share a variant differ in twice half the radius at most; a wrong link would join whole components
+        pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
         links = forest(np.concatenate([links, pairs]))
     return fps[links.reshape(-1)].reshape(-1, 2)
 
 
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``fp`` at most ``radius`` bits apart, enough to span every component.
+    """Links (u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits.
 
-    ``fps`` has one row per distinct fingerprint.
+    Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
+    component but need not be neighbours themselves.  ``fps`` has one row per distinct fingerprint.
     """
     half = radius // 2
     if radius != 2 * half:
@@ -174,7 +177,7 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks).view(np.int64)
+        found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks, radius).view(np.int64)
         return pa.table({"u": found[:, 0], "v": found[:, 1]})
 
     return fps.select("fp").mapInArrow(deal, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet, "u long, v long")

@@ -143,7 +143,8 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     distinct = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.array_distinct(F.flatten(F.array(*[F.when(F.length("path") >= d, F.transform(names, lambda n, d=d: F.concat(n, F.substring("path", 1, d)))).otherwise(F.array().cast("array<string>")) for d in depths])))
+    under = lambda d: F.transform(names, lambda n: F.concat(n, F.substring("path", 1, d)))
+    keys = F.array_distinct(F.flatten(F.array(*[F.when(F.length("path") >= d, under(d)).otherwise(F.array().cast("array<string>")) for d in depths])))
     probes = distinct.select("url", F.explode(keys).alias("rule"))
     known = rules.select(F.concat("host", "path").alias("rule"), "verdict").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     best = probes.join(known, "rule").groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("best"))
