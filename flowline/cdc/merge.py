@@ -6,7 +6,7 @@ visible to that scan (xid >= xmin): at least once, never lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.numbering import interval_lookup
 from .wal import DELETE, READ
@@ -95,6 +95,6 @@ def apply(events: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the greatest ``order`` of each key, as an upsert leaves it."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
+    """The row with the greatest ``order`` of each key, as an upsert leaves it; one row per key is kept in partial aggregates."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_row")).select(*keys, "_row.*")

@@ -346,7 +346,7 @@ def phase_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States saved by every event, one slot per user and the last one holding."""
     saved = _events(spark, sf_dir).select(F.concat(F.lit("slot-"), F.col("user_id").cast("string")).alias("slot"), F.col("event_id").alias("saved_at"), F.col("props").alias("state"))
-    return saved.groupBy("slot").agg(F.max("saved_at").alias("saved_at"), F.max_by("state", "saved_at").alias("state"))
+    return merge.latest(saved, ["slot"], "saved_at")
 
 
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
