@@ -122,9 +122,9 @@ UNION ALL SELECT 1, 'public.customer', c_custkey, CAST(floor((row_number() OVER
 r(range_id, low, high) AS (VALUES (0, NULL, 100), (1, 100, 500), (2, 500, NULL), (3, NULL, NULL)),
 i AS (SELECT range_id, pk IS NOT NULL AND (low IS NULL OR pk > low) AND (high IS NULL OR pk <= high) AS inside FROM k CROSS JOIN r)
 SELECT range_id, count(*) FILTER (WHERE inside) AS n_inside, count(*) FILTER (WHERE NOT inside) AS n_outside FROM i GROUP BY range_id""",
-    "merge_verdict": f"WITH {_MERGED} SELECT xid, pk, chunk_id, verdict FROM v",
+    "merge_verdict": f"WITH {_MERGED} SELECT xid, pk, coalesce(chunk_id, -1) AS chunk_id, verdict FROM v",
     "merge_in_progress": f"""WITH {_MERGED} SELECT CASE WHEN chunk_id IS NULL AND pk > 3999 AND pk <= 4999 THEN 'buffer' ELSE verdict END AS verdict, count(*) AS n FROM v GROUP BY 1""",
-    "merge_stream": f"WITH {_STREAM} SELECT * FROM s",
+    "merge_stream": f'WITH {_STREAM} SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM s',
     "merge_overflow": f"WITH {_CHUNKS}, {_LOG} SELECT xid, pk FROM w WHERE pk > (SELECT max(hi) FROM p WHERE chunk_id < 3)",
     "tx_assemble": f"""WITH {_LOG}, t AS (SELECT CAST(floor(lsn / 4) AS BIGINT) AS xid, lsn, op FROM w)
 SELECT xid, lsn, op, max(lsn) OVER (PARTITION BY xid) + 1 AS commit_lsn FROM t WHERE xid % 9 <> 8""",
@@ -134,13 +134,13 @@ FROM w WHERE lsn % 4 <> 3 GROUP BY 1""",
     "wal_decode_ops": f"""WITH {_LOG} SELECT op, op IN ('UPDATE', 'DELETE') AND xid % 2 = 0 AND value IS NOT NULL AS has_before, op IN ('INSERT', 'UPDATE') AND value IS NOT NULL AS has_after, count(*) AS n FROM w GROUP BY ALL""",
     "text_decode": """WITH t AS (
   SELECT event_id AS seq, event_id % 5 AS kind, event_id % 35 = 0 AS junk, user_id, ts, event_type FROM events)
-SELECT seq, CASE WHEN kind = 2 THEN user_id % 2 = 0 END AS b, CASE WHEN kind = 0 AND NOT junk THEN user_id END AS i,
-       CASE WHEN kind = 1 THEN user_id / 4.0::DOUBLE END AS f, CASE WHEN kind = 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts,
-       CASE WHEN junk THEN 'junk' WHEN kind = 4 THEN event_type END AS s FROM t""",
+SELECT seq, CASE WHEN kind <> 2 THEN '' WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS b, CASE WHEN kind = 0 AND NOT junk THEN user_id ELSE -1 END AS i,
+       CASE WHEN kind = 1 THEN user_id / 4.0::DOUBLE ELSE -1 END AS f, CASE WHEN kind = 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE '' END AS ts,
+       CASE WHEN junk THEN 'junk' WHEN kind = 4 THEN event_type ELSE '' END AS s FROM t""",
     "pk_codec": f"""WITH t AS (SELECT event_id AS seq, event_id % 4 AS k, {_DIGIT} AS d FROM events)
-SELECT seq, CASE k WHEN 0 THEN 'int' WHEN 3 THEN 'unset' ELSE 'uuid' END AS kind, CASE WHEN k = 0 THEN seq END AS pk_int,
-       CASE WHEN k IN (1, 2) THEN substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) END AS pk_uuid,
-       CASE WHEN k = 0 THEN seq + 1000 END AS next_int FROM t""",
+SELECT seq, CASE k WHEN 0 THEN 'int' WHEN 3 THEN 'unset' ELSE 'uuid' END AS kind, CASE WHEN k = 0 THEN seq ELSE -1 END AS pk_int,
+       CASE WHEN k IN (1, 2) THEN substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) ELSE '' END AS pk_uuid,
+       CASE WHEN k = 0 THEN seq + 1000 ELSE -1 END AS next_int FROM t""",
     "row_parse": "SELECT event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "qualify_split": """WITH t AS (
   SELECT CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'public' ELSE 'a' END AS s, CASE WHEN n_nationkey % 2 = 0 THEN 'x"y.' ELSE '' END || n_name AS name FROM nation),
@@ -152,7 +152,7 @@ SELECT qualified, CASE WHEN strpos(qualified, '.') > 0 THEN substr(qualified, 1,
     "chunk_ack_complete": f"WITH {_DONE} SELECT * FROM done",
     "snapshot_cursor": f"""WITH {_DONE},
 o AS (SELECT "table", max_by(hi, chunk_id) FILTER (WHERE chunk_id < coalesce((SELECT min(chunk_id) FROM done WHERE NOT complete), 9223372036854775807)) AS cursor FROM done GROUP BY "table")
-SELECT * FROM o UNION ALL SELECT 'public.customer', CAST(NULL AS BIGINT)""",
+SELECT "table", cursor IS NOT NULL AS is_set, coalesce(cursor, -1) AS cursor FROM o UNION ALL SELECT 'public.customer', false, -1""",
     "confirmed_lsn": f"WITH {_STREAM} SELECT greatest(10, max(lsn) FILTER (WHERE op <> 'READ')) AS confirmed_lsn FROM s WHERE pk % 2 = 0",
     "phase_state": f"""WITH {_DONE}
 SELECT "table", count(*) FILTER (WHERE NOT complete) AS pending, count(*) FILTER (WHERE complete) AS completed,
@@ -161,7 +161,7 @@ UNION ALL SELECT 'public.full', 0, count(*), 'streaming' FROM p""",
     "offset_latest": "SELECT 'slot-' || user_id AS slot, max(event_id) AS saved_at, max_by(props, event_id) AS state FROM events GROUP BY user_id",
     "apply_changes": f"""WITH {_CHUNKS}, {_LOG},
 e AS (SELECT "table", pk, 'READ' AS op, CAST(NULL AS BIGINT) AS lsn FROM c UNION ALL SELECT "table", pk, op, lsn FROM w)
-SELECT * FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY "table", pk ORDER BY coalesce(lsn, -1) DESC) = 1) WHERE op <> 'DELETE'""",
+SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY "table", pk ORDER BY coalesce(lsn, -1) DESC) = 1) WHERE op <> 'DELETE'""",
     "stream_outcomes": "SELECT CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1",
     "stream_resume": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY event_type",
 }

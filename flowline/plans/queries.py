@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..cdc import merge, offsets, snapshot, wal
 from ..functions import hashing, values
@@ -35,6 +35,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events")
 
 
+def _or(name: str, value: object) -> Column:
+    """A result column with a value instead of null, so that both engines' clients show the same type."""
+    return F.coalesce(name, F.lit(value)).alias(name)
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages: the type is the batcher (null for signups), every third message names a key of its own, and even ones of 10 fail none."""
     seq = F.col("event_id")
@@ -227,7 +232,7 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir)).select("xid", "pk", "chunk_id", "verdict")
+    return merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir)).select("xid", "pk", _or("chunk_id", -1), "verdict")
 
 
 def merge_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +242,7 @@ def merge_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _chunked(spark, sf_dir).where("chunk_id % 5 <> 4")
-    return merge.stream(reads, merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir)))
+    return merge.stream(reads, merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir))).withColumn("lsn", _or("lsn", -1))
 
 
 def merge_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +288,8 @@ def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = values.decode_text(F.col("text"), F.col("oid"))
     rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), oids.alias("oid"), text.alias("text"))
-    return rows.select("seq", d["b"].alias("b"), d["i"].alias("i"), d["f"].alias("f"), F.date_format(d["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), d["s"].alias("s"))
+    typed = rows.select("seq", d["b"].cast("string").alias("b"), d["i"].alias("i"), d["f"].alias("f"), F.date_format(d["ts"], "yyyy-MM-dd HH:mm:ss").alias("ts"), d["s"].alias("s"))
+    return typed.select("seq", _or("b", ""), _or("i", -1), _or("f", -1.0), _or("ts", ""), _or("s", ""))
 
 
 def _key_text():
@@ -295,7 +301,8 @@ def _key_text():
 def pk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key texts as int, uuid or unset, and the key a chunk of 1000 would reach."""
     keys = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), values.primary_key(_key_text()).alias("pk"))
-    return keys.select("seq", F.col("pk.kind").alias("kind"), F.col("pk.pk_int").alias("pk_int"), F.col("pk.pk_uuid").alias("pk_uuid"), values.next_key(F.col("pk"), 1000)["pk_int"].alias("next_int"))
+    coded = keys.select("seq", F.col("pk.kind").alias("kind"), F.col("pk.pk_int").alias("pk_int"), F.col("pk.pk_uuid").alias("pk_uuid"), values.next_key(F.col("pk"), 1000)["pk_int"].alias("next_int"))
+    return coded.select("seq", "kind", _or("pk_int", -1), _or("pk_uuid", ""), _or("next_int", -1))
 
 
 def row_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +337,7 @@ def snapshot_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = snapshot.chunks(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "public.customer")
     plan = chunk_plan(spark, sf_dir).unionByName(snapshot.plan(customer))
     acked = _acked(spark, sf_dir).select("table", "chunk_id").unionByName(customer.where("pk <> 3").select("table", "chunk_id"))
-    return offsets.cursors(offsets.completion(plan, acked))
+    return offsets.cursors(offsets.completion(plan, acked)).select("table", F.col("cursor").isNotNull().alias("is_set"), _or("cursor", -1))
 
 
 def confirmed_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +358,7 @@ def offset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _chunked(spark, sf_dir).select("table", "pk", F.lit(wal.READ).alias("op"), F.lit(None).cast("bigint").alias("lsn"))
-    return merge.apply(reads.unionByName(_log(spark, sf_dir).select("table", "pk", "op", "lsn")))
+    return merge.apply(reads.unionByName(_log(spark, sf_dir).select("table", "pk", "op", "lsn"))).withColumn("lsn", _or("lsn", -1))
 
 
 def _stream_log(spark: SparkSession, rows: DataFrame, parts: int = 3) -> tuple[DataFrame, str]:
