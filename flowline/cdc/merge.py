@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.values import in_range
 from ..operators.numbering import interval_lookup
 from .wal import DELETE, READ
 
@@ -49,25 +50,28 @@ def replay(changes: DataFrame, chunks: DataFrame, complete_at: int | None) -> Da
     A change that arrives after its range is scanned is judged at once.  One that arrives while a chunk whose
     estimated range holds it is read is buffered, then judged by the first chunk, from that one on, whose actual range holds it; without
     one it is emitted when the snapshot completes, else it waits.  Any other change before completion is discarded.
+
+    Chunks of a table have disjoint actual ranges, and one chunk is read at a time, so both look-ups are interval joins: the
+    chunk whose actual range holds the key, and the chunk that was being read when the change arrived.
     """
-    inside = lambda p, low, high: (low.isNull() | (p > low)) & (high.isNull() | (p <= high))
-    spans = chunks.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "low", "estimated", "high", "xmin"))).alias("_chunks"))
-    held = changes.join(spans, "table", "left").withColumn("_chunks", F.coalesce("_chunks", F.array()))
     pk, place = F.col("pk"), F.col("place")
-    done = F.get(F.filter("_chunks", lambda c: (c["end"] < place) & inside(pk, c["low"], c["high"])), 0)
-    open_ = F.get(F.filter("_chunks", lambda c: (c["begin"] < place) & (c["end"].isNull() | (place < c["end"])) & inside(pk, c["low"], c["estimated"])), 0)
-    later = F.get(F.filter("_chunks", lambda c: (c["begin"] >= F.col("_open")["begin"]) & c["end"].isNotNull() & inside(pk, c["low"], c["high"])), 0)
-    held = held.withColumn("_done", done).withColumn("_open", open_).withColumn("_later", later)
-    judge = lambda c: F.when(F.col("xid") >= c["xmin"], EMIT).otherwise(STALE)
+    ended = chunks.where(F.col("end").isNotNull()).select("table", "low", "high", F.col("begin").alias("_its_begin"), F.col("end").alias("_its_end"), F.col("xmin").alias("_its_xmin"))
+    read = chunks.select(F.lit(1).alias("_all"), F.col("begin").alias("_from"), (F.col("end") - 1).alias("_to"), F.col("table").alias("_now_table"), F.col("low").alias("_now_low"), F.col("estimated").alias("_now_high"))
+    read = read.withColumn("_now", F.struct("_now_table", "_now_low", "_now_high", F.col("_from").alias("begin")))
+    found = interval_lookup(changes, ended, "table", "pk", "low", "high", ["_its_begin", "_its_end", "_its_xmin"])
+    found = interval_lookup(found.withColumn("_all", F.lit(1)), read, "_all", "place", "_from", "_to", ["_now"])
+    now = F.col("_now")
+    buffered = now.isNotNull() & (now["_now_table"] == F.col("table")) & in_range(pk, now["_now_low"], now["_now_high"])
+    judged = F.when(F.col("xid") >= F.col("_its_xmin"), EMIT).otherwise(STALE)
     finished = F.lit(complete_at is not None)
     verdict = (
         F.when(finished & (place > F.lit(complete_at if complete_at is not None else 0)), EMIT)
-        .when(F.col("_done").isNotNull(), judge(F.col("_done")))
-        .when(F.col("_open").isNull(), UNSCANNED)
-        .when(F.col("_later").isNotNull(), judge(F.col("_later")))
+        .when(F.col("_its_end") < place, judged)
+        .when(~F.coalesce(buffered, F.lit(False)), UNSCANNED)
+        .when(F.col("_its_begin") >= now["begin"], judged)
         .otherwise(F.when(finished, EMIT).otherwise(BUFFER))
     )
-    return held.withColumn("verdict", verdict).drop("_chunks", "_done", "_open", "_later")
+    return found.withColumn("verdict", verdict).drop("_all", "_now", "_its_begin", "_its_end", "_its_xmin")
 
 
 def stream(reads: DataFrame, judged: DataFrame) -> DataFrame:

@@ -39,3 +39,17 @@ def phases(chunks: DataFrame, scan_done: bool) -> DataFrame:
     """(table, pending, completed, phase): a table streams when its scan is over and no chunk is pending."""
     counted = chunks.groupBy("table").agg(F.count_if(~F.col("complete")).alias("pending"), F.count_if(F.col("complete")).alias("completed"))
     return counted.withColumn("phase", F.when(F.lit(scan_done) & (F.col("pending") == 0), STREAMING).otherwise(SNAPSHOT))
+
+
+def state(slot: str, cursor: DataFrame, lsn: DataFrame, phase: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """(slot, state): a connector's state as JSON, from one table's cursor and phase and the confirmed lsn (SNK-2).
+
+    Scanned ranges, if given, are kept, so that a restart judges changes of scanned rows; there is one per chunk.
+    """
+    row = cursor.join(phase, "table").join(F.broadcast(lsn))
+    kept = F.array().cast("array<struct<table:string,low:bigint,high:bigint,xmin:bigint>>")
+    if scanned is not None:
+        row = row.join(scanned.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("table", "low", "high", "xmin"))).alias("_ranges")), "table", "left")
+        kept = F.coalesce("_ranges", kept)
+    fields = F.struct("phase", F.lit(slot).alias("slot_name"), "confirmed_lsn", F.col("table").alias("current_snapshot_table"), F.col("cursor").alias("snapshot_cursor"), kept.alias("scanned_pk_ranges"))
+    return row.select(F.lit(slot).alias("slot"), F.to_json(fields).alias("state"))

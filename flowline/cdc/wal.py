@@ -27,6 +27,11 @@ def decode(changes: DataFrame) -> DataFrame:
     return changes.withColumns({"before": F.when(F.col("op").isin(UPDATE, DELETE), F.col("before")), "after": F.when(F.col("op").isin(READ, INSERT, UPDATE), F.col("after"))})
 
 
+def only(changes: DataFrame, *operations: str) -> DataFrame:
+    """Changes of the given operations (FLT-4)."""
+    return changes.where(F.col("op").isin(*operations))
+
+
 def operation_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("op").agg(F.count("*").alias("n"))
 

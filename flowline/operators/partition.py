@@ -33,6 +33,11 @@ def distribute(messages: DataFrame, n: int, key: str | None = None) -> DataFrame
     return messages.repartition(n, key).sortWithinPartitions(key, "seq")
 
 
+def total_demand(demands: DataFrame) -> DataFrame:
+    """One row: the demand of all open requests (AGG-2), which is what a source is asked for."""
+    return demands.agg(F.coalesce(F.sum("demand"), F.lit(0).cast("bigint")).alias("demand"))
+
+
 def greedy(messages: DataFrame, demands: DataFrame) -> DataFrame:
     """``messages`` (numbered by ``place`` from 0) with the ``request`` that takes each: requests fill up in order of arrival.
 

@@ -95,6 +95,7 @@ FROM events""",
     "demand_greedy": """WITH d AS (SELECT i AS request, 90 - i % 3 * 10 AS demand FROM range(12) t(i)),
 e AS (SELECT request, sum(demand) OVER (ORDER BY request) AS stop, sum(demand) OVER (ORDER BY request) - demand AS start FROM d)
 SELECT request, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events JOIN e ON event_id >= start AND event_id < stop GROUP BY request""",
+    "demand_total": "SELECT CAST(sum(s_suppkey % 10) AS BIGINT) AS demand FROM supplier",
     "batch_assign": f"WITH {_BY_USER} SELECT batcher, batch_key, batch_no, count(*) AS n, min(seq) AS lo, max(seq) AS hi FROM b GROUP BY ALL",
     "batch_multi": f"""WITH {_MESSAGES},
 sized AS (SELECT *, CASE batcher WHEN 'view' THEN 50 WHEN 'click' THEN 20 ELSE 100 END AS size FROM routed WHERE batcher IN ('view', 'click', 'default')),
@@ -126,11 +127,23 @@ SELECT range_id, count(*) FILTER (WHERE inside) AS n_inside, count(*) FILTER (WH
     "merge_in_progress": f"""WITH {_MERGED} SELECT CASE WHEN chunk_id IS NULL AND pk > 3999 AND pk <= 4999 THEN 'buffer' ELSE verdict END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "merge_stream": f'WITH {_STREAM} SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM s',
     "merge_overflow": f"WITH {_CHUNKS}, {_LOG} SELECT xid, pk FROM w WHERE pk > (SELECT max(hi) FROM p WHERE chunk_id < 3)",
+    "merge_replay": f"""WITH {_CHUNKS}, {_LOG},
+x AS (SELECT lsn AS place, lsn - lsn % 5 * 150 AS xid, pk FROM w),
+r AS (
+  SELECT chunk_id * 400 AS begin, chunk_id * 400 + 300 AS stop, lag(hi) OVER (ORDER BY chunk_id) AS low, hi AS high, hi + 500 AS est, chunk_id * 400 AS xmin FROM p WHERE chunk_id < 12),
+j AS (
+  SELECT x.*, i.begin AS its_begin, i.stop AS its_stop, i.xmin, n.begin AS now_begin
+  FROM x LEFT JOIN r i ON (i.low IS NULL OR pk > i.low) AND pk <= i.high
+         LEFT JOIN r n ON n.begin < place AND place < n.stop AND (n.low IS NULL OR pk > n.low) AND pk <= n.est)
+SELECT place, xid, pk,
+       CASE WHEN its_stop < place THEN CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END WHEN now_begin IS NULL THEN 'discard_unscanned'
+            WHEN its_begin >= now_begin THEN CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END ELSE 'buffer' END AS verdict FROM j""",
     "tx_assemble": f"""WITH {_LOG}, t AS (SELECT CAST(floor(lsn / 4) AS BIGINT) AS xid, lsn, op FROM w)
 SELECT xid, lsn, op, max(lsn) OVER (PARTITION BY xid) + 1 AS commit_lsn FROM t WHERE xid % 9 <> 8""",
     "relation_lookup": f"""WITH {_LOG} SELECT CASE WHEN lsn % 4 = 0 THEN 'public.orders' WHEN lsn % 4 = 2 THEN 'part' WHEN lsn >= 500 THEN 'sales.customer' ELSE 'public.customer' END AS "table", count(*) AS n
 FROM w WHERE lsn % 4 <> 3 GROUP BY 1""",
     "wal_op_counts": f"WITH {_LOG} SELECT op, count(*) AS n FROM w GROUP BY op",
+    "wal_op_filter": f"WITH {_LOG} SELECT xid, pk, op FROM w WHERE op IN ('READ', 'INSERT')",
     "wal_decode_ops": f"""WITH {_LOG} SELECT op, op IN ('UPDATE', 'DELETE') AND xid % 2 = 0 AND value IS NOT NULL AS has_before, op IN ('INSERT', 'UPDATE') AND value IS NOT NULL AS has_after, count(*) AS n FROM w GROUP BY ALL""",
     "text_decode": """WITH t AS (
   SELECT event_id AS seq, event_id % 5 AS kind, event_id % 35 = 0 AS junk, user_id, ts, event_type FROM events)
@@ -158,6 +171,11 @@ SELECT "table", cursor IS NOT NULL AS is_set, coalesce(cursor, -1) AS cursor FRO
 SELECT "table", count(*) FILTER (WHERE NOT complete) AS pending, count(*) FILTER (WHERE complete) AS completed,
        CASE WHEN count(*) FILTER (WHERE NOT complete) = 0 THEN 'streaming' ELSE 'snapshot' END AS phase FROM done GROUP BY "table"
 UNION ALL SELECT 'public.full', 0, count(*), 'streaming' FROM p""",
+    "connector_state": f"""WITH {_DONE},
+f AS (SELECT min(chunk_id) AS pending FROM done WHERE NOT complete)
+SELECT 'slot-1' AS slot, CASE WHEN (SELECT pending FROM f) IS NULL THEN 'streaming' ELSE 'snapshot' END AS phase, (SELECT max(event_id) FROM events) AS confirmed_lsn,
+       'public.orders' AS current_snapshot_table, (SELECT max(hi) FROM done WHERE chunk_id < coalesce((SELECT pending FROM f), 9223372036854775807)) AS cursor,
+       (SELECT count(*) FROM p WHERE chunk_id % 5 <> 4) AS ranges""",
     "offset_latest": "SELECT 'slot-' || user_id AS slot, max(event_id) AS saved_at, max_by(props, event_id) AS state FROM events GROUP BY user_id",
     "apply_changes": f"""WITH {_CHUNKS}, {_LOG},
 e AS (SELECT "table", pk, 'READ' AS op, CAST(NULL AS BIGINT) AS lsn FROM c UNION ALL SELECT "table", pk, op, lsn FROM w)

@@ -15,7 +15,7 @@ from ..cdc import merge, offsets, snapshot, wal
 from ..functions import hashing, values
 from ..operators import batching, envelope, outcomes, partition, process, sessions
 from ..operators.batching import Batcher
-from ..sources import activity, changelog
+from ..sources import activity, changelog, offset_store
 from ..streaming import run as streaming
 from .pipeline import Pipeline
 from .storage import scratch
@@ -145,6 +145,10 @@ def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelope.route(envelope.wrap(events, F.col("event_id"), F.col("user_id").cast("string")))
 
 
+def demand_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.total_demand(_read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("demand")))
+
+
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.sizes(batching.assign(_by_user(spark, sf_dir).select("seq", "batcher", "batch_key"), BATCH))
 
@@ -245,6 +249,15 @@ def merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.stream(reads, merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir))).withColumn("lsn", _or("lsn", -1))
 
 
+def merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that arrive while twelve chunks are read one after the other, each expected to reach 500 keys too far."""
+    spans = snapshot.ranges(snapshot.plan(_chunked(spark, sf_dir)).where("chunk_id < 12"), F.col("chunk_id") * 400)
+    begin = F.col("chunk_id") * 400
+    chunks = spans.select("table", "chunk_id", begin.alias("begin"), (begin + 300).alias("end"), "low", (F.col("high") + 500).alias("estimated"), "high", "xmin")
+    changes = _log(spark, sf_dir).withColumns({"place": F.col("lsn"), "xid": F.col("lsn") - F.col("lsn") % 5 * 150})
+    return merge.replay(changes, chunks, None).select("place", "xid", "pk", "verdict")
+
+
 def merge_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes beyond the first three chunks, which are all that has been scanned."""
     first = snapshot.plan(_chunked(spark, sf_dir)).where("chunk_id < 3")
@@ -269,6 +282,10 @@ def wal_op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.operation_counts(_log(spark, sf_dir))
 
 
+def wal_op_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wal.only(_log(spark, sf_dir), wal.READ, wal.INSERT).select("xid", "pk", "op")
+
+
 def wal_decode_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = _log(spark, sf_dir).withColumns({"before": F.when(F.col("xid") % 2 == 0, F.col("value")), "after": F.col("value")})
     images = wal.decode(sent)
@@ -350,6 +367,15 @@ def phase_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.phases(done.unionByName(full), scan_done=True)
 
 
+def connector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state saved for a slot, read back from its JSON."""
+    done = offsets.completion(chunk_plan(spark, sf_dir), _acked(spark, sf_dir))
+    lsn = offsets.confirmed_lsn(_log(spark, sf_dir))
+    saved = offsets.state("slot-1", offsets.cursors(done), lsn, offsets.phases(done, True), _scanned(spark, sf_dir))
+    back = saved.select("slot", values.parse_row(F.col("state"), offset_store.STATE).alias("s"))
+    return back.select("slot", "s.phase", "s.confirmed_lsn", "s.current_snapshot_table", F.col("s.snapshot_cursor").alias("cursor"), F.size("s.scanned_pk_ranges").cast("bigint").alias("ranges"))
+
+
 def offset_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States saved by every event, one slot per user and the last one holding."""
     saved = _events(spark, sf_dir).select(F.concat(F.lit("slot-"), F.col("user_id").cast("string")).alias("slot"), F.col("event_id").alias("saved_at"), F.col("props").alias("state"))
@@ -414,9 +440,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         envelope_routing, process_ok, process_failed, process_rows, outcome_counts, outcome_unacked, route_counts, route_unknown, pipeline_outcomes, fnv1a32, ring_owner,
-        ring_affinity, partition_affinity, demand_greedy, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
-        keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_decode_ops,
-        text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, offset_latest, apply_changes,
+        ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
+        keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
+        text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
         stream_sessions, stream_batches, stream_outcomes, stream_resume,
     )
 }

@@ -48,6 +48,20 @@ def drained(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+def idle(*queries: StreamingQuery) -> bool:
+    """Whether every query waits for data: nothing is there that it hasn't processed (AGG-9, STR-5)."""
+    return all(not q.isActive or not (q.status["isDataAvailable"] or q.status["isTriggerActive"]) for q in queries)
+
+
+def stopped(*queries: StreamingQuery) -> None:
+    """Graceful end: each query processes all that is there, then stops (STR-6)."""
+    for q in queries:
+        if q.isActive:
+            q.processAllAvailable()
+            q.stop()
+        q.awaitTermination()
+
+
 _SESSION = "is_logged_in boolean, last_seq long, last_activity timestamp_ntz, page_views long, purchase_count long, total_purchase_amount double"
 
 
