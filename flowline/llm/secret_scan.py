@@ -7,6 +7,7 @@ passes the threshold is a secret of kind ``random``.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -64,28 +65,37 @@ def _pairs(token: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))
 
 
-def train(samples: DataFrame) -> dict[str, float]:
-    """Log-likelihood ratio (random over ordinary) of every transition between two characters.
+def train(samples: DataFrame) -> list[float]:
+    """Log-likelihood ratio (random over ordinary) of every transition between two characters, row by row of the alphabet.
 
     Counts are one group-by; the result is bounded by the square of the alphabet.
     Add-one smoothing covers transitions without a sample; without samples every ratio is 0.
     """
     counted = samples.where(F.length("token") >= 2).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
     seen = {row["pair"]: (row["r"], row["o"]) for row in counted.collect()}
-    letters, ratios = ALPHABET + "~", {}
+    letters, ratios = ALPHABET + "~", []
     for a in letters:
         r_all, o_all = (sum(seen.get(a + b, (0, 0))[k] for b in letters) + len(letters) for k in (0, 1))
         for b in letters:
             r, o = seen.get(a + b, (0, 0))
-            ratios[a + b] = math.log((r + 1) / r_all) - math.log((o + 1) / o_all)
+            ratios.append(math.log((r + 1) / r_all) - math.log((o + 1) / o_all))
     return ratios
 
 
-def ratio(token: Column, ratios: dict[str, float]) -> Column:
-    """Mean log-likelihood ratio per transition of a token of two characters or more."""
-    table = F.create_map(*[F.lit(x) for pair in ratios.items() for x in pair])
+def ratio(token: Column, ratios: list[float]) -> Column:
+    """Mean log-likelihood ratio per transition of a token of two characters or more.
+
+    The table is one folded literal, read by index.
+    """
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     pairs = _pairs(token)
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_element_at(table, p), F.lit(0.0))) / F.size(pairs)
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, _place(F.substring(p, 1, 1)) * (len(ALPHABET) + 1) + _place(F.substring(p, 2, 1)))) / F.size(pairs)
+
+
+def _place(character: Column) -> Column:
+    """Number of a character in the alphabet from 0; any other is the last."""
+    at = F.instr(F.lit(ALPHABET), character)
+    return F.when((at > 0) & (character != ""), at - 1).otherwise(len(ALPHABET))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, str]:
