@@ -142,3 +142,31 @@ def test_batches_flush_in_a_stream(spark, tmp_path):
     got = spark.read.parquet(out).drop("batch_id").unionByName(streaming.waiting(spark, checkpoint))
     expected = batching.sizes(batching.assign(rows, 5)).select("batcher", "batch_key", "batch_no", "n", "lo", "hi")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_incomplete_batches_time_out(spark, tmp_path):
+    """A batch that doesn't fill up is handed on after its timeout."""
+    import time
+
+    log, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("log", "out", "checkpoint"))
+    rows = spark.range(3).select(F.col("id").alias("seq"), F.lit("default").alias("batcher"), F.lit("k").alias("batch_key"))
+    streaming.append_log(rows, log, 1)
+    query = streaming.sink(streaming.batches(streaming.read_log(spark, log, rows.schema), 5, timeout_ms=500), out, checkpoint, interval="200 milliseconds")
+    got = []
+    for _ in range(120):
+        time.sleep(0.5)
+        got = spark.read.schema("batcher string, batch_key string, batch_no long, n long, lo long, hi long, batch_id int").option("ignoreMissingFiles", True).parquet(out).collect() if (tmp_path / "out").exists() else []
+        if got:
+            break
+    streaming.stopped(query)
+    assert [(r["batch_no"], r["n"], r["lo"], r["hi"]) for r in got] == [(0, 3, 0, 2)]
+
+
+def test_idle_and_stopped(spark, tmp_path):
+    log, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("log", "out", "checkpoint"))
+    rows = spark.range(9).select(F.col("id").alias("seq"))
+    streaming.append_log(rows, log, 3)
+    query = streaming.sink(streaming.read_log(spark, log, rows.schema), out, checkpoint, interval="100 milliseconds")
+    streaming.stopped(query)
+    assert streaming.idle(query) and not query.isActive
+    assert spark.read.parquet(out).count() == 9
