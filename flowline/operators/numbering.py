@@ -13,10 +13,10 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, block: int =
 
     A key's rows are cut into blocks of its order values, which are numbered by themselves; the blocks' sizes,
     one row each, give what is added.  So a key with a third of all rows is spread over many tasks.
-    Rows of equal order are numbered in any order.
+    Rows of equal order are numbered in any order; ``order`` isn't null.
     """
     cut = "_block"
-    blocked = df.withColumn(cut, F.floor(F.col(order) / block))
+    blocked = df.withColumn(cut, F.expr(f"`{order}` div {block}"))
     sizes = blocked.groupBy(*keys, cut).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(cut).alias("_cut"), before.alias("_before"))
