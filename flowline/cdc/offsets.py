@@ -46,7 +46,7 @@ def state(slot: str, cursor: DataFrame, lsn: DataFrame, phase: DataFrame, scanne
 
     Scanned ranges, if given, are kept, so that a restart judges changes of scanned rows; there is one per chunk.
     """
-    row = cursor.join(phase, "table").join(F.broadcast(lsn))
+    row = cursor.join(phase, "table").withColumn("confirmed_lsn", lsn.select("confirmed_lsn").scalar())
     kept = F.array().cast("array<struct<table:string,low:bigint,high:bigint,xmin:bigint>>")
     if scanned is not None:
         row = row.join(scanned.groupBy("table").agg(F.array_sort(F.collect_list(F.struct("table", "low", "high", "xmin"))).alias("_ranges")), "table", "left")

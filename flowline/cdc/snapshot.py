@@ -57,4 +57,6 @@ def tables(scans: list[tuple[str, DataFrame, str]], size: int = CHUNK_SIZE, done
 
 def covered(keys: DataFrame, scanned: DataFrame) -> DataFrame:
     """Every (key, range) of ``keys`` (pk) and a few ``scanned`` ranges (low, high) with whether the key is inside."""
-    return keys.join(F.broadcast(scanned)).withColumn("inside", in_range(F.col("pk"), F.col("low"), F.col("high")))
+    held = scanned.agg(F.collect_list(F.struct(*scanned.columns)))
+    each = keys.withColumn("_range", F.explode(held.scalar())).select(*keys.columns, "_range.*")
+    return each.withColumn("inside", in_range(F.col("pk"), F.col("low"), F.col("high")))

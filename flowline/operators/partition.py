@@ -16,12 +16,12 @@ def ring(spark: SparkSession, nodes: list[str]) -> DataFrame:
 def owners(keys: DataFrame, nodes: DataFrame, key: str = "key") -> DataFrame:
     """``keys`` with ``owner``: the first node at or after the key's hash, wrapping to the first node; null without nodes.
 
-    The ring is small (one row per worker), so it is held as one sorted array beside every row: no join, no window.
+    The ring is small (one row per worker), so it is one sorted array from a scalar subquery: no join, no window.
     """
-    held = nodes.agg(F.array_sort(F.collect_list(F.struct("node_hash", "node"))).alias("_ring"))
+    held = nodes.agg(F.array_sort(F.collect_list(F.struct("node_hash", "node"))))
     after = F.filter("_ring", lambda n: n["node_hash"] >= F.col("_hash"))
     owner = F.coalesce(F.get(after, 0)["node"], F.get(F.col("_ring"), 0)["node"])
-    return keys.withColumn("_hash", fnv1a32(F.col(key))).join(F.broadcast(held)).withColumn("owner", owner).drop("_ring", "_hash")
+    return keys.withColumns({"_hash": fnv1a32(F.col(key)), "_ring": held.scalar()}).withColumn("owner", owner).drop("_ring", "_hash")
 
 
 def distribute(messages: DataFrame, n: int, key: str | None = None) -> DataFrame:
@@ -45,6 +45,6 @@ def greedy(messages: DataFrame, demands: DataFrame) -> DataFrame:
     """
     running = F.sum("demand").over(Window.orderBy("arrival", "request").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     spans = demands.withColumn("_end", running).withColumn("_start", F.col("_end") - F.col("demand"))
-    held = spans.agg(F.array_sort(F.collect_list(F.struct("_start", "_end", "request"))).alias("_requests"))
+    held = spans.agg(F.array_sort(F.collect_list(F.struct("_start", "_end", "request"))))  # one for each worker
     taker = F.get(F.filter("_requests", lambda r: (r["_start"] <= F.col("place")) & (F.col("place") < r["_end"])), 0)["request"]
-    return messages.join(F.broadcast(held)).withColumn("request", taker).drop("_requests")
+    return messages.withColumn("_requests", held.scalar()).withColumn("request", taker).drop("_requests")
