@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders made where none is set, by application.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``; only where that is unset, as in tests, in a new local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="flowline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="flowline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
