@@ -80,7 +80,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def drop_documents(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id isn't in ``ids``; rows without an id stay.  Columns are unchanged."""
     key = fresh(docs, "gone_id")
-    gone = small(ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct())
+    gone = small(materialise(ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct(), "gone"))
     return docs.join(gone, docs[id_col] == gone[key], "left_anti")
 
 
