@@ -17,12 +17,16 @@ BROADCAST_ROWS = 1_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Folders made where none is set, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``; a new local one only where it is unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="flowline-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+        app = spark.sparkContext.applicationId
+        set_dir = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="flowline-")
     return set_dir.rstrip("/")
 
 
