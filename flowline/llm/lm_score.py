@@ -101,9 +101,9 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = small(targets.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct().withColumn("is_target", F.lit(True)))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     marked = slim.join(wanted, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    found = counts(marked).toPandas().sort_values("gram")  # at most 256 ** 3 rows, whatever the corpus
-    grams = found["gram"].to_numpy(np.int64)
-    _, target, background = loss_differences(grams, found["target"].to_numpy(float), found["everything"].to_numpy(float))
+    found = counts(marked).toArrow().sort_by("gram")  # at most 256 ** 3 rows of 20 bytes, whatever the corpus; no row objects on the driver
+    grams = found["gram"].to_numpy().astype(np.int64)
+    _, target, background = loss_differences(grams, found["target"].to_numpy().astype(float), found["everything"].to_numpy().astype(float))
     name = publish(docs.sparkSession, "lm", grams.astype(np.int32).tobytes() + target.astype(np.float32).tobytes() + background.astype(np.float32).tobytes())
 
     known = len(grams) > 0  # an empty file can't be mapped
