@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -311,3 +312,23 @@ def test_edge_rows(spark, edge, empty):
 
 def test_sha_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+MIT_FILE = (license_scan.Path(license_scan.__file__).parent / "licences" / "MIT.txt").read_text()
+
+
+def test_licences_of_ordinary_notices(spark):
+    """Wrapped licence files, titles and notices between other words, which lines against opening sentences lose."""
+    apache = dict(license_scan.TEXTS)["Apache-2.0"]
+    plain = [" ".join(f"w{(i * 37 + k * 11) % 500}" for k in range(60)) for i in range(60)]
+    texts = {
+        "MIT": [MIT_FILE, "The MIT License (MIT)", "Copyright (c) 2020 Jane Doe. Released under the MIT License.", "\n".join(textwrap.wrap(" ".join(MIT_FILE.split()), 40))],
+        "Apache-2.0": ["\n".join(textwrap.wrap(" ".join(apache.split()), 60))], "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee\nis hereby granted, provided that the above copyright notice and this permission\nnotice appear in all copies."],
+        "Proprietary": [plain[0] + "\nAll rights reserved.\n" + plain[1], plain[2] + " all rights reserved " + plain[3]],
+    }
+    want = {i: name for i, name in enumerate(n for n, ts in texts.items() for _ in ts)}
+    rows = [(i, f"d{i}/f", t) for i, t in enumerate(t for ts in texts.values() for t in ts)] + [(100 + i, f"e{i}/f", t) for i, t in enumerate(plain)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: got[i]["licence"] for i in want} == want
+    assert all(got[i]["origin"] == "file" for i in (0, 3, 4)) and all(got[100 + i]["licence"] is None for i in range(60))
