@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns plus character Markov models, with DataFrame functions only.
 
 Two first-order Markov models, of random strings and of ordinary identifiers, are
-counted from labelled samples.  A token whose mean log-likelihood ratio per transition
-passes the threshold is a secret of kind ``random``.
+counted from labelled samples.  A token whose log-likelihood ratio passes the threshold, as a mean per
+transition and as a sum, is a secret of kind ``random``.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
-#: Tokens that the Markov models judge: long runs with a digit and a letter.
-TOKEN = r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}"
-MIN_DIGITS = 2
+#: Tokens that the Markov models judge: runs of the characters of keys and passwords, of every length from which a sum can pass.
+TOKEN = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}"
 #: Mean log-likelihood ratio per transition, in nats, from which a token counts as random.
 THRESHOLD = 0.35
+#: Least sum of the ratios, so that a short token needs a higher mean than a long one.
+TOTAL = 12.0
 #: Characters are told apart as these classes of one; any other character is ``~``.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+_=-"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+_=-/."
 
 # Words of which ordinary identifiers are made.
 WORDS = (
@@ -38,24 +39,52 @@ WORDS = (
     "next first last width height size color image text line word char byte hash sort search filter merge split join"
 ).split()
 
+# Common words of several languages, which are put together for the letters' ordinary transitions.
+COMMON = (
+    "the and that have for not with you this but from they which would there their what about when make like time just know people into "
+    "year your good some could them other than then look only come over think also back after work even want because these give day most "
+    "through thought should enough high light knowledge write wrong quick question example zero extra judge anything whether much years "
+    "und der die das nicht ist mit auf für eine auch nach bei aus wird oder durch schon noch zwischen sprechen schreiben geschwindigkeit "
+    "begrenzung wirtschaft gesellschaft verantwortung zeitung pflanze kopf pferd dampf schutz platz gesetz wichtig möglich zurück jetzt "
+    "herbst kunst fenster versprechen entscheidung heit keit lich ung recht brauch kraft "
+    "les des est une dans que pour qui sur pas avec sont mais comme tout elle nous vous leur bien cette même oui aux deux eux ceux heureux "
+    "beau eau oiseau travaux nouvelle aujourd question quelque toujours feuille oeil soleil ouvrir raison maison voiture naturellement "
+    "los las del por con para una como más pero sus este también hasta donde quien desde nos durante todos uno muchos año ciudad hijo "
+    "hecho ejercicio mejor lluvia guerra noche leche viaje izquierda universidad gobierno trabajo siempre ella "
+    "che della sono anche loro questo quando gli più oggi degli nella perché molto prezzo piazza ragazzo figlio bagno occhio acqua"
+).split()
+
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(token, random): strings from digests in base64 and hex, and identifiers made of words in the usual styles.
+    """(token, random): strings from digests in base64 and hex, and identifiers, paths, URLs, dates and numbers.
 
     Both come from a rule over row numbers; a table of one's own samples may stand in for it.
     """
     rows = spark.range(n)
     digest = lambda salt: F.unhex(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))
-    base64 = F.regexp_replace(F.base64(digest("b")), "[/\r\n]", "")
+    base64 = F.regexp_replace(F.base64(digest("b")), "[\r\n]", "")
     random = rows.select(F.explode(F.array(base64, F.lower(F.hex(digest("h"))), F.upper(F.substring(F.regexp_replace(F.base64(digest("u")), "[^A-Za-z0-9]", ""), 1, 24)))).alias("token"), F.lit(True).alias("random"))
     words = F.array(*[F.lit(w) for w in WORDS])
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     digits = F.when(F.col("id") % 3 == 0, F.pmod(F.xxhash64("id", F.lit(9)), F.lit(100)).cast("string")).otherwise("")
+    common = F.array(*[F.lit(w) for w in COMMON])
+    word = lambda k: F.element_at(common, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(COMMON))) + 1).cast("int"))
+    number = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000000))
     styles = [
+        *[F.concat(*[word(k * 4 + j) for j in range(20, 24)], F.lit(".")) for k in range(4)],
+        F.concat(*[F.initcap(word(k)) for k in range(40, 44)]),
+        F.upper(F.concat_ws("-", *[word(k) for k in range(44, 47)])),
+        F.concat(F.lit("//en.wikipedia.org/wiki/"), F.initcap(word(47)), F.lit("_"), F.initcap(word(48)), F.lit("_"), F.initcap(word(49))),
         F.concat(F.concat_ws("_", pick(1), pick(2), pick(3)), digits),
         F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3)), F.initcap(pick(4)), digits),
         F.concat(F.upper(F.concat_ws("_", pick(5), pick(6), pick(7))), digits),
         F.concat_ws("-", pick(2), pick(4), pick(6), F.when(digits != "", digits)),
+        F.concat(F.lit("/"), F.concat_ws("/", pick(1), pick(3), pick(5)), F.lit("."), F.substring(pick(7), 1, 3)),
+        F.concat(F.lit("//www."), pick(8), F.lit(".com/"), pick(2), F.lit("/"), F.concat_ws("-", pick(4), pick(6)), F.lit(".html")),
+        F.concat(F.concat_ws(".", pick(3), pick(5), F.initcap(pick(7))), digits),
+        F.concat(F.concat_ws("=", pick(4), number(10)), F.lit("."), F.initcap(pick(9)), F.lit("...")),
+        F.concat_ws("-", (F.pmod(number(11), F.lit(130)) + 1900).cast("string"), F.lpad((F.pmod(number(12), F.lit(12)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(number(13), F.lit(28)) + 1).cast("string"), 2, "0")),
+        F.concat_ws(".", number(14).cast("string"), number(15).cast("string"), number(16).cast("string")),
     ]
     return random.unionByName(rows.select(F.explode(F.array(*styles)).alias("token"), F.lit(False).alias("random")))
 
@@ -121,10 +150,10 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = T
         F.when(some(F.col(names["hex"])), located(text, HEX, F.col(names["hex"]), "hex", 2)).otherwise(nothing),
     )
     out = out.withColumn(names["base"], base)
-    mixed = lambda m: (F.length(F.regexp_replace(m, "[^0-9]", "")) >= MIN_DIGITS) & m.rlike("[A-Za-z]")
+    passes = lambda m: F.aggregate(F.array(ratio(m, ratios)), F.lit(False), lambda _, r: (r >= threshold) & (r * (F.length(m) - 1) >= TOTAL))
     random = F.when(
-        F.exists(F.col(names["token"]), mixed),
-        F.filter(located(text, TOKEN, F.col(names["token"]), "random", 3, lambda m: mixed(m) & (ratio(m, ratios) >= threshold)), lambda s: ~F.exists(F.col(names["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
+        some(F.col(names["token"])),
+        F.filter(located(text, TOKEN, F.col(names["token"]), "random", 3, passes), lambda s: ~F.exists(F.col(names["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
     ).otherwise(nothing)
     key = fresh(docs, "secrets")
     return out.withColumn(key, F.concat(F.col(names["base"]), random)).drop(*names.values()), key

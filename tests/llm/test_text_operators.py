@@ -332,3 +332,16 @@ def test_licences_of_ordinary_notices(spark):
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert {i: got[i]["licence"] for i in want} == want
     assert all(got[i]["origin"] == "file" for i in (0, 3, 4)) and all(got[100 + i]["licence"] is None for i in range(60))
+
+
+def test_short_secrets_and_slashes(spark):
+    """Random strings of 12 characters on, with slashes and without digits; paths, URLs and long words stay."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choices(letters + "+/" * (k > 19), k=k)) for k in (12, 14, 16, 19, 20, 24, 32, 40) for _ in range(50)]
+    plain = ["//github.com/apache/spark/blob/master/README.md", "internationalization", "Geschwindigkeitsbegrenzung", "com.fasterxml.jackson.databind.ObjectMapper", "//en.wikipedia.org/wiki/New_York_City", "state-of-the-art", "ArrayIndexOutOfBoundsException", "2024-01-15T12", "self.assertEqual"]
+    texts = ["aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", *[f"see {t} here" for t in keys + plain]]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == "aws_secret_access_key = [SECRET]"
+    assert sum(out[i + 1] == "see [SECRET] here" for i in range(len(keys))) >= 0.95 * len(keys)
+    assert all(out[i + 1 + len(keys)] == texts[i + 1 + len(keys)] for i in range(len(plain)))
