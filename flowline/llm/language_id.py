@@ -152,14 +152,16 @@ def fit(train: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_l
     row order; copies of a text count once.
     """
     rows = train.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    # rows under a hash limit per language, half as many again as needed; the rest is cut after the features are made
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
     scale = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sizes:
-        limit = F.when(F.col("lang") == lang, F.lit(min(scale, math.ceil(scale * 1.5 * per_language / n + 1)))).otherwise(limit)
     rank = F.pmod(F.xxhash64("text"), F.lit(scale))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") < limit).dropDuplicates(["lang", "rank"])  # copies of a text count once
+    # distinct texts that have letters, counted with an error of 2 %: the limit must not depend on how often a text is copied
+    sizes = lettered.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # texts under a hash limit per language, half as many again as needed; the rest is cut after the features are made
+    limit = F.lit(0)
+    for lang, n in ((r["lang"], r["n"]) for r in sizes):
+        limit = F.when(F.col("lang") == lang, F.lit(min(scale, math.ceil(scale * 1.5 * per_language / max(1, n) + 1)))).otherwise(limit)
+    chosen = lettered.withColumn("rank", rank).where(F.col("rank") < limit).dropDuplicates(["lang", "rank"])  # copies of a text count once
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -345,3 +345,13 @@ def test_short_secrets_and_slashes(spark):
     assert out[0] == "aws_secret_access_key = [SECRET]"
     assert sum(out[i + 1] == "see [SECRET] here" for i in range(len(keys))) >= 0.95 * len(keys)
     assert all(out[i + 1 + len(keys)] == texts[i + 1 + len(keys)] for i in range(len(plain)))
+
+
+def test_languages_of_many_copies(spark):
+    """Copies don't shrink a language's sample: few distinct texts are all learned from, however often they occur."""
+    few = [("wort" + "abcdefghij"[i] + " und satz", "xx") for i in range(10)]
+    many = [(f"palabra {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]} de texto", "yy") for i in range(600)]
+    train = spark.createDataFrame(few, "text string, lang string").crossJoin(spark.range(20000)).drop("id").unionByName(spark.createDataFrame(many, "text string, lang string"))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(few + many[:10])], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, train, per_language=5).collect()}
+    assert all(got[i] == "xx" for i in range(10)) and all(got[i] == "yy" for i in range(10, 20))
