@@ -35,8 +35,8 @@ FAMILIES = {
 UNKNOWN = "und"
 #: Width of the hashed vectors, and labelled rows per language to fit on: 8 KB * 600 a language reach the driver.
 WIDTH, PER_LANGUAGE = 2048, 600
-#: Languages that are learned at most; the most frequent ones, so that the sample stays bounded.
-MAX_LANGUAGES = 64
+#: Rows of the whole sample.  Every language is learned; where there are more than 64, each has fewer rows.
+SAMPLE_ROWS = 64 * PER_LANGUAGE
 #: Code points that are hashed at once.
 BLOCK = 1 << 20
 
@@ -145,23 +145,23 @@ class Model:
         return out.tolist(), scores
 
 
-def fit(train: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model | None:
+def fit(train: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Fit on ``train`` (text, lang); None if it has no labelled text with letters.
 
-    The sample is the ``per_language`` rows of each language whose texts hash lowest, so it doesn't depend on
-    row order; copies of a text count once.
+    The sample is the ``per_language`` rows of each language whose texts hash lowest (fewer if that is over
+    ``sample_rows`` in all, never none), so it doesn't depend on row order; copies of a text count once.
     """
     rows = train.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
     scale = 1 << 30
     rank = F.pmod(F.xxhash64("text"), F.lit(scale))
     # distinct texts that have letters, counted with an error of 2 %: the limit must not depend on how often a text is copied
-    sizes = lettered.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = lettered.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()
+    per_language = max(1, min(per_language, sample_rows // max(1, len(sizes))))
     # texts under a hash limit per language, half as many again as needed; the rest is cut after the features are made
-    limit = F.lit(0)
-    for lang, n in ((r["lang"], r["n"]) for r in sizes):
-        limit = F.when(F.col("lang") == lang, F.lit(min(scale, math.ceil(scale * 1.5 * per_language / max(1, n) + 1)))).otherwise(limit)
-    chosen = lettered.withColumn("rank", rank).where(F.col("rank") < limit).dropDuplicates(["lang", "rank"])  # copies of a text count once
+    limits = [(r["lang"], min(scale, math.ceil(scale * (1.5 * per_language + 20) / max(1, r["n"])))) for r in sizes]
+    limits = F.broadcast(train.sparkSession.createDataFrame(limits, "lang string, most long"))
+    chosen = lettered.withColumn("rank", rank).join(limits, "lang").where(F.col("rank") < F.col("most")).select("lang", "text", "rank").dropDuplicates(["lang", "rank"])  # copies of a text count once
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

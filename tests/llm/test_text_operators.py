@@ -355,3 +355,15 @@ def test_languages_of_many_copies(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(few + many[:10])], "doc_id long, text string")
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, train, per_language=5).collect()}
     assert all(got[i] == "xx" for i in range(10)) and all(got[i] == "yy" for i in range(10, 20))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has full shares for: the rarer ones are learned too."""
+    letters = "bcdfghjklm"
+    word = lambda n, i: f"{letters[n // 10]}{letters[n % 10]}" * 3 + "xyzw"[i % 4]
+    train = spark.createDataFrame([(" ".join([word(n, i)] * (i + 2)), f"l{n:02d}") for n in range(70) for i in range(6 - n // 35)], "text string, lang string")
+    docs = spark.createDataFrame([(n, word(n, 1)) for n in range(70)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, train).collect()}
+    assert len(set(got.values())) == 70 and all(got[n] == f"l{n:02d}" for n in range(70))
+    few = language_id.fit(train, sample_rows=140)
+    assert len(few.families.classes) == 70
