@@ -7,9 +7,9 @@ probability of the fraction, drawn from a hash of the seed and its id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import fresh, small, word_count
+from .shared import fresh, materialise, running, small, word_count
 
 #: Largest number of times that a source's tokens may be repeated.
 MAX_EPOCHS = 3
@@ -19,9 +19,24 @@ SEED = "mix-1"
 
 def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Adds ``weight``: sources by code point, null last, take the weights of ``cycle`` in turn."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(cycle)
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in cycle]), (turn + 1).cast("int")).cast("long"))
+    turn = F.col("_turn") % len(cycle)
+    placed = running(sources, [F.col("source").asc_nulls_last()], _turn=F.lit(1))
+    return placed.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in cycle]), (turn + 1).cast("int")).cast("long")).drop("_turn")
+
+
+def water_level(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> float | None:
+    """The level at which min(cap, level * weight), cap being ``max_epochs`` sizes, adds up to all sizes; None if nothing is open.
+
+    Sources that tie in cap / weight fill up at one level, so they are one group.  Taking groups in rising order, the first
+    whose ratio isn't below the level that the rest would share, once all lower groups are full, sets the level.
+    """
+    cap = F.col("source_size") * max_epochs
+    groups = sources.groupBy((cap / F.col("weight")).alias("ratio")).agg(F.sum(cap).alias("cap"), F.sum("weight").alias("weight"))
+    all_size, all_weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    walked = running(groups, [F.col("ratio").asc()], full=F.col("cap"), shut=F.col("weight"))
+    level = (F.lit(all_size) - F.col("full")) / (F.lit(all_weight) - F.col("shut"))
+    held = walked.where(F.col("ratio") >= level).agg(F.min_by(level, "ratio")).first()
+    return held[0]
 
 
 def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -29,26 +44,11 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
     All sizes together are shared by weight; a target stops at ``max_epochs`` times
     its source's size and the excess is shared anew by weight until none is above.
-    That end state is min(cap, level * weight) for one level, which is found by
-    walking the sources in order of cap / weight: the first at which the rest,
-    shared by the remaining weights, stays under its cap sets the level.
-
-    The window runs over one row per source.
+    That end state is min(cap, level * weight) for the :func:`water_level`.
     """
-    cap = F.col("source_size") * max_epochs
-    order = Window.orderBy((cap / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(before), F.lit(0))
-    weights = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = rest.cast("double") / weights.cast("double")
-    walked = sources.withColumn("_level", level).withColumn("_holds", F.col("_level") * F.col("weight") <= cap)
-    found = F.min(F.when(F.col("_holds"), F.struct((cap / F.col("weight")).alias("r"), F.col("_level").alias("l")))).over(whole)["l"]
-    return (
-        walked.withColumn("_water", found)
-        .withColumn("target", F.least(cap.cast("double"), F.col("_water") * F.col("weight")))
-        .drop("_level", "_holds", "_water")
-    )
+    sources = materialise(sources, "sources")
+    level = water_level(sources, max_epochs)
+    return sources.withColumn("target", F.least((F.col("source_size") * max_epochs).cast("double"), F.lit(level).cast("double") * F.col("weight")))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -57,18 +57,19 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weigh=cycled_weights, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weigh=cycled_weights, max_epochs: int = MAX_EPOCHS, seed: str = SEED, words: Column | None = None) -> DataFrame:
     """``docs`` with one struct column ``mix``: size, source_size, weight, target, rate, copies, taken.
 
     Null text has size 0 and is taken 0 times or more like any other; null sources form
     one source, last in order; repeated rows draw alike (the draw depends on the id);
-    a source whose documents are all empty has target and rate 0; an empty table gives
-    an empty table; other columns pass through, and one named ``mix`` keeps its name
-    while the new column gets underscores in front.
+    a source whose documents are all empty has target and rate 0; sources that tie in size
+    and weight get equal targets; an empty table gives an empty table; other columns pass through, and one named ``mix`` keeps its name
+    while the new column gets underscores in front.  ``words`` is a document's size where it is
+    known already; else words are counted twice, for the sums and for the copies.
     """
     size, source, key = fresh(docs, "mix_size"), fresh(docs, "mix_source"), fresh(docs, "mix")
-    sized = docs.withColumn(size, word_count(F.col("text")))
-    per_source = sized.groupBy(F.col("source").alias("source")).agg(F.sum(size).alias("source_size"))
+    sized = docs.withColumn(size, words if words is not None else word_count(F.col("text")))
+    per_source = materialise(sized.groupBy(F.col("source").alias("source")).agg(F.sum(size).alias("source_size")), "sizes")
     plan = targets(weigh(per_source), max_epochs)
     plan = small(plan.select(F.struct("source", "source_size", "weight", "target").alias(source)))
     joined = sized.join(plan, sized["source"].eqNullSafe(plan[source]["source"]), "inner")

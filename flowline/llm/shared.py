@@ -7,11 +7,10 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-#: A key table is broadcast up to this many rows (16 to 40 bytes each, so at most about 40 MB);
-#: beyond it the join shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast up to this many measured bytes and rows; beyond either the join shuffles both sides.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1_000_000
 
 #: Words are runs of anything but ASCII white space, as ``bytes.split()`` makes them.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -68,9 +67,39 @@ def publish(spark: SparkSession, name: str, data: bytes) -> str:
     return name
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value: 8 for numbers, the length of texts, and that of the JSON form of nested values."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, and their bytes as measured, are within bounds; else as it is (the join then shuffles).
+
+    At most ``most_rows`` + 1 rows are measured.  ``df`` is read twice, so it should be a written table or cheap.
+    """
+    bytes_ = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(8)).cast("bigint")
+    n, total = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and total <= most_bytes else df
+
+
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with a column for each of ``sums``: its sum over all rows before this one in ``order``, which has no ties.
+
+    Rows are dealt to ranges of the order and summed there; the ranges' totals, a row for each partition, give what is
+    added, so no task sees more than a range.
+    """
+    part = fresh(df, "part")
+    dealt = materialise(df.withColumns({f"_{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy(F.col(part).alias("_of")).agg(*[F.sum(f"_{k}").alias(f"_t_{k}") for k in sums])
+    totals = totals.select("_of", *[before(f"_t_{k}", Window.orderBy("_of")).alias(f"_t_{k}") for k in sums])
+    inner = Window.partitionBy(part).orderBy(*order)
+    local = dealt.withColumns({k: before(f"_{k}", inner) for k in sums}).join(F.broadcast(totals), F.col(part) == F.col("_of"))
+    return local.withColumns({k: F.col(k) + F.col(f"_t_{k}") for k in sums}).drop(part, "_of", *[f"_{k}" for k in sums], *[f"_t_{k}" for k in sums])
 
 
 def fresh(df: DataFrame, name: str) -> str:
