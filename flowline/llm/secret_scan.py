@@ -89,9 +89,20 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     return random.unionByName(rows.select(F.explode(F.array(*styles)).alias("token"), F.lit(False).alias("random")))
 
 
+def _places(token: Column) -> Column:
+    """Numbers in the alphabet of a token's characters, from 0; any other character is the last.  Takes time in proportion to the length."""
+    table = F.from_json(F.lit(json.dumps([ALPHABET.find(chr(i)) if chr(i) in ALPHABET else len(ALPHABET) for i in range(128)])), "array<int>")
+    return F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(len(ALPHABET))))
+
+
 def _pairs(token: Column) -> Column:
-    plain = F.regexp_replace(token, f"[^{ALPHABET.replace('-', '')}-]", "~")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))
+    """One number for each transition between two characters."""
+    return _stepped(_places(token))
+
+
+def _stepped(places: Column) -> Column:
+    n = F.greatest(F.size(places) - 1, F.lit(0))
+    return F.zip_with(F.slice(places, F.lit(1), n), F.slice(places, F.lit(2), n), lambda a, b: a * (len(ALPHABET) + 1) + b)
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -102,11 +113,11 @@ def train(samples: DataFrame) -> list[float]:
     """
     counted = samples.where(F.length("token") >= 2).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
     seen = {row["pair"]: (row["r"], row["o"]) for row in counted.collect()}
-    letters, ratios = ALPHABET + "~", []
-    for a in letters:
-        r_all, o_all = (sum(seen.get(a + b, (0, 0))[k] for b in letters) + len(letters) for k in (0, 1))
-        for b in letters:
-            r, o = seen.get(a + b, (0, 0))
+    width, ratios = len(ALPHABET) + 1, []
+    for a in range(width):
+        r_all, o_all = (sum(seen.get(a * width + b, (0, 0))[k] for b in range(width)) + width for k in (0, 1))
+        for b in range(width):
+            r, o = seen.get(a * width + b, (0, 0))
             ratios.append(math.log((r + 1) / r_all) - math.log((o + 1) / o_all))
     return ratios
 
@@ -117,14 +128,7 @@ def ratio(token: Column, ratios: list[float]) -> Column:
     The table is one folded literal, read by index.
     """
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    pairs = _pairs(token)
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, _place(F.substring(p, 1, 1)) * (len(ALPHABET) + 1) + _place(F.substring(p, 2, 1)))) / F.size(pairs)
-
-
-def _place(character: Column) -> Column:
-    """Number of a character in the alphabet from 0; any other is the last."""
-    at = F.instr(F.lit(ALPHABET), character)
-    return F.when((at > 0) & (character != ""), at - 1).otherwise(len(ALPHABET))
+    return F.aggregate(F.array(_pairs(token)), F.lit(0.0), lambda _, pairs: F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.get(table, p)) / F.size(pairs))
 
 
 def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, str]:
