@@ -4,8 +4,9 @@ Protected entities are the values that the patterns find (an e-mail address, a p
 A term discloses an entity as far as it tells that the entity is there: by the pointwise mutual
 information of the two over all documents, relative to the entity's information content
 (Sanchez and Batet, C-sanitized).  Terms at or above the disclosure threshold are spans of
-kind ``term`` in the documents that hold them: removed if they tell nearly all, else
-generalised.
+kind ``term`` in the documents that hold them.  A term is generalised by suppressing its end, as in
+k-anonymity: to its longest beginning that tells less than the threshold of every entity the term
+discloses.  If even its first letter tells too much, it is removed.
 """
 
 from __future__ import annotations
@@ -16,21 +17,22 @@ from .shared import fresh, materialise, small
 from .spans import SPAN, located, matches, redacted
 
 # The patterns of the base kinds.  A local part starts where no character of its class stands before,
-# or where the match before ended, which is where the plain pattern's leftmost match starts too.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+# or where the match before ended, and an address where no digit stands before, which is where the plain patterns' leftmost
+# matches start too.  Possessive groups match the same here, as nothing follows them, and run in a loop, whatever the text's length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-#: Least share of an entity's information that a term must tell to be disclosing, and to be removed rather than generalised.
-DISCLOSURE, REMOVAL = 0.9, 0.97
+#: Least share of an entity's information that a term must tell to be disclosing.
+DISCLOSURE = 0.9
 #: Least number of different texts in which a term and an entity must meet.
 SUPPORT = 3
-#: Rank of the spans of terms to be removed.
-REMOVED = len(KINDS) + 1
-#: A term: letters and digits, with a letter first.
-_NOT_TERM = r"[^\p{L}\p{N}]+"
+#: Lengths of the beginnings to which a term may be generalised.
+BEGINNINGS = (6, 5, 4, 3, 2, 1)
+#: A term is a run of letters and digits.
+TERM, _NOT_TERM = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 
 
 def _digits(m: Column) -> Column:
@@ -80,70 +82,100 @@ def entities(spans: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.split(F.lower(text), _NOT_TERM)
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(text, _NOT_TERM), F.lower), ""))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame] | None:
-    """(term, told) of the terms that disclose an entity, and (doc_id, term) of every document that holds one.
+def told(n_met: Column, n_term: Column, n_entity: Column, total: int) -> Column:
+    """Share of an entity's information that a term tells: their mutual information over the entity's own."""
+    return 1 + F.log(n_met / n_term) / F.log(F.greatest(F.lit(float(total)), n_entity + F.lit(1.0)) / n_entity)
 
-    ``found`` has doc_id, copy (a hash of the text), entities and words of every document with an entity.
+
+def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame | None:
+    """(term, told, general) of the terms that disclose an entity; ``general`` is what stands for the term, empty if it is removed.
+
+    ``docs`` has copy (a hash of the text) and text; ``found`` has copy, entities and words of every document with an entity.
     Probabilities are over different texts, so copies of one text count once.
     """
-    pairs = found.select("copy", F.explode("entities").alias("entity")).distinct()
-    known = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    known = materialise(known, "entities")
-    # one row per text with its entities of enough support
-    held = pairs.join(small(known), "entity").select("copy", "entity", "n_entity")
-    words = found.groupBy("copy").agg(F.first("words").alias("words")).select("copy", F.explode("words").alias("term")).where(F.col("term").rlike(r"^\p{L}.{2,}"))
-    there = words.groupBy("term").agg(F.count("*").alias("n_there"))
-    met = words.join(held, "copy").groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= support)
-    # texts with an entity already bound the term's probability from below: what fails here can't pass later
-    told = lambda total, n_term: 1 + F.log(F.col("n_met") / n_term) / F.log(total / F.col("n_entity"))
+    # one row per text with its entities, and with its words, of enough support
+    pairs = materialise(found.select("copy", F.explode("entities").alias("entity")).distinct(), "pairs")
+    known = materialise(pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    if known.isEmpty():
+        return None
     total = docs.select("copy").distinct().count()
-    whole = F.greatest(F.lit(float(total)), F.col("n_entity") + F.lit(1.0))
-    candidates = materialise(met.join(there, "term").where(told(whole, F.col("n_there")) >= disclosure).select("entity", "n_entity", "term", "n_met"), "candidates")
+    held = pairs.join(small(known), "entity").select("copy", "entity", "n_entity")
+    words = found.groupBy("copy").agg(F.first("words").alias("words")).select("copy", F.explode("words").alias("term"))
+    there = words.groupBy("term").agg(F.count("*").alias("n_there")).where(F.col("n_there") >= support)
+    # texts with an entity bound the term's probability from below, and no pair meets more often than its entity occurs: what
+    # fails here can't pass later, so frequent words are never paired with entities
+    able = told(F.col("n_entity"), F.greatest(F.col("n_there"), F.col("n_entity")), F.col("n_entity"), total) >= disclosure
+    met = words.join(there, "term").join(held, "copy").where(able).groupBy("entity", "n_entity", "term", "n_there").agg(F.count("*").alias("n_met")).where(F.col("n_met") >= support)
+    candidates = materialise(met.where(told(F.col("n_met"), F.col("n_there"), F.col("n_entity"), total) >= disclosure).select("entity", "n_entity", "term", "n_met"), "candidates")
     if candidates.isEmpty():
         return None
-    wanted = small(candidates.select("term").distinct())
-    places = docs.select("doc_id", "copy", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
-    places = materialise(places, "places")
-    n_term = places.select("term", "copy").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    chosen = candidates.join(n_term, "term").withColumn("told", told(whole, F.col("n_term"))).where(F.col("told") >= disclosure)
-    chosen = chosen.groupBy("term").agg(F.max("told").alias("told"))
-    return chosen, places.join(small(chosen), "term").select("doc_id", "term", "told").distinct()
+    n_term = _texts_with(docs, candidates.select("term").distinct(), lambda ws: ws).withColumnRenamed("n", "n_term")
+    chosen = candidates.join(n_term, "term").withColumn("told", told(F.col("n_met"), F.col("n_term"), F.col("n_entity"), total)).where(F.col("told") >= disclosure)
+    chosen = materialise(chosen.select("term", "n_entity", "told"), "disclosing")
+    begins = lambda w: F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in BEGINNINGS])
+    begun = chosen.groupBy("term").agg(F.max("told").alias("told"), F.min("n_entity").alias("least"), F.max("n_entity").alias("most")).withColumn("start", F.explode_outer(F.array_compact(begins(F.col("term")))))
+    n_start = _texts_with(docs, begun.select(F.col("start").alias("term")).where("start is not null").distinct(), lambda ws: F.array_distinct(F.array_compact(F.flatten(F.transform(ws, begins)))))
+    rated = begun.join(n_start.select(F.col("term").alias("start"), "n"), "start", "left")
+    # at most every text of the entity holds the beginning; that share told falls or rises with the entity's own count, so its ends bound it
+    safe = F.greatest(*[told(F.least(F.col(e), F.col("n")), F.col("n"), F.col(e), total) for e in ("least", "most")]) < disclosure
+    best = F.max_by("start", F.when(safe, F.length("start")))
+    return rated.groupBy("term").agg(F.max("told").alias("told"), F.coalesce(F.concat(best, F.lit("*")), F.lit("")).alias("general"))
+
+
+def _texts_with(docs: DataFrame, wanted: DataFrame, parts) -> DataFrame:
+    """(term, n): in how many different texts each of ``wanted`` (term) is among ``parts`` of the text's terms."""
+    each = docs.select("copy", F.explode(parts(terms(F.col("text")))).alias("term"))
+    return each.join(small(materialise(wanted, "wanted")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.withColumn("copy", F.xxhash64("text"))
 
 
-def find(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, str]:
-    """``docs`` with one array column of spans, whose name is returned too.
+def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, spans) of every row of ``docs``.
 
     Kinds are email, ip, card and phone (fixed patterns; matches that fail their check are dropped),
-    then term (the method's additions, where they overlap no base span).  Null and empty texts have no
-    spans; rows that share a doc_id share the terms to look for; rows without a doc_id get base spans only;
-    ties in start are ordered by kind; an empty table stays empty; other columns pass through, and the new
-    column's name avoids theirs.
+    then term (the method's additions, where they overlap no base span; their ``value`` is what stands for them).
+    Null and empty texts have no spans; rows without a doc_id have theirs like any other; repeated rows get equal spans;
+    ties in start are ordered by kind; an empty table gives no rows; other columns are ignored.
+    The patterns run over every text once; texts are read again for terms only if an entity is in enough texts.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = slim.where(F.col("text").isNotNull()).withColumn("copy", F.xxhash64("text"))
+    marked = _marked(docs, text_col)
     based, key = base_spans(marked, F.col("text"))
-    with_entity = based.where(F.size(key) > 0).select("doc_id", "copy", entities(F.col(key)).alias("entities"), F.array_distinct(terms(F.col("text"))).alias("words"))
-    found = disclosing(marked, materialise(with_entity, "protected"), disclosure, support)
-    out, base = base_spans(docs, F.col(text_col))
-    name = fresh(docs, "pii")
-    if found is None:
-        return out.withColumnRenamed(base, name), name
-    gather, pattern = fresh(out, "pii_terms"), fresh(out, "pii_pattern")
-    # at most the document's own terms per row, each a few bytes: a group is never larger than its document
-    per_doc = small(found[1].where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("told") >= REMOVAL, F.col("term"))).alias("removed")).select(F.struct("doc_id", "removed", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])")).alias("pattern")).alias(gather)))
-    joined = out.join(per_doc, out["doc_id"].cast("long") == per_doc[gather]["doc_id"], "left").withColumn(pattern, F.col(gather)["pattern"])
-    hits = F.coalesce(F.regexp_extract_all(F.col(text_col), F.col(pattern), F.lit(0)), F.array().cast("array<string>"))
-    term_spans = F.filter(located(F.col(text_col), F.col(pattern), hits, "term", len(KINDS)), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    # terms to be removed have a rank of their own
-    term_spans = F.transform(term_spans, lambda s: s.withField("rank", F.when(F.array_contains(F.col(gather)["removed"], F.lower(s["value"])), REMOVED).otherwise(s["rank"])))
-    spans = F.concat(F.col(base), F.when(F.col(pattern).isNotNull(), term_spans).otherwise(F.array().cast(SPAN)))
-    return joined.withColumn(name, spans).drop(base, gather, pattern), name
+    base = materialise(based.select("doc_id", "copy", F.col(key).alias("base"), F.when(F.size(key) > 0, terms(F.col("text"))).alias("words")), "base")
+    chosen = disclosing(marked.where("text is not null"), base.where(F.size("base") > 0).select("copy", entities(F.col("base")).alias("entities"), "words"), disclosure, support)
+    if chosen is None:
+        return base.select("doc_id", F.col("base").alias("spans"))
+    chosen = small(materialise(chosen.select(F.col("term").alias("_term"), "general"), "chosen"))
+    # a text's terms are looked up one by one; only texts that hold a chosen one get spans, and copies of a text get them once
+    spans = located(F.col("text"), TERM, matches(F.col("text"), TERM), "term", len(KINDS))
+    each = marked.where("text is not null").dropDuplicates(["copy"]).select("copy", F.explode(spans).alias("s"))
+    hits = each.join(chosen, F.lower("s.value") == F.col("_term")).groupBy("copy").agg(F.collect_list(F.col("s").withField("value", F.col("general"))).alias("found"))
+    hits = materialise(hits.select(F.col("copy").alias("_copy"), "found"), "term-spans")
+    apart = F.filter("found", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    joined = base.join(small(hits), F.col("copy") == F.col("_copy"), "left")
+    return joined.select("doc_id", F.concat("base", F.coalesce(apart, F.array().cast(SPAN))).alias("spans"))
+
+
+def find(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, str]:
+    """``docs`` with one array column of spans as :func:`spans_of` has them, whose name is returned too.
+
+    Other columns pass through, and the new column's name avoids theirs.
+    """
+    text, copy, name = F.col(text_col), fresh(docs, "pii_copy"), fresh(docs, "pii")
+    found = spans_of(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).where(text.isNotNull()), **how).where(F.size("spans") > 0)
+    per_text = small(materialise(found.groupBy(F.col("doc_id").alias(copy)).agg(F.first("spans").alias(name)), "spans"))
+    joined = docs.join(per_text, F.when(text.isNotNull(), F.xxhash64(text)) == per_text[copy], "left").drop(copy)
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(SPAN))), name
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets, as ``[EMAIL]``, and terms that tell nearly all removed; columns are as given."""
+    """``docs`` with every base span replaced by its kind in brackets, as ``[EMAIL]``, and terms by their beginning and ``*``, or removed; columns are as given."""
     found, key = find(docs, text_col, **how)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col(key), lambda s: F.when(s["rank"] == REMOVED, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).drop(key)
+    return found.withColumn(text_col, redacted(F.col(text_col), F.col(key), lambda s: F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).drop(key)

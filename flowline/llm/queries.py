@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, language_id, license_scan, lm_score, mixing, pii, quality, secret_scan, simhash, spans, url_filter
+from .shared import materialise, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +30,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = materialise(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "words")
+    mixed = mixing.mix(sized, words=F.col("words"))
     return mixed.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), F.col("mix.taken").alias("taken"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, key = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter(F.col(key), lambda s: s["kind"].isin(*pii.KINDS))
+    found, key = pii.spans_of(_table(spark, sf_dir, "documents")), F.col("spans")
+    base = F.filter(key, lambda s: s["kind"].isin(*pii.KINDS))
     return found.select(
-        "doc_id", *[spans.count_kind(F.col(key), k).alias(f"n_{k}") for k in pii.KINDS],
-        F.sha2(spans.told(base), 256).alias("base_sha256"), spans.told(F.col(key)).alias("spans"), spans.count_kind(F.col(key), "term").alias("n_term"),
+        "doc_id", *[spans.count_kind(key, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(spans.told(base), 256).alias("base_sha256"), spans.told(key).alias("spans"),
+        spans.count_kind(key, "term").alias("n_term"), F.size(F.filter(key, lambda s: (s["kind"] == "term") & (s["value"] == ""))).cast("long").alias("n_removed"),
     )
 
 
@@ -116,16 +118,15 @@ per AS (
 weighed AS (
   SELECT source, source_size, 3 * source_size AS cap,
          1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM per),
-walked AS (
-  SELECT *,
-    CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0) AS DOUBLE)
-      / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level
-  FROM weighed
-  WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-water AS (
-  SELECT arg_min(level, CAST(cap AS DOUBLE) / weight) AS level FROM walked WHERE level * weight <= cap),
+level AS (
+  WITH RECURSIVE shared(round, level) AS (
+    SELECT 0, sum(source_size)::DOUBLE / sum(weight)::DOUBLE FROM weighed
+    UNION ALL
+    SELECT s.round + 1, (sum(source_size) - coalesce(sum(cap) FILTER (WHERE cap < s.level * weight), 0))::DOUBLE / (sum(weight) FILTER (WHERE cap >= s.level * weight))::DOUBLE
+    FROM shared s, weighed WHERE s.round < (SELECT count(*) FROM weighed) GROUP BY s.round)
+  SELECT arg_max(level, round) AS level FROM shared),
 plan AS (
-  SELECT source, source_size, least(CAST(cap AS DOUBLE), w.level * weight) AS target FROM weighed, water w),
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), w.level * weight) AS target FROM weighed, level w),
 rated AS (
   SELECT d.doc_id, d.size, p.source_size, p.target,
          CASE WHEN p.source_size > 0 THEN least(p.target / p.source_size, 3.0::DOUBLE) ELSE 0 END AS rate,
