@@ -15,8 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths, and a source is no directory: each gets one of its own, from which nothing is inherited."""
     docs = _table(spark, sf_dir, "documents")
-    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")).alias("path"), "text"))
+    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("text")).alias("path"), "text"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
