@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,38 +182,59 @@ def test_languages_of_one_family_and_none(spark, edge):
     assert {r["lang_pred"] for r in language_id.identify(edge, train.where("false")).collect()} == {"und"}
 
 
-def test_lm_score_matches_plain_counts(spark):
-    texts = ["the cat sat", "the dog sat", "xqz zqx!", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_score.score(docs, spark.createDataFrame([(0,), (0,), (1,)], "doc_id long")).collect()}
-
-    def model(chosen):
-        grams = [("\0\0" + t)[i : i + 3] for t in chosen for i in range(len(t))]
-        n, count = len(grams), lambda f: sum(map(f, grams))
-
-        def loss(g):
-            p1 = (count(lambda x: x[2] == g[2]) + 1) / (n + 256)
-            b, ab = count(lambda x: x[1] == g[1]), count(lambda x: x[:2] == g[:2])
-            p2 = count(lambda x: x[1:] == g[1:]) / b if b else 0
-            p3 = count(lambda x: x == g) / ab if ab else 0
-            return -math.log(0.6 * p3 + 0.3 * p2 + 0.1 * p1)
-
-        return loss
-
-    target, everything = model(texts[:2]), model(texts[:3])
-    for i in range(3):
-        grams = [("\0\0" + texts[i])[k : k + 3] for k in range(len(texts[i]))]
-        assert got[i]["score"] == pytest.approx(sum(target(g) - everything(g) for g in grams) / len(grams), abs=1e-5)
-    assert got[3]["score"] is None and got[4]["score"] is None and got[3]["n_tokens"] == 0
-    assert got[0]["score"] < got[2]["score"]
-
-
-def test_lm_long_text_in_pieces(spark, monkeypatch):
-    docs = spark.createDataFrame([(0, "abcdefgh" * 50), (1, "hello")], "doc_id long, text string")
-    targets = spark.createDataFrame([(1,)], "doc_id long")
-    whole = sorted(map(tuple, lm_score.score(docs, targets).collect()))
-    monkeypatch.setattr(lm_score, "BLOCK", 7)
-    assert sorted(map(tuple, lm_score.score(docs, targets).collect())) == [pytest.approx(r) for r in whole]
+def brute_lm(docs, targets, vocabulary):
+    """Losses by plain counts of all other documents."""
+    words = [[w.lower() for w in (t or "").split()] for _, t in docs]
+    hit = [i in targets for i, _ in docs]
+    grams = [list(zip([None, *w[:-1]], w)) for w in words]
+    tokens = sum(map(len, words))
+    prior = lm_score.PRIOR * max(1, sum(len(w) for w, h in zip(words, hit) if h)) / max(1, tokens), lm_score.PRIOR
+    out = []
+    for i, own in enumerate(grams):
+        loss = [0.0, 0.0]
+        for m, a in enumerate(prior):
+            others = [g for j, gs in enumerate(grams) if j != i and (m or hit[j]) for g in gs]
+            pair, context = Counter(others), Counter(h for h, _ in others)
+            loss[m] = sum(-math.log((pair[g] + a / vocabulary) / (context[g[0]] + a)) for g in own)
+        out.append((docs[i][0], hit[i], len(own), *([x / len(own) for x in loss] if own else [None] * 2)))
+    return out
+
+
+@pytest.mark.parametrize("block,reported,heavy", [(1 << 19, 16, 1 / 131072), (40, 2, 0.02), (1, 1, 0.001)])
+def test_lm_score_matches_plain_counts(spark, monkeypatch, block, reported, heavy):
+    """Blocks of all sizes, and with many, few or no keys counted beforehand."""
+    monkeypatch.setattr(lm_score, "REPORTED", reported)
+    monkeypatch.setattr(lm_score, "HEAVY", heavy)
+    rng = random.Random(block)
+    docs = [(i, " ".join(rng.choice(["the", "The", "of", "cat", "dög", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(30)))) for i in range(60)]
+    docs += [(60, None), (61, ""), (62, " \n "), (None, "the cat"), (3, "again the cat"), (70, "only here twice or not"), (71, "only here twice or not"), (72, "once and here never again")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("is_target", F.lit(1)).repartition(3)
+    targets = list(range(0, 60, 4))
+    got = lm_score.score(df, spark.createDataFrame([(t,) for t in targets * 2], "doc_id long"), block=block, vocabulary=50).collect()
+    want = brute_lm(docs, set(targets), 50)
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    for g, w in zip(order(map(tuple, got)), order(want), strict=True):
+        assert g[:3] == w[:3] and g[3:5] == pytest.approx(w[3:], abs=1e-4) and (g[5] is None) == (w[3] is None)
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[71] > by[72]  # known from its copy
+    none = lm_score.score(df, spark.createDataFrame([], "doc_id long")).where("n_tokens > 0")
+    assert none.where("target_loss is null or is_target").count() == 0
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcDÉ日", k=rng.randint(1, 12))) for _ in range(3000)]
+    hashes = lm_score.word_hashes(("  " + "\n".join(words) + " ").encode())
+    lowered = [w.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))) for w in words]
+    assert len(hashes) == len(words) and len(set(zip(hashes.tolist(), lowered))) == len(set(hashes.tolist())) == len(set(lowered))
+    monkeypatch.setattr(lm_score, "_PIECE", 64)
+    assert (lm_score.word_hashes("\n".join(words).encode()) == hashes).all()
+
+
+def test_vocabulary_is_counted(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 10 + k) % 15000) for k in range(10)]).alias("text"), F.lit(False).alias("is_target")).select("doc_id", F.col("text").cast("binary"), "is_target")
+    _, total, words = lm_score._survey(docs, 1 << 12)
+    assert abs(words - 15000) < 450 and total[-1] == 20000 and total[-2] == 0
 
 
 def brute_rule(host, path, rules):
