@@ -12,8 +12,8 @@ unknown to both.
 The loss of a token is a term of its bigram's counts less one of its context's, so counts needn't be
 brought together by token.  Each document sends one entry per different bigram and context, by 64-bit
 hash, to the hash's bucket; the bucket counts, takes each document's own off and returns sums per
-document.  Keys with more than a fixed share of all entries (at most 131,072 of them, by the
-pigeonhole principle) are counted beforehand and never sent, so no bucket is hot.
+document.  Keys with many of all entries (at most 524,288 of them, by the pigeonhole principle) are
+counted beforehand and never sent; any other has under eight entries for each block of documents.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from .shared import materialise, publish, small
 PRIOR = 1.0
 #: Tokens of the documents that a task works on together; a longer document is a block of its own.
 BLOCK = 1 << 19
-#: Entries of one key in a block from which they are reported, and the share of all entries from which a key is counted beforehand.
-REPORTED, HEAVY = 16, 1 / 131072
+#: Entries of one key in a block from which they are reported, and the least share of all entries of a key that is counted beforehand.
+REPORTED, HEAVY = 4, 1 / (1 << 18)
 #: Entries that a bucket should hold, and the least number of buckets.
-BUCKET_ENTRIES, MIN_BUCKETS = 1 << 21, 32
+BUCKET_ENTRIES, MIN_BUCKETS = 1 << 20, 32
 #: Bytes of a key behind its bucket; with more buckets keys tell more apart.
 KEY_BYTES = 6
 #: Binary logarithm of the registers by which different words are counted (an error of 0.8 %).
@@ -125,20 +125,20 @@ def losses(key: np.ndarray, target: np.ndarray, everything: np.ndarray, prior: t
 
 
 def _survey(marked: DataFrame, size: int) -> tuple[np.ndarray, dict[int, int], int]:
-    """Keys that may be heavy, totals (tokens -1, the target's -2, entries -3), and the number of different words."""
+    """Keys that may be heavy, totals (tokens -1, the target's -2, entries -3, blocks -4), and the number of different words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registers = np.zeros(1 << REGISTERS, np.int64)
         for b in blocks(batches, size):
             at, n = b.runs()
             often = n >= REPORTED
-            sums = np.array([b.tokens.sum(), b.tokens[b.target].sum(), len(b.key)])
+            sums = np.array([b.tokens.sum(), b.tokens[b.target].sum(), len(b.key), 1])
             for w in b.words:
                 rest = w & np.uint64((1 << (64 - REGISTERS)) - 1)
                 rank = 65 - REGISTERS - np.frexp(rest.astype(np.float64))[1].clip(0, 64 - REGISTERS)
                 np.maximum.at(registers, (w >> np.uint64(64 - REGISTERS)).astype(np.int64), rank)
-            kinds = np.repeat([0, 1], [often.sum(), 3])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), pa.array(np.concatenate([b.key[at[often]].view(np.int64), [-1, -2, -3]])), pa.array(np.concatenate([n[often], sums]))], names=["kind", "key", "n"])
+            kinds = np.repeat([0, 1], [often.sum(), 4])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int8)), pa.array(np.concatenate([b.key[at[often]].view(np.int64), [-1, -2, -3, -4]])), pa.array(np.concatenate([n[often], sums]))], names=["kind", "key", "n"])
         hit = np.flatnonzero(registers)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), 2, np.int8)), pa.array(hit), pa.array(registers[hit])], names=["kind", "key", "n"])
 
@@ -151,8 +151,10 @@ def _survey(marked: DataFrame, size: int) -> tuple[np.ndarray, dict[int, int], i
     words = 0.7213 / (1 + 1.079 / m) * m * m / (2.0**-registers).sum()
     if words <= 2.5 * m and (registers == 0).any():
         words = m * np.log(m / (registers == 0).sum())
-    # a key of this share is reported for at least half of its entries, so at most 2 / HEAVY keys pass
-    often = found.where((F.col("kind") == 0) & (F.col("n") >= HEAVY / 2 * total.get(-3, 0))).select("key").toArrow()["key"].to_numpy().view(np.uint64)
+    # what blocks leave out of a key is less than REPORTED for each, so a key above twice that is reported for half of its
+    # entries at least; no more than 2 / HEAVY keys pass
+    least = max(HEAVY * total.get(-3, 0), 2 * REPORTED * total.get(-4, 0)) / 2
+    often = found.where((F.col("kind") == 0) & (F.col("n") >= least)).select("key").toArrow()["key"].to_numpy().view(np.uint64)
     return np.sort(often), total, max(1, round(words))
 
 

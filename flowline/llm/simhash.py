@@ -33,6 +33,9 @@ from .shared import drop_documents, materialise
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
+#: Where documents are deduplicated: families of fingerprints, bits of each that are searched, words of a shingle, and the
+#: share of all families' bits in which a linked pair may differ (a half for unrelated texts, 0.15 at a similarity of 0.8).
+FAMILIES, STAGE_BITS, STAGE_WORDS, APART = 12, 56, 5, 0.25
 #: Least binary logarithm of the number of buckets, and variants that a bucket should hold.
 MIN_BUCKET_BITS, BUCKET_VARIANTS = 7, 1 << 24
 #: Variants that a reducer holds at once.
@@ -42,21 +45,49 @@ BLOCK = 1 << 13
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, block: int = 1 << 16) -> int:
-    """SimHash of a UTF-8 text: bit set where more than half of the shingles' hashes have it; 0 without words.
+def fingerprints(text: bytes | None, families: int = 1, shingle_words: int = SHINGLE_WORDS, block: int = 1 << 16) -> list[int]:
+    """SimHashes of a UTF-8 text: bit set where more than half of the shingles' hashes have it; 0 without words.
 
     Shingles are hashed in blocks, so memory is bounded by the text and not by 64 times its words.
     """
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * families
     count = max(1, len(words) - shingle_words + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    bits = np.zeros(64, np.int64)
+    bits = np.zeros((families, 64), np.int64)
     for at in range(0, count, block):
         hashes = np.fromiter((digest(join(words[i : i + shingle_words]), SEED) for i in range(at, min(at + block, count))), np.uint64)
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > count, bitorder="little").tobytes(), "little")
+        for k in range(families):
+            bits[k] += np.unpackbits(family(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(bits * 2 > count, axis=1, bitorder="little").view(np.uint64).reshape(-1).tolist()
+
+
+def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, block: int = 1 << 16) -> int:
+    """The first family's fingerprint."""
+    return fingerprints(text, 1, shingle_words, block)[0]
+
+
+def family(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th family's hashes of the same shingles; the first is the hashes themselves."""
+    if not k:
+        return hashes
+    x = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def with_fingerprints(docs: DataFrame, families: int, shingle_words: int, text_col: str = "text") -> DataFrame:
+    """(doc_id, fps): several families' fingerprints of each row, as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprints(t.as_py(), families, shingle_words) for t in b.column(1)], np.uint64).reshape(-1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * families, pa.array(found))], names=["doc_id", "fps"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
@@ -132,16 +163,16 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
     return fps[links.reshape(-1)].reshape(-1, 2)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
     """Links (u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits.
 
     Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
-    component but need not be neighbours themselves.  ``fps`` has one row per distinct fingerprint.
+    component but need not be neighbours themselves.  ``fps`` has one row per distinct fingerprint of ``width`` bits.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: both sides meet at half of it")
-    masks = ball(half)
+    masks = ball(half, width)
     count = fps.count()
     bits = min(24, max(MIN_BUCKET_BITS, int(np.ceil(np.log2(max(1, count * len(masks) / BUCKET_VARIANTS))))))
 
@@ -208,12 +239,40 @@ def hex_fingerprint(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` with an id: the smallest id that links of any family reach.
+
+    One fingerprint sees a pair of similarity 0.9 within the radius at about every third draw; several families of
+    hashes over the same shingles are as many draws, each searched by ball hashing.  A link counts if the two differ in no more than
+    ``APART`` of all families' bits, which unrelated texts never do.  Rows without an id are left out; null and
+    wordless texts are copies of each other; an empty table gives no rows.
+    """
+    prints = materialise(with_fingerprints(docs.where("doc_id is not null"), families, shingle_words), "fingerprints")
+    same = materialise(prints.groupBy("fps").agg(F.min("doc_id").alias("low")), "distinct")  # one row per different vector of fingerprints
+    links = None
+    for k in range(families):
+        fp = F.get("fps", F.lit(k)).bitwiseAND(F.lit((1 << STAGE_BITS) - 1))
+        held = materialise(same.groupBy(fp.alias("fp")).agg(F.min("low").alias("rep")), "family")
+        alike = same.join(held, fp == F.col("fp")).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+        near = linked(held, radius, STAGE_BITS).distinct()
+        near = near.join(held.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(held.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+        found = materialise(alike.union(near.select("a", "b")), "links")
+        links = found if links is None else links.union(found)
+    most = int(APART * 64 * families)
+    of = lambda end: same.select(F.col("low").alias(end), F.col("fps").alias(f"of_{end}"))
+    differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
+    sure = links.distinct().join(of("u"), "u").join(of("v"), "v").where(differ <= most).select("u", "v")
+    roots = materialise(connected(sure), "roots")
+    named = same.join(roots, F.col("low") == F.col("node"), "left").select("fps", F.coalesce("root", "low").alias("component_id"))
+    return prints.join(named, "fps").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns are as given.
 
     Rows that share an id are one document: if the kept ids repeat, one row of each stays.  Rows without an id stay.
     """
-    near = materialise(near_duplicates(docs, radius).select("doc_id", "component_id"), "near")
+    near = materialise(near_copies(docs, families, shingle_words, radius), "near")
     kept = drop_documents(docs, near.where("doc_id <> component_id").select("doc_id"))
     ids = near.where("doc_id = component_id").select("doc_id")
     if ids.groupBy("doc_id").count().where("count > 1").isEmpty():

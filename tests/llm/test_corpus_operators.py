@@ -39,6 +39,43 @@ def brute_components(ids, prints, radius=4):
     return {ids[i]: min(ids[j] for j in range(len(ids)) if find(j) == find(i)) for i in range(len(ids))}
 
 
+def brute_copies(ids, texts):
+    """Smallest id reachable by links of any family of five-word fingerprints."""
+    prints = [simhash.fingerprints((t or "").encode(), simhash.FAMILIES, 5) for t in texts]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if any(((a ^ b) % (1 << simhash.STAGE_BITS)).bit_count() <= 4 for a, b in zip(prints[i], prints[j])):
+                a, b = find(ids[i]), find(ids[j])
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_recall_of_near_copies(spark):
+    """Copies with a similarity of 0.8 or more in five-word shingles, as edits of single words make them, against all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7)))
+    docs, pairs = [], []
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for i in range(150):
+        words = [word() for _ in range(rng.randint(80, 600))]
+        other = [word() if rng.random() < rng.choice((0.005, 0.01, 0.015)) else w for w in words]
+        a, b = shingles(words), shingles(other)
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((i, len(a & b) / len(a | b)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for least, share in ((0.8, 0.85), (0.9, 0.97)):
+        similar = [i for i, j in pairs if j >= least]
+        assert len(similar) > 60 and sum(got[2 * i + 1] == 2 * i for i in similar) >= share * len(similar)
+    assert all(got[2 * i] == 2 * i for i in range(150))
+
+
 def test_fingerprints_in_blocks():
     rng = random.Random(2)
     for n in (0, 1, 3, 4, 5, 400):
@@ -184,7 +221,7 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in stages["quality_rules"](spark, docs, SF).collect()}
     assert all(len((rows[i] or "").encode().split()) >= 50 for i in kept)
     ids = sorted(rows)
-    want = brute_components(ids, [brute_fingerprint(rows[i]) for i in ids])
+    want = brute_copies(ids, [rows[i] for i in ids])
     assert {r["doc_id"] for r in stages["near_dedup"](spark, docs, SF).collect()} == {i for i in ids if want[i] == i}
     final = corpus_pipeline.run(spark, SF).collect()
     assert final and {r["doc_id"] for r in final} <= kept
