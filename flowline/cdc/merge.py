@@ -6,22 +6,30 @@ visible to that scan (xid >= xmin): at least once, never lost.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import in_range
+from ..functions.values import in_range, uuid_place
 from ..operators.numbering import interval_lookup
 from .wal import DELETE, READ
 
 EMIT, STALE, UNSCANNED, BUFFER = "emit", "discard_stale", "discard_unscanned", "buffer"
 
 
+def _place(changes: DataFrame) -> Callable[[Column], Column]:
+    """How the interval join places keys: whole numbers as they are, UUIDs by their first bits."""
+    return uuid_place if dict(changes.dtypes)["pk"] == "string" else lambda c: c
+
+
 def verdicts(changes: DataFrame, scanned: DataFrame, streaming: bool = False, current: tuple[str, int | None, int | None] | None = None) -> DataFrame:
     """``changes`` (table, pk, xid ...) with chunk_id, xmin and ``verdict``.
 
     ``scanned`` has table, chunk_id, low, high, xmin, disjoint within a table.  ``current`` is the chunk being read
-    (table, low, estimated high): its changes are buffered.  Once streaming, all are emitted.
+    (table, low, estimated high): its changes are buffered.  Once streaming, all are emitted.  Keys are whole numbers
+    or canonical UUIDs.
     """
-    found = interval_lookup(changes, scanned, "table", "pk", "low", "high", ["chunk_id", "xmin"])
+    found = interval_lookup(changes, scanned, "table", "pk", "low", "high", ["chunk_id", "xmin"], _place(changes))
     reading = F.lit(False)
     if current is not None:
         table, low, high = current
@@ -58,7 +66,7 @@ def replay(changes: DataFrame, chunks: DataFrame, complete_at: int | None) -> Da
     ended = chunks.where(F.col("end").isNotNull()).select("table", "low", "high", F.col("begin").alias("_its_begin"), F.col("end").alias("_its_end"), F.col("xmin").alias("_its_xmin"))
     read = chunks.select(F.lit(1).alias("_all"), F.col("begin").alias("_from"), (F.col("end") - 1).alias("_to"), F.col("table").alias("_now_table"), F.col("low").alias("_now_low"), F.col("estimated").alias("_now_high"))
     read = read.withColumn("_now", F.struct("_now_table", "_now_low", "_now_high", F.col("_from").alias("begin")))
-    found = interval_lookup(changes, ended, "table", "pk", "low", "high", ["_its_begin", "_its_end", "_its_xmin"])
+    found = interval_lookup(changes, ended, "table", "pk", "low", "high", ["_its_begin", "_its_end", "_its_xmin"], _place(changes))
     found = interval_lookup(found.withColumn("_all", F.lit(1)), read, "_all", "place", "_from", "_to", ["_now"])
     now = F.col("_now")
     buffered = now.isNotNull() & (now["_now_table"] == F.col("table")) & in_range(pk, now["_now_low"], now["_now_high"])
@@ -88,11 +96,14 @@ def overflow(judged: DataFrame, chunk_plan: DataFrame) -> DataFrame:
 
 
 def apply(events: DataFrame, order: Column | None = None) -> DataFrame:
-    """Current rows after all events: the last event of each (table, pk) by lsn, reads first, unless it deletes.
+    """Current rows after all events: the last event of each (table, pk), reads first, unless it deletes.
 
+    Changes are in order of lsn and, where the events have that column, of ``place`` in their transaction, since all changes of
+    a transaction may carry the lsn of its commit.
     Only the greatest event per key is kept in partial aggregates, so a key with very many events is no burden.
     """
-    last = order if order is not None else F.coalesce("lsn", F.lit(-1).cast("bigint"))
+    lsn = F.coalesce("lsn", F.lit(-1).cast("bigint"))
+    last = order if order is not None else F.struct(lsn, F.coalesce("place", F.lit(-1).cast("bigint"))) if "place" in events.columns else lsn
     others = [c for c in events.columns if c not in ("table", "pk")]
     newest = events.groupBy("table", "pk").agg(F.max_by(F.struct(*others), last).alias("_e"))
     return newest.where(F.col("_e")["op"] != DELETE).select("table", "pk", "_e.*")

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import in_range
-from ..operators.numbering import numbered
+from ..functions.values import canonical_uuid, in_range
+from ..operators.numbering import numbered, ranked
 
 CHUNK_SIZE = 1000
 
 
 def chunks(rows: DataFrame, pk: str, table: str, size: int = CHUNK_SIZE) -> DataFrame:
-    """(table, pk, chunk_id, row): rows in chunks of ``size`` by ascending key, chunk ids from 0 within the table."""
+    """(table, pk, chunk_id, row): rows in chunks of ``size`` by ascending key, chunk ids from 0 within the table.
+
+    Keys are whole numbers, or UUIDs as text, which are kept in canonical form and in its order.
+    """
     if size < 1:
         raise ValueError("the chunk size must be at least 1")
-    keyed = rows.select(F.lit(table).alias("table"), F.col(pk).cast("bigint").alias("pk"), F.struct(*rows.columns).alias("row"))
-    return numbered(keyed, ["table"], "pk", "_place").withColumn("chunk_id", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
+    text = dict(rows.dtypes)[pk] == "string"
+    key = canonical_uuid(F.col(pk)) if text else F.col(pk).cast("bigint")
+    keyed = rows.select(F.lit(table).alias("table"), key.alias("pk"), F.struct(*rows.columns).alias("row"))
+    placed = (ranked if text else numbered)(keyed, ["table"], "pk", "_place")
+    return placed.withColumn("chunk_id", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
 
 
 def plan(chunked: DataFrame) -> DataFrame:

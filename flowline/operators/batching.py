@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,10 @@ from .outcomes import FAILED, OK
 BATCH_SIZE, BATCH_TIMEOUT = 100, 3.0
 
 
+#: What a batch's messages go through: it returns those that it processed.
+Handler = Callable[[pd.DataFrame], pd.DataFrame | None] | None
+
+
 @dataclass(frozen=True)
 class Batcher:
     name: str = "default"
@@ -62,21 +67,54 @@ def lists(batched: DataFrame) -> DataFrame:
     return batched.groupBy("batcher", "batch_key", "batch_no").agg(F.array_join(seqs, ",").alias("seqs"))
 
 
-def handle(batched: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame | None]) -> DataFrame:
+def judged(batch: pd.DataFrame, handler: Handler) -> tuple[list[str], list[str | None]]:
+    """Statuses and errors of a batch's messages after its handler; None as a handler accepts all."""
+    if handler is None:
+        return [OK] * len(batch), [None] * len(batch)
+    try:
+        done, error = handler(batch.copy()), None
+    except Exception as e:  # the handler's own failure is data here
+        done, error = None, f"{type(e).__name__}: {e}"
+    back = set() if done is None else set(done["seq"])
+    ok = [s in back for s in batch["seq"]]
+    return [OK if x else FAILED for x in ok], [None if x else error or "not returned by its batch" for x in ok]
+
+
+def handle(batched: DataFrame, handlers: Handler | dict[str, Handler]) -> DataFrame:
     """Outcomes (seq, status, error) of every message after its batch's handler.
 
-    The handler gets a batch's messages in order of seq and returns those it processed.  Messages it doesn't return, and
-    all of a batch whose handler raises, fail; so every message has one outcome.
+    ``handlers`` is one for all batches or one for each batcher; a batcher without one accepts its batches.  A handler
+    gets a batch's messages in order of seq and returns those it processed.  Messages it doesn't return, and all of a batch
+    whose handler raises, fail; so every message has one outcome.  Batches are dealt to tasks whole and cut from
+    sorted rows, so a call of Python handles many of them.
     """
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("seq")
-        try:
-            done, error = handler(batch.copy()), None
-        except Exception as e:
-            done, error = None, f"{type(e).__name__}: {e}"
-        back = set() if done is None else set(done["seq"])
-        ok = batch["seq"].isin(back)
-        return pd.DataFrame({"seq": batch["seq"], "status": ok.map({True: OK, False: FAILED}), "error": [None if x else error or "not returned by its batch" for x in ok]})
-
-    return batched.groupBy("batcher", "batch_key", "batch_no").applyInPandas(run, "seq long, status string, error string")
+    of = handlers.get if isinstance(handlers, dict) else lambda _: handlers
+    keys = ["batcher", "batch_key", "batch_no"]
+    dealt = batched.withColumn("_batch", F.to_json(F.struct(*keys))).repartition("_batch").sortWithinPartitions("_batch", "seq")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def outcome(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+            """Outcomes of the batches in ``rows`` that are whole, and the rows of the last one if more of it may come."""
+            names = rows["_batch"].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(rows)] if len(rows) else [0]
+            plain, statuses, errors = rows.drop(columns="_batch"), [], []
+            whole = cuts if last else cuts[:-1]
+            for a, b in zip(whole, whole[1:]):
+                batch = plain.iloc[a:b].reset_index(drop=True)
+                status, error = judged(batch, of(batch["batcher"].iloc[0]))
+                statuses += status
+                errors += error
+            done = pd.DataFrame({"seq": plain["seq"].iloc[: whole[-1]].astype("int64"), "status": pd.Series(statuses, dtype=object, index=plain.index[: whole[-1]]), "error": pd.Series(errors, dtype=object, index=plain.index[: whole[-1]])})
+            return done, None if last else rows.iloc[whole[-1] :]
+
+        for part in parts:
+            if len(part):
+                done, held = outcome(part if held is None or not len(held) else pd.concat([held, part], ignore_index=True), False)
+                if len(done):
+                    yield done
+        if held is not None and len(held):
+            yield outcome(held.reset_index(drop=True), True)[0]
+
+    return dealt.mapInPandas(run, "seq long, status string, error string")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def map_columns(messages: DataFrame, error: Column | None = None, **changes: Column) -> DataFrame:
@@ -21,22 +21,20 @@ def map_rows(messages: DataFrame, handler: Callable[[dict], dict | None]) -> Dat
     message's error and leaves it unchanged.  Fields that a handler leaves out keep their values, so
     the envelope is never lost.  Messages that failed before are passed through.
     """
-    schema: T.StructType = messages.schema
-    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 if row.get("error") is None:
                     try:
                         row = {**row, **(handler(dict(row)) or {})}
                     except Exception as e:  # the handler's own failure is data here
                         row = {**row, "error": f"{type(e).__name__}: {e}"}
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
-    return messages.mapInPandas(run, schema)
+    return messages.mapInArrow(run, messages.schema)
 
 
 def succeeded(messages: DataFrame) -> DataFrame:

@@ -70,6 +70,13 @@ _DONE = f"""{_CHUNKS},
 acked AS (SELECT chunk_id, count(*) AS acked FROM c WHERE NOT (chunk_id % 7 = 5 AND pk % 1000 = 17) GROUP BY chunk_id),
 done AS (SELECT p."table", p.chunk_id, p.size, p.hi, coalesce(acked, 0) AS acked, coalesce(acked, 0) >= size AS complete FROM p LEFT JOIN acked USING (chunk_id))"""
 
+_DASHED = lambda n: "(" + " || '-' || ".join(f"substr(md5(CAST({n} AS VARCHAR)), {a}, {k})" for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+
+_UUIDS = f"""
+c AS (
+  SELECT 'public.orders' AS "table", {_DASHED("o_orderkey")} AS pk, CAST(floor((row_number() OVER (ORDER BY {_DASHED("o_orderkey")}) - 1) / 1000) AS BIGINT) AS chunk_id FROM orders),
+p AS (SELECT "table", chunk_id, count(*) AS size, min(pk) AS lo, max(pk) AS hi FROM c GROUP BY ALL)"""
+
 _DIGIT = "CAST(md5(CAST(event_id AS VARCHAR)) AS VARCHAR)"
 
 ORACLE: dict[str, str] = {
@@ -91,7 +98,7 @@ FROM events""",
     "fnv1a32": f"WITH {_KEYS} SELECT key, h AS hash FROM hashed",
     "ring_owner": f"WITH {_RING} SELECT key, owner FROM owned",
     "ring_affinity": f"WITH {_RING} SELECT owner, count(DISTINCT key) AS keys, count(*) AS messages FROM events JOIN owned ON key = 'user-' || user_id GROUP BY owner",
-    "partition_affinity": "SELECT CAST(user_id AS VARCHAR) AS partition_key, CAST(1 AS BIGINT) AS parts, true AS in_order FROM events WHERE event_id % 11 <> 0 GROUP BY user_id",
+    "partition_affinity": "SELECT CAST(user_id AS VARCHAR) AS partition_key, count(*) AS n, CAST(1 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS falls FROM events WHERE event_id % 11 <> 0 GROUP BY user_id",
     "demand_greedy": """WITH d AS (SELECT i AS request, 90 - i % 3 * 10 AS demand FROM range(12) t(i)),
 e AS (SELECT request, sum(demand) OVER (ORDER BY request) AS stop, sum(demand) OVER (ORDER BY request) - demand AS start FROM d)
 SELECT request, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events JOIN e ON event_id >= start AND event_id < stop GROUP BY request""",
@@ -124,13 +131,23 @@ r(range_id, low, high) AS (VALUES (0, NULL, 100), (1, 100, 500), (2, 500, NULL),
 i AS (SELECT range_id, pk IS NOT NULL AND (low IS NULL OR pk > low) AND (high IS NULL OR pk <= high) AS inside FROM k CROSS JOIN r)
 SELECT range_id, count(*) FILTER (WHERE inside) AS n_inside, count(*) FILTER (WHERE NOT inside) AS n_outside FROM i GROUP BY range_id""",
     "merge_verdict": f"WITH {_MERGED} SELECT xid, pk, coalesce(chunk_id, -1) AS chunk_id, verdict FROM v",
+    "chunk_plan_uuid": f"WITH {_UUIDS} SELECT * FROM p",
+    "merge_verdict_uuid": f"""WITH {_UUIDS},
+r AS (SELECT * FROM (SELECT chunk_id, lag(hi) OVER (ORDER BY chunk_id) AS low, hi AS high, chunk_id * 500 AS xmin FROM p) WHERE chunk_id % 5 <> 4),
+{_LOG},
+k AS (SELECT xid, {_DASHED("pk")} AS pk FROM w)
+SELECT k.xid, k.pk, coalesce(r.chunk_id, -1) AS chunk_id, CASE WHEN r.chunk_id IS NULL THEN 'discard_unscanned' WHEN k.xid >= r.xmin THEN 'emit' ELSE 'discard_stale' END AS verdict
+FROM k LEFT JOIN r ON (r.low IS NULL OR k.pk > r.low) AND k.pk <= r.high""",
+    "apply_transactions": f"""WITH {_LOG}, e AS (SELECT "table", pk % 50 AS pk, op, lsn // 8 * 8 + 7 AS lsn, lsn AS place FROM w)
+SELECT "table", pk, op, lsn, place FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY "table", pk ORDER BY lsn DESC, place DESC) = 1) WHERE op <> 'DELETE'""",
+    "stream_stop": "SELECT event_type, count(*) AS n, true AS idle FROM events GROUP BY event_type",
     "merge_in_progress": f"""WITH {_MERGED} SELECT CASE WHEN chunk_id IS NULL AND pk > 3999 AND pk <= 4999 THEN 'buffer' ELSE verdict END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "merge_stream": f'WITH {_STREAM} SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM s',
     "merge_overflow": f"WITH {_CHUNKS}, {_LOG} SELECT xid, pk FROM w WHERE pk > (SELECT max(hi) FROM p WHERE chunk_id < 3)",
     "merge_replay": f"""WITH {_CHUNKS}, {_LOG},
 x AS (SELECT lsn AS place, lsn - lsn % 5 * 150 AS xid, pk FROM w),
 r AS (
-  SELECT chunk_id * 400 AS begin, chunk_id * 400 + 300 AS stop, lag(hi) OVER (ORDER BY chunk_id) AS low, hi AS high, hi + 500 AS est, chunk_id * 400 AS xmin FROM p WHERE chunk_id < 12),
+  SELECT chunk_id * 400 AS begin, chunk_id * 400 + 300 AS stop, lag(hi) OVER (ORDER BY chunk_id) AS low, hi AS high, hi + 500 AS est, chunk_id * 400 AS xmin  FROM p),
 j AS (
   SELECT x.*, i.begin AS its_begin, i.stop AS its_stop, i.xmin, n.begin AS now_begin
   FROM x LEFT JOIN r i ON (i.low IS NULL OR pk > i.low) AND pk <= i.high
@@ -165,12 +182,19 @@ SELECT qualified, CASE WHEN strpos(qualified, '.') > 0 THEN substr(qualified, 1,
     "chunk_ack_complete": f"WITH {_DONE} SELECT * FROM done",
     "snapshot_cursor": f"""WITH {_DONE},
 o AS (SELECT "table", max_by(hi, chunk_id) FILTER (WHERE chunk_id < coalesce((SELECT min(chunk_id) FROM done WHERE NOT complete), 9223372036854775807)) AS cursor FROM done GROUP BY "table")
-SELECT "table", cursor IS NOT NULL AS is_set, coalesce(cursor, -1) AS cursor FROM o UNION ALL SELECT 'public.customer', false, -1""",
+SELECT "table", cursor IS NOT NULL AS is_set, coalesce(cursor, -1) AS cursor FROM o
+UNION ALL
+SELECT 'public.customer', q.hi IS NOT NULL, coalesce(q.hi, -1) FROM (
+  SELECT max(hi) FILTER (WHERE chunk_id < coalesce(pending, 9223372036854775807)) AS hi FROM (
+    SELECT chunk_id, max(c_custkey) AS hi, min(CASE WHEN bool_or(c_custkey = 3) THEN chunk_id END) OVER () AS pending
+    FROM (SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 1000) AS BIGINT) AS chunk_id FROM customer) GROUP BY chunk_id)) q""",
     "confirmed_lsn": f"WITH {_STREAM} SELECT greatest(10, max(lsn) FILTER (WHERE op <> 'READ')) AS confirmed_lsn FROM s WHERE pk % 2 = 0",
     "phase_state": f"""WITH {_DONE}
 SELECT "table", count(*) FILTER (WHERE NOT complete) AS pending, count(*) FILTER (WHERE complete) AS completed,
        CASE WHEN count(*) FILTER (WHERE NOT complete) = 0 THEN 'streaming' ELSE 'snapshot' END AS phase FROM done GROUP BY "table"
-UNION ALL SELECT 'public.full', 0, count(*), 'streaming' FROM p""",
+UNION ALL
+SELECT 'public.full', count(*) FILTER (WHERE n < size), count(*) FILTER (WHERE n >= size), CASE WHEN count(*) FILTER (WHERE n < size) = 0 THEN 'streaming' ELSE 'snapshot' END
+FROM p JOIN (SELECT chunk_id, count(*) AS n FROM c GROUP BY chunk_id) USING (chunk_id)""",
     "connector_state": f"""WITH {_DONE},
 f AS (SELECT min(chunk_id) AS pending FROM done WHERE NOT complete)
 SELECT 'slot-1' AS slot, CASE WHEN (SELECT pending FROM f) IS NULL THEN 'streaming' ELSE 'snapshot' END AS phase, (SELECT max(event_id) FROM events) AS confirmed_lsn,
@@ -185,3 +209,4 @@ SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM (SELECT * FROM e QUALIFY r
 }
 ORACLE["stream_sessions"] = ORACLE["session_fold"]
 ORACLE["stream_batches"] = ORACLE["batch_assign"]
+ORACLE["stream_pipeline"] = ORACLE["pipeline_outcomes"]

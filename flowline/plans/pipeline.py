@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import batching, envelope, outcomes, process
 from ..operators.batching import Batcher
 from ..streaming import run as streaming
+from . import storage
 
 
 @dataclass(frozen=True)
@@ -35,21 +36,37 @@ class Pipeline:
         if len({b.name for b in self.batchers}) < len(self.batchers):
             raise ValueError("batchers need different names")
 
+    def _processed(self, source: DataFrame) -> DataFrame:
+        return self.processor(envelope.wrap(source, self.seq, self.partition_by, self.batcher, self.batch_key))
+
     def outcomes(self, source: DataFrame) -> DataFrame:
-        """(seq, status, error), one row for each row of ``source``."""
-        done = self.processor(envelope.wrap(source, self.seq, self.partition_by, self.batcher, self.batch_key))
+        """(seq, status, error), one row for each row of ``source``.
+
+        Processed messages are written once and read by every branch, so that a processor which isn't deterministic can't give a
+        message two outcomes or none; all batchers' handlers run in one pass.
+        """
+        done = self._processed(source)
         if not self.batchers:
             return outcomes.of(done)
-        routed = envelope.route(process.succeeded(done))
+        done, _ = storage.written(envelope.route(done), "processed")
         table = batching.table(source.sparkSession, list(self.batchers))
-        out = outcomes.of(process.failed(done)).unionByName(outcomes.of(batching.unknown(routed, table)))
+        routed = process.succeeded(done)
         batched = batching.assign(batching.known(routed, table))
-        plain = batched.where(~F.col("batcher").isin(*self.handlers)) if self.handlers else batched
-        out = out.unionByName(outcomes.of(plain))
-        for name, handler in self.handlers.items():
-            out = out.unionByName(batching.handle(batched.where(F.col("batcher") == name), handler))
-        return out
+        out = outcomes.of(process.failed(done)).unionByName(outcomes.of(batching.unknown(routed, table)))
+        return out.unionByName(batching.handle(batched, self.handlers))
 
     def start(self, stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-        """The same over a stream; outcomes go to ``path``.  Batches are those of each micro-batch."""
-        return streaming.sink(stream, path, checkpoint, self.outcomes, interval=interval)
+        """The same over a stream; outcomes go to ``path``.
+
+        Batches fill up over micro-batches and are handed on when they are full or when their first message has waited for the
+        batcher's timeout.  When a drained or stopped stream won't go on, :meth:`flush` hands on what still waits.
+        """
+        done = self._processed(stream)
+        if not self.batchers:
+            return streaming.sink(outcomes.of(done), path, checkpoint, interval=interval)
+        return streaming.sink(streaming.handled(envelope.route(done), self.batchers, self.handlers), path, checkpoint, interval=interval)
+
+    def flush(self, spark: SparkSession, path: str, checkpoint: str) -> None:
+        """Hands on the incomplete batches of a stopped stream: their outcomes join those in ``path``.  The stream can't be resumed after it."""
+        left = streaming.flushed(spark, checkpoint, self.handlers)
+        left.write.mode("overwrite").parquet(f"{path}/batch_id=-1")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..cdc import merge, offsets, snapshot, wal
 from ..functions import hashing, values
@@ -125,12 +125,13 @@ def ring_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many partitions each key's messages are dealt to (1), and whether they stand in order there."""
+    """How many messages each key has, how many partitions they are dealt to (1), and how often seq falls there (0)."""
     dealt = partition.distribute(_messages(spark, sf_dir).where("partition_key is not null").select("seq", "partition_key"), 8, "partition_key")
     placed = dealt.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-    # in order: among a key's messages, places rise as seqs do, so no pair of neighbours falls
-    pairs = placed.groupBy("partition_key").agg(F.countDistinct("part").alias("parts"), F.min(F.struct("place", "seq")).alias("first"), F.max(F.struct("place", "seq")).alias("last"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    return pairs.select("partition_key", "parts", ((F.col("first.seq") == F.col("lo")) & (F.col("last.seq") == F.col("hi"))).alias("in_order"))
+    # in order: from place to place of a key's messages, seq never falls
+    rises = F.col("seq") > F.lag("seq").over(Window.partitionBy("partition_key").orderBy("place"))
+    each = placed.withColumn("rises", F.coalesce(rises, F.lit(True)))
+    return each.groupBy("partition_key").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.count_if(~F.col("rises")).alias("falls"))
 
 
 def demand_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +240,26 @@ def merge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir)).select("xid", "pk", _or("chunk_id", -1), "verdict")
 
 
+def _uuid(number: Column) -> Column:
+    md5 = F.md5(number.cast("string"))
+    return F.concat_ws("-", *[F.substring(md5, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def _chunked_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under a UUID key, written without dashes."""
+    return snapshot.chunks(_read(spark, sf_dir, "orders").select(F.upper(F.md5(F.col("o_orderkey").cast("string"))).alias("id")), "id", "public.orders")
+
+
+def chunk_plan_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.plan(_chunked_uuid(spark, sf_dir))
+
+
+def merge_verdict_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = snapshot.ranges(snapshot.plan(_chunked_uuid(spark, sf_dir)), F.col("chunk_id") * 500).where("chunk_id % 5 <> 4")
+    changes = _log(spark, sf_dir).withColumn("pk", _uuid(F.col("pk")))
+    return merge.verdicts(changes, spans).select("xid", "pk", _or("chunk_id", -1), "verdict")
+
+
 def merge_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = merge.verdicts(_log(spark, sf_dir), _scanned(spark, sf_dir), current=("public.orders", 3999, 4999))
     return judged.groupBy("verdict").agg(F.count("*").alias("n"))
@@ -250,8 +271,8 @@ def merge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes that arrive while twelve chunks are read one after the other, each expected to reach 500 keys too far."""
-    spans = snapshot.ranges(snapshot.plan(_chunked(spark, sf_dir)).where("chunk_id < 12"), F.col("chunk_id") * 400)
+    """Changes that arrive while a table's chunks are read one after the other, each expected to reach 500 keys too far."""
+    spans = snapshot.ranges(snapshot.plan(_chunked(spark, sf_dir)), F.col("chunk_id") * 400)
     begin = F.col("chunk_id") * 400
     chunks = spans.select("table", "chunk_id", begin.alias("begin"), (begin + 300).alias("end"), "low", (F.col("high") + 500).alias("estimated"), "high", "xmin")
     changes = _log(spark, sf_dir).withColumns({"place": F.col("lsn"), "xid": F.col("lsn") - F.col("lsn") % 5 * 150})
@@ -387,6 +408,12 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.apply(reads.unionByName(_log(spark, sf_dir).select("table", "pk", "op", "lsn"))).withColumn("lsn", _or("lsn", -1))
 
 
+def apply_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of eight changes under the lsn of their commit: within one, the later place decides."""
+    changes = _log(spark, sf_dir).select("table", (F.col("pk") % 50).alias("pk"), "op", (F.floor(F.col("lsn") / 8) * 8 + 7).cast("bigint").alias("lsn"), F.col("lsn").alias("place"))
+    return merge.apply(changes)
+
+
 def _stream_log(spark: SparkSession, rows: DataFrame, parts: int = 3) -> tuple[DataFrame, str]:
     path = scratch(spark, "log")
     streaming.append_log(rows, path, parts)
@@ -423,6 +450,32 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.counts(spark.read.parquet(out))
 
 
+def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline over a stream: batches fill up over micro-batches, and what still waits at the end is flushed."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type", "user_id")
+    stream, _ = _stream_log(spark, rows)
+    config = Pipeline(
+        seq=F.col("seq"), partition_by=F.col("user_id").cast("string"), batcher=F.when(F.col("event_type") != "signup", F.col("event_type")),
+        processor=lambda m: process.map_columns(m, F.when(F.col("seq") % 2 == 0, F.lit("even"))), batchers=tuple(BATCHERS),
+        handlers={"click": lambda batch: batch[batch["seq"] % 13 != 0]},
+    )
+    out, checkpoint = scratch(spark, "outcomes"), scratch(spark, "checkpoint")
+    streaming.drained(config.start(stream, out, checkpoint))
+    config.flush(spark, out, checkpoint)
+    return spark.read.parquet(out).select("seq", "status", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that runs on is idle once all is processed, and a graceful stop loses nothing."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type")
+    stream, _ = _stream_log(spark, rows)
+    out = scratch(spark, "stopped")
+    query = streaming.sink(stream, out, scratch(spark, "checkpoint"), interval="100 milliseconds")
+    streaming.stopped(query)
+    idle = F.lit(streaming.idle(query))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.first(idle).alias("idle"))
+
+
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log source is read, stopped, and resumed from its checkpoint after more has been logged: every seq once."""
     changelog.register(spark)
@@ -443,6 +496,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
         keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
         text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
-        stream_sessions, stream_batches, stream_outcomes, stream_resume,
+        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions,
     )
 }

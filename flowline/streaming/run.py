@@ -6,14 +6,17 @@ micro-batch leaves no second copy.
 
 from __future__ import annotations
 
+import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.batching import Batcher, Handler, judged
+from ..operators.outcomes import FAILED
 from ..operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
 
 #: Log files that a micro-batch takes at most: the backpressure.
@@ -39,7 +42,16 @@ def sink(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[Dat
         transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    if interval:
+        return writer.trigger(processingTime=interval).start()
+    # a query takes its settings at its start; with batches without data, pending timeouts would keep it from ending
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
 
 
 def drained(query: StreamingQuery) -> None:
@@ -115,6 +127,63 @@ def batches(messages: DataFrame, size: int, timeout_ms: int | None = None) -> Da
     return messages.select("batcher", "batch_key", "seq").groupBy("batcher", "batch_key").applyInPandasWithState(step, schema, "number long, waiting array<long>", "append", timeout)
 
 
+def _judged(texts: list[str], batcher: str, handlers: dict[str, Handler]) -> list[tuple]:
+    rows = pd.DataFrame([json.loads(t) for t in texts])
+    status, error = judged(rows, handlers.get(batcher))
+    return list(zip(rows["seq"].tolist(), status, error))
+
+
+def handled(messages: DataFrame, batchers: Iterable[Batcher], handlers: dict[str, Handler]) -> DataFrame:
+    """Outcomes (seq, status, error) of a stream's routed messages, batches reaching over micro-batches (WIN-2, STR-14).
+
+    A batch is handed to its batcher's handler when it is full, or when its first message has waited for the batcher's timeout.
+    Failed messages and those for unknown batchers get their outcome at once.  State is fewer than a batch of messages per key, as
+    JSON, and handlers get the messages' JSON values; within a micro-batch, messages are taken in order of seq.
+    """
+    config = {b.name: (b.batch_size, int(1000 * b.batch_timeout)) for b in batchers}
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waits, since = state.get if state.exists else ([], 0)
+        waits, out = list(waits), []
+        size, timeout = config.get(key[0], (0, 0))
+        if state.hasTimedOut:
+            out += _judged(waits, key[0], handlers) if waits else []
+            waits = []
+        else:
+            rows = pd.concat(list(parts)).sort_values("seq")
+            lost = rows["error"].notna() if size else pd.Series(True, index=rows.index)
+            out += [(s, FAILED, e if isinstance(e, str) else f"unknown batcher: {key[0]}") for s, e in zip(rows["seq"][lost], rows["error"][lost])]
+            now, before = state.getCurrentProcessingTimeMs(), len(waits)
+            waits += rows["message"][~lost].tolist()
+            while size and len(waits) >= size:
+                out += _judged(waits[:size], key[0], handlers)
+                waits, before = waits[size:], 0
+            since = since if before else now
+        if waits:
+            state.update((waits, since))
+            state.setTimeoutDuration(max(1, since + timeout - state.getCurrentProcessingTimeMs()))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"seq": pd.Series([o[0] for o in out], dtype="int64"), "status": pd.Series([o[1] for o in out], dtype=object), "error": pd.Series([o[2] for o in out], dtype=object)})
+
+    slim = messages.select("batcher", "batch_key", "seq", "error", F.to_json(F.struct("*")).alias("message"))
+    return slim.groupBy("batcher", "batch_key").applyInPandasWithState(step, "seq long, status string, error string", "waits array<string>, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def flushed(spark: SparkSession, checkpoint: str, handlers: dict[str, Handler]) -> DataFrame:
+    """Outcomes of what a stopped stream of :func:`handled` still held, by its batches' handlers, read from the state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    first = state.schema["key"].dataType.names[0]
+    held = state.select(F.col(f"key.{first}").alias("batcher"), F.col("value.groupState.waits").alias("waits")).where(F.size("waits") > 0)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = [o for batcher, texts in zip(part["batcher"], part["waits"]) for o in _judged(list(texts), batcher, handlers)]
+            yield pd.DataFrame({"seq": pd.Series([o[0] for o in out], dtype="int64"), "status": pd.Series([o[1] for o in out], dtype=object), "error": pd.Series([o[2] for o in out], dtype=object)})
+
+    return held.mapInPandas(run, "seq long, status string, error string")
+
+
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Batches that a stopped stream of :func:`batches` still held: the flush at shutdown, read from the state itself."""
     state = spark.read.format("statestore").load(checkpoint)

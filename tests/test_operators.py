@@ -119,6 +119,55 @@ def test_offset_store(spark, tmp_path):
         store.save(slot, state)
     assert (store.load("a"), store.load("b")) == ("2", "x")
     assert {r["slot"]: r["state"] for r in store.latest().collect()} == {"a": "2", "b": "x"}
+    # another writer has claimed the next version and not finished: it is passed over, and its number is not used again
+    store._files.create(store._at(store._folder("a"), f"{3:020d}.claim"), False).close()
+    assert store.load("a") == "2" and store.save("a", "ü") == 4 and OffsetStore(spark, f"file://{tmp_path}/offsets").load("a") == "ü"
+    store.compact("a")
+    assert store.load("a") == "ü" and store._versions(store._folder("a")) == [4] and store.save("a", "5") == 5
+
+
+def test_a_random_processor_gives_one_outcome_each(spark):
+    source = spark.range(2000).select(F.col("id").alias("seq"), (F.col("id") % 3).cast("string").alias("kind"))
+    config = Pipeline(seq=F.col("seq"), batcher=F.col("kind"), processor=lambda m: process.map_columns(m, F.when(F.rand() < 0.5, F.lit("bad luck"))), batchers=(Batcher("0"), Batcher("1")), handlers={"0": lambda b: b.head(7)})
+    got = config.outcomes(source).collect()
+    assert sorted(r["seq"] for r in got) == list(range(2000))
+    assert {r["error"] for r in got} == {None, "bad luck", "unknown batcher: 2", "not returned by its batch"}
+
+
+def test_batches_are_cut_whole(spark):
+    """Batches that reach over Arrow batches come to the handler in one piece and in order."""
+    rows = spark.range(5000).select(F.col("id").alias("seq"), F.lit("b").alias("batcher"), (F.col("id") % 3).cast("string").alias("batch_key"), (F.col("id") % 3).alias("x"))
+    seen = lambda b: b if len(b) == 100 and b["seq"].is_monotonic_increasing and b["batch_key"].nunique() == 1 else b.head(0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        got = batching.handle(batching.assign(rows.where("seq < 4500"), 100), seen).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 4500 and all(r["status"] == "ok" for r in got)
+
+
+def test_rows_map_keeps_types(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, 2**60 + 1, None)], "seq long, n long, error string")
+    seen = {r["seq"]: r["n"] for r in process.map_rows(rows, lambda m: {"n": None if m["n"] is None else m["n"] + 1}).collect()}
+    assert seen == {1: None, 2: 2**60 + 2}
+
+
+def test_stream_batches_time_out_in_a_pipeline(spark, tmp_path):
+    import time
+
+    log, out, checkpoint = (f"file://{tmp_path}/{n}" for n in ("log", "out", "checkpoint"))
+    rows = spark.range(13).select(F.col("id").alias("seq"))
+    streaming.append_log(rows, log, 2)
+    config = Pipeline(seq=F.col("seq"), batchers=(Batcher(batch_size=5, batch_timeout=0.5),), handlers={"default": lambda b: b[b["seq"] != 12]})
+    query = config.start(streaming.read_log(spark, log, rows.schema), out, checkpoint, interval="200 milliseconds")
+    got = []
+    for _ in range(120):
+        time.sleep(0.5)
+        got = spark.read.schema("seq long, status string, error string, batch_id int").parquet(out).collect() if (tmp_path / "out").exists() else []
+        if len(got) == 13:
+            break
+    streaming.stopped(query)
+    assert sorted((r["seq"], r["status"]) for r in got) == [(i, "ok" if i < 12 else "failed") for i in range(13)]
 
 
 def test_stream_stops_and_resumes(spark, tmp_path):
