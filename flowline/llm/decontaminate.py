@@ -17,7 +17,10 @@ worked off in blocks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import materialise, publish
 
-#: Items and their words that the benchmark may have; larger ones are split by the caller.
-MAX_ITEM_WORDS = 20_000_000
+#: Characters of the benchmark that are worked off together; a larger one is split by items, each part going over the documents.
+PART_CHARACTERS = 160_000_000
 #: Items of a block; each block has a latent space of its own.
 BLOCK_ITEMS = 1024
 #: Least share of each item's energy that the latent space keeps, rows of the sketch beyond the rank, power iterations.
@@ -153,18 +156,22 @@ def verify(window: np.ndarray, item: np.ndarray, answer: np.ndarray) -> tuple[fl
     return float(ends[best] - best) / len(item), float(np.isin(answer, stretch).mean()) if len(answer) else 0.0
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, copy: float = COPY, paraphrase: float = PARAPHRASE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, copy: float = COPY, paraphrase: float = PARAPHRASE, block_items: int = BLOCK_ITEMS, part_characters: int = PART_CHARACTERS) -> DataFrame:
     """(doc_id, item_id, cosine, covered, answer) for every document of ``docs`` (doc_id, text) that holds an item of ``benchmark`` (item_id, text, perhaps answer).
 
     One row per document and item, with the best window's figures.  Null, empty and wordless texts
     and items match nothing; repeated benchmark rows count as one item per item_id and text; repeated
-    document rows give one result per doc_id and item; empty tables give no rows; other columns are ignored.
+    document rows, and rows that share an id, give one result per doc_id and item; rows without a doc_id have no result, as nothing
+    could name them; of windows that tie, the one with the higher cosine counts; empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     told = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), told.alias("answer")).where("text is not null").distinct()
-    if (size := items.agg(F.sum(F.length("text"))).first()[0] or 0) > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {size} characters; split it")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > part_characters and (parts := min(-(-size // part_characters), items.select("item_id").distinct().count())) > 1:
+        cut = items.withColumn("part", F.pmod(F.hash("item_id"), F.lit(parts)))  # by item, so that an item's best window is found in one part
+        each = [contaminated(docs, cut.where(F.col("part") == k).drop("part"), cosine, copy, paraphrase, block_items, size) for k in range(parts)]
+        return reduce(DataFrame.unionByName, each)
     vocabulary = Vocabulary(items.orderBy("item_id", "text").toPandas())
     schema = "doc_id long, item_id long, cosine double, covered double, answer double"
     if not vocabulary.passages:
@@ -172,14 +179,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     place, span = vocabulary.place, 2 * vocabulary.longest
     kind = np.int16 if len(place) < 2**15 else np.int32
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = place.get
+    known = publish(spark, "vocabulary", pickle.dumps(place))
+
+    def reduced_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = pickle.loads(Path(SparkFiles.get(known)).read_bytes()).get
         for b in batches:
             out = [np.fromiter((find(w, -1) for w in words(t.as_py())), kind).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "seq"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    reduced = materialise(slim.mapInArrow(reduce, "doc_id long, seq binary"), "sequences")
+    reduced = materialise(slim.mapInArrow(reduced_to, "doc_id long, seq binary"), "sequences")
     df, total = _frequencies(reduced, len(place), span, kind)
     idf = np.log((total + 1) / (df + 1)) + 0.05
 
@@ -234,11 +243,12 @@ def _search(reduced: DataFrame, ids: list[int], items: list[np.ndarray], answers
     unit = (latent / np.maximum(lengths, 1e-9)[:, None]).astype(np.float32)
     name = publish(spark, "latent", space.astype(np.float32).tobytes() + unit.tobytes())
     k = space.shape[1]
+    told = publish(spark, "items", pickle.dumps((ids, items, answers, idf.astype(np.float32))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.memmap(SparkFiles.get(name), np.float32, "r")
         base, unit = raw[: width * k].reshape(width, k), raw[width * k :].reshape(-1, k)
-        weight = idf.astype(np.float32)
+        ids, items, answers, weight = pickle.loads(Path(SparkFiles.get(told)).read_bytes())
         step = span // 2
         for b in batches:
             out: list[tuple] = []
@@ -251,11 +261,11 @@ def _search(reduced: DataFrame, ids: list[int], items: list[np.ndarray], answers
                 half = hit // step
                 cell, ids_ = np.unique(half.astype(np.int64) * width + s[hit], return_counts=True)
                 for first in range(0, int(half[-1]) + 1, 512):
-                    out.extend(near(doc.as_py(), s, cell, ids_, first, min(first + 512, int(half[-1]) + 1), base, unit, weight, step))
+                    out.extend(near(doc.as_py(), s, cell, ids_, first, min(first + 512, int(half[-1]) + 1), base, unit, weight, step, ids, items, answers))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["doc_id", "item_id", "cosine", "covered", "answer"])
 
-    def near(doc, s, cell, counts, first, last, base, unit, weight, step) -> Iterator[tuple]:
+    def near(doc, s, cell, counts, first, last, base, unit, weight, step, ids, items, answers) -> Iterator[tuple]:
         mine = slice(*np.searchsorted(cell, [first * width, (last + 1) * width]))
         place, word, n = cell[mine] // width - first, cell[mine] % width, counts[mine]
         # a window is two half spans; counts of a word in both are added before the logarithm

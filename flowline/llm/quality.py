@@ -124,8 +124,9 @@ def thresholds(measured_docs: DataFrame, labels: DataFrame, max_false_rejection:
     above = lambda score, cutoffs: F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: F.expr(score) > c))
     ranks = [F.struct(F.lit(name).alias("rule"), above(score, cutoffs).alias("above")) for name, (score, cutoffs) in RULES.items()]
     counted = held.select("stratum", F.explode(F.array(*ranks)).alias("r")).groupBy("stratum", "r.rule", "r.above").agg(F.count("*").alias("n"))
-    strata = max(1, held.agg(F.approx_count_distinct("stratum", 0.01)).first()[0])
-    share, level = max_false_rejection / len(RULES), error / (len(RULES) * math.ceil(strata * 1.05))
+    counted = materialise(counted, "counted")  # at most a row per stratum, rule and cutoff
+    strata = max(1, counted.select("stratum").distinct().count())
+    share, level = max_false_rejection / len(RULES), error / (len(RULES) * strata)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         row = {"stratum": [group["stratum"].iloc[0]]}
@@ -146,7 +147,7 @@ def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     empty tables give no rows; other columns are ignored.
     """
     table = materialise(measured(docs), "features")
-    cuts = small(thresholds(table, labels, **how).withColumnRenamed("stratum", "cut_stratum"))
+    cuts = small(materialise(thresholds(table, labels, **how).withColumnRenamed("stratum", "cut_stratum"), "cutoffs"))
     joined = table.join(cuts, F.col("stratum") == F.col("cut_stratum"), "left")
     over = [F.when(F.expr(score) > F.col(f"cut_{name}"), F.lit(name)) for name, (score, _) in RULES.items()]
     failed = base_failed()

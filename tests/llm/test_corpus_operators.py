@@ -182,6 +182,8 @@ def test_benchmark_passages(spark):
     assert exact <= got <= want and len(got) >= 0.9 * len(want)
     blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, benchmark, block_items=16).collect()}
     assert exact <= blocks <= want
+    parts = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, benchmark, part_characters=3000).collect()}
+    assert exact <= parts <= want and len(parts) >= 0.9 * len(want)
     assert decontaminate.contaminated(df.where("false"), benchmark).collect() == []
     assert decontaminate.contaminated(df, benchmark.where("false")).collect() == []
 
