@@ -164,27 +164,28 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
 
 
 def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
-    """Links (u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits.
+    """Links (family, u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits, in each ``family`` by itself.
 
     Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
-    component but need not be neighbours themselves.  ``fps`` has one row per distinct fingerprint of ``width`` bits.
+    component but need not be neighbours themselves.  ``fps`` has one row per family (0 without that column) and distinct fingerprint of ``width`` bits.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: both sides meet at half of it")
     masks = ball(half, width)
-    count = fps.count()
-    bits = min(24, max(MIN_BUCKET_BITS, int(np.ceil(np.log2(max(1, count * len(masks) / BUCKET_VARIANTS))))))
+    fps = fps if "family" in fps.columns else fps.withColumn("family", F.lit(0))
+    most = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
+    bits = min(24, max(MIN_BUCKET_BITS, int(np.ceil(np.log2(max(1, most * len(masks) / BUCKET_VARIANTS))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _columns(1)
         known = np.array(sorted(_by_syndrome(masks, columns, bits)), np.uint32)
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
 
-        def blocks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def blocks(family: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
             home = syndrome(values, columns, bits)
             if len(known) == 1 << bits:  # every fingerprint has variants in every bucket
-                yield batch(range(1 << bits), [values.tobytes()] * (1 << bits))
+                yield batch(family, range(1 << bits), [values.tobytes()] * (1 << bits))
                 return
             bucket = (home[:, None] ^ known[None, :]).reshape(-1)
             order = np.argsort(bucket, kind="stable")
@@ -192,26 +193,30 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
             groups = np.split(order, cuts)
             for at in range(0, len(groups), 4096):
                 part = groups[at : at + 4096]
-                yield batch([int(bucket[g[0]]) for g in part], [values[g // len(known)].tobytes() for g in part])
+                yield batch(family, [int(bucket[g[0]]) for g in part], [values[g // len(known)].tobytes() for g in part])
 
-        def batch(buckets, blobs) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "fps"])
+        def batch(family, buckets, blobs) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([family] * len(blobs), pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["family", "bucket", "fps"])
 
         for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            while sum(map(len, held)) >= BLOCK:
-                whole = np.concatenate(held)
-                held = [whole[BLOCK:]]
-                yield from blocks(whole[:BLOCK])
-        if held and len(rest := np.concatenate(held)):
-            yield from blocks(rest)
+            values, of = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            for family in np.unique(of).tolist():
+                mine = held.setdefault(family, [])
+                mine.append(values[of == family])
+                while sum(map(len, mine)) >= BLOCK:
+                    whole = np.concatenate(mine)
+                    mine[:] = [whole[BLOCK:]]
+                    yield from blocks(family, whole[:BLOCK])
+        for family, mine in held.items():
+            if len(rest := np.concatenate(mine)):
+                yield from blocks(family, rest)
 
     def meet(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
+        family, bucket = table.column("family")[0].as_py(), table.column("bucket")[0].as_py()
         found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks, radius).view(np.int64)
-        return pa.table({"u": found[:, 0], "v": found[:, 1]})
+        return pa.table({"family": pa.array(np.full(len(found), family, np.int32)), "u": found[:, 0], "v": found[:, 1]})
 
-    return fps.select("fp").mapInArrow(deal, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet, "u long, v long")
+    return fps.select("fp", F.col("family").cast("int").alias("family")).mapInArrow(deal, "family int, bucket int, fps binary").groupBy("family", "bucket").applyInArrow(meet, "family int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -226,7 +231,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = materialise(prints, "fingerprints")
     # one row per distinct fingerprint, with the smallest id that has it
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    links = materialise(linked(distinct, radius).distinct(), "links")
+    links = materialise(linked(distinct, radius).select("u", "v").distinct(), "links")
     roots = connected(links)  # (node, root), only nodes with a link
     lows = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("low").alias("root_low"))
     low = roots.join(lows, "root").select(F.col("node"), "root_low")
@@ -249,15 +254,12 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     """
     prints = materialise(with_fingerprints(docs.where("doc_id is not null"), families, shingle_words), "fingerprints")
     same = materialise(prints.groupBy("fps").agg(F.min("doc_id").alias("low")), "distinct")  # one row per different vector of fingerprints
-    links = None
-    for k in range(families):
-        fp = F.get("fps", F.lit(k)).bitwiseAND(F.lit((1 << STAGE_BITS) - 1))
-        held = materialise(same.groupBy(fp.alias("fp")).agg(F.min("low").alias("rep")), "family")
-        alike = same.join(held, fp == F.col("fp")).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-        near = linked(held, radius, STAGE_BITS).distinct()
-        near = near.join(held.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(held.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-        found = materialise(alike.union(near.select("a", "b")), "links")
-        links = found if links is None else links.union(found)
+    each = same.select("low", F.posexplode("fps").alias("family", "fp")).withColumn("fp", F.col("fp").bitwiseAND(F.lit((1 << STAGE_BITS) - 1)))
+    held = materialise(each.groupBy("family", "fp").agg(F.min("low").alias("rep")), "families")
+    alike = each.join(held, ["family", "fp"]).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    near = linked(held, radius, STAGE_BITS).distinct()
+    near = near.join(held.select("family", F.col("fp").alias("u"), F.col("rep").alias("a")), ["family", "u"]).join(held.select("family", F.col("fp").alias("v"), F.col("rep").alias("b")), ["family", "v"])
+    links = alike.union(near.select("a", "b"))
     most = int(APART * 64 * families)
     of = lambda end: same.select(F.col("low").alias(end), F.col("fps").alias(f"of_{end}"))
     differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
