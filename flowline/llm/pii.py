@@ -104,7 +104,9 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
         return None
     total = docs.select("copy").distinct().count()
     held = pairs.join(small(known), "entity").select("copy", "entity", "n_entity")
-    words = found.groupBy("copy").agg(F.first("words").alias("words")).select("copy", F.explode("words").alias("term"))
+    # the number of partitions is given, since a short text of words makes many rows and tasks shouldn't be put together before that
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = found.groupBy("copy").agg(F.first("words").alias("words")).repartition(parts, "copy").select("copy", F.explode("words").alias("term"))
     there = words.groupBy("term").agg(F.count("*").alias("n_there")).where(F.col("n_there") >= support)
     # texts with an entity bound the term's probability from below, and no pair meets more often than its entity occurs: what
     # fails here can't pass later, so frequent words are never paired with entities
@@ -153,9 +155,12 @@ def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLO
     if chosen is None:
         return base.select("doc_id", F.col("base").alias("spans"))
     chosen = small(materialise(chosen.select(F.col("term").alias("_term"), "general"), "chosen"))
-    # a text's terms are looked up one by one; only texts that hold a chosen one get spans, and copies of a text get them once
+    # only texts that hold a chosen term are cut into spans, and copies of a text once
+    texts = marked.where("text is not null")
+    places = texts.select("copy", F.explode(terms(F.col("text"))).alias("_term")).join(chosen, "_term", "left_semi").select(F.col("copy").alias("_place")).distinct()
+    near = texts.join(small(materialise(places, "places")), F.col("copy") == F.col("_place"), "left_semi").dropDuplicates(["copy"])
     spans = located(F.col("text"), TERM, matches(F.col("text"), TERM), "term", len(KINDS))
-    each = marked.where("text is not null").dropDuplicates(["copy"]).select("copy", F.explode(spans).alias("s"))
+    each = near.select("copy", F.explode(spans).alias("s"))
     hits = each.join(chosen, F.lower("s.value") == F.col("_term")).groupBy("copy").agg(F.collect_list(F.col("s").withField("value", F.col("general"))).alias("found"))
     hits = materialise(hits.select(F.col("copy").alias("_copy"), "found"), "term-spans")
     apart = F.filter("found", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
