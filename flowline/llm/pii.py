@@ -103,6 +103,9 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     if known.isEmpty():
         return None
     total = docs.select("copy").distinct().count()
+    # a row of a text that occurs n times weighs 1 / n, so that sums count different texts without bringing them together
+    again = materialise(docs.groupBy(F.col("copy").alias("_copy")).agg(F.count("*").alias("_n")).where("_n > 1"), "copies")
+    weighed = docs.join(small(again), F.col("copy") == F.col("_copy"), "left").select("text", (1 / F.coalesce("_n", F.lit(1))).alias("weight"))
     held = pairs.join(small(known), "entity").select("copy", "entity", "n_entity")
     # the number of partitions is given, since a short text of words makes many rows and tasks shouldn't be put together before that
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -115,12 +118,12 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     candidates = materialise(met.where(told(F.col("n_met"), F.col("n_there"), F.col("n_entity"), total) >= disclosure).select("entity", "n_entity", "term", "n_met"), "candidates")
     if candidates.isEmpty():
         return None
-    n_term = _texts_with(docs, candidates.select("term").distinct(), lambda ws: ws).withColumnRenamed("n", "n_term")
+    n_term = _texts_with(weighed, candidates.select("term").distinct(), lambda ws: ws).withColumnRenamed("n", "n_term")
     chosen = candidates.join(n_term, "term").withColumn("told", told(F.col("n_met"), F.col("n_term"), F.col("n_entity"), total)).where(F.col("told") >= disclosure)
     chosen = materialise(chosen.select("term", "n_entity", "told"), "disclosing")
     begins = lambda w: F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in BEGINNINGS])
     begun = chosen.groupBy("term").agg(F.max("told").alias("told"), F.min("n_entity").alias("least"), F.max("n_entity").alias("most")).withColumn("start", F.explode_outer(F.array_compact(begins(F.col("term")))))
-    n_start = _texts_with(docs, begun.select(F.col("start").alias("term")).where("start is not null").distinct(), lambda ws: F.array_distinct(F.array_compact(F.flatten(F.transform(ws, begins)))))
+    n_start = _texts_with(weighed, begun.select(F.col("start").alias("term")).where("start is not null").distinct(), lambda ws: F.array_distinct(F.array_compact(F.flatten(F.transform(ws, begins)))))
     rated = begun.join(n_start.select(F.col("term").alias("start"), "n"), "start", "left")
     # at most every text of the entity holds the beginning; that share told falls or rises with the entity's own count, so its ends bound it
     safe = F.greatest(*[told(F.least(F.col(e), F.col("n")), F.col("n"), F.col(e), total) for e in ("least", "most")]) < disclosure
@@ -129,9 +132,9 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
 
 
 def _texts_with(docs: DataFrame, wanted: DataFrame, parts) -> DataFrame:
-    """(term, n): in how many different texts each of ``wanted`` (term) is among ``parts`` of the text's terms."""
-    each = docs.select("copy", F.explode(parts(terms(F.col("text")))).alias("term"))
-    return each.join(small(materialise(wanted, "wanted")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): in how many different texts each of ``wanted`` (term) is among ``parts`` of the text's terms, by the rows' weights."""
+    each = docs.select("weight", F.explode(parts(terms(F.col("text")))).alias("term"))
+    return each.join(small(materialise(wanted, "wanted")), "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("n"))
 
 
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
@@ -155,14 +158,14 @@ def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLO
     if chosen is None:
         return base.select("doc_id", F.col("base").alias("spans"))
     chosen = small(materialise(chosen.select(F.col("term").alias("_term"), "general"), "chosen"))
-    # only texts that hold a chosen term are cut into spans, and copies of a text once
+    # only texts that hold a chosen term are cut into spans, copies of a text once, and only its own chosen terms are kept
     texts = marked.where("text is not null")
-    places = texts.select("copy", F.explode(terms(F.col("text"))).alias("_term")).join(chosen, "_term", "left_semi").select(F.col("copy").alias("_place")).distinct()
-    near = texts.join(small(materialise(places, "places")), F.col("copy") == F.col("_place"), "left_semi").dropDuplicates(["copy"])
-    spans = located(F.col("text"), TERM, matches(F.col("text"), TERM), "term", len(KINDS))
-    each = near.select("copy", F.explode(spans).alias("s"))
-    hits = each.join(chosen, F.lower("s.value") == F.col("_term")).groupBy("copy").agg(F.collect_list(F.col("s").withField("value", F.col("general"))).alias("found"))
-    hits = materialise(hits.select(F.col("copy").alias("_copy"), "found"), "term-spans")
+    places = texts.select("copy", F.explode(terms(F.col("text"))).alias("_term")).join(chosen, "_term").select(F.col("copy").alias("_copy"), "_term", "general").distinct()
+    places = places.groupBy("_copy").agg(F.map_from_entries(F.collect_list(F.struct("_term", "general"))).alias("own"))
+    near = texts.join(small(materialise(places, "places")), F.col("copy") == F.col("_copy")).dropDuplicates(["copy"])
+    spans = located(F.col("text"), TERM, matches(F.col("text"), TERM), "term", len(KINDS), lambda m: F.col("own")[F.lower(m)].isNotNull())
+    hits = near.select("_copy", F.transform(spans, lambda s: s.withField("value", F.col("own")[F.lower(s["value"])])).alias("found"))
+    hits = materialise(hits, "term-spans")
     apart = F.filter("found", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     joined = base.join(small(hits), F.col("copy") == F.col("_copy"), "left")
     return joined.select("doc_id", F.concat("base", F.coalesce(apart, F.array().cast(SPAN))).alias("spans"))
