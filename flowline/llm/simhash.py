@@ -33,9 +33,14 @@ from .shared import drop_documents, materialise
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-#: Where documents are deduplicated: families of fingerprints, bits of each that are searched, words of a shingle, and the
-#: share of all families' bits in which a linked pair may differ (a half for unrelated texts, 0.15 at a similarity of 0.8).
-FAMILIES, STAGE_BITS, STAGE_WORDS, APART = 12, 56, 5, 0.25
+#: Where documents are deduplicated: families of 64-bit fingerprints, bits at either end of each that are searched, the radius
+#: there, bits of the whole fingerprint that may differ, and words of a shingle.
+FAMILIES, STAGE_BITS, STAGE_RADIUS, STAGE_WHOLE, STAGE_WORDS = 16, 36, 2, 16, 5
+#: Share of all families' bits in which a linked pair may differ: a half for unrelated texts, 0.151 at a similarity of 0.8 and
+#: 0.192 at 0.7, with a standard error of 0.011.
+APART = 0.165
+#: Least binary logarithm of the number of buckets of each family's end; there are 32 of these.
+STAGE_BUCKET_BITS = 3
 #: Least binary logarithm of the number of buckets, and variants that a bucket should hold.
 MIN_BUCKET_BITS, BUCKET_VARIANTS = 7, 1 << 24
 #: Variants that a reducer holds at once.
@@ -59,10 +64,16 @@ def fingerprints(text: bytes | None, families: int = 1, shingle_words: int = SHI
     for at in range(0, count, block):
         hashes = np.fromiter((digest(join(words[i : i + shingle_words]), SEED) for i in range(at, min(at + block, count))), np.uint64)
         for k in range(families):
-            bits[k] += np.unpackbits(family(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            bits[k] += _bit_counts(family(hashes, k))
     return np.packbits(bits * 2 > count, axis=1, bitorder="little").view(np.uint64).reshape(-1).tolist()
 
 
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits; eight counters of a byte are added at once, over 255 hashes at most."""
+    bytewise = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    return np.add.reduceat(bytewise, np.arange(0, len(bytewise), 255), axis=0).view(np.uint8).sum(0, dtype=np.int64)
+
+
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS, block: int = 1 << 16) -> int:
     """The first family's fingerprint."""
     return fingerprints(text, 1, shingle_words, block)[0]
@@ -128,9 +139,10 @@ def _by_syndrome(masks: np.ndarray, columns: np.ndarray, bits: int) -> dict[int,
     return {int(keys[g[0]]): masks[g] for g in np.split(order, cuts)}
 
 
-def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int) -> np.ndarray:
-    """Links (pairs of fingerprints, a spanning forest) that meet in a bucket, in slices of bounded size."""
-    fps = np.unique(fps)
+def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None) -> np.ndarray:
+    """Links (pairs of fingerprints) that meet in a bucket, in slices of bounded size: a spanning forest, or with ``whole`` the pairs themselves."""
+    whole_fps = np.unique(fps)
+    fps = whole_fps & np.uint64((1 << width) - 1)
     columns, second = _columns(1), _columns(2)
     table = _by_syndrome(masks, columns, bits)
     home = syndrome(fps, columns, bits) ^ np.uint32(bucket)
@@ -159,15 +171,22 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
         pairs = np.unique(np.stack([o[same], o[same + 1]], 1), axis=0)
         # two that share a variant differ in twice half the radius at most; a wrong link would join whole components
         pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
-        links = forest(np.concatenate([links, pairs]))
-    return fps[links.reshape(-1)].reshape(-1, 2)
+        if whole is None:
+            links = forest(np.concatenate([links, pairs]))
+        else:
+            pairs = pairs[np.bitwise_count(whole_fps[pairs[:, 0]] ^ whole_fps[pairs[:, 1]]) <= whole]
+            links = np.unique(np.concatenate([links, pairs]), axis=0)
+    return whole_fps[links.reshape(-1)].reshape(-1, 2)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | None = None, least_bits: int | None = None) -> DataFrame:
     """Links (family, u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits, in each ``family`` by itself.
 
     Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
-    component but need not be neighbours themselves.  ``fps`` has one row per family (0 without that column) and distinct fingerprint of ``width`` bits.
+    component but need not be neighbours themselves.  ``fps`` has one row per family (0 without that column) and distinct fingerprint;
+    its lowest ``width`` bits are searched.  With ``whole``, pairs that meet and differ in so many of all bits at most are given as they
+    are, next to each other in a run of equal variants, so that they can be verified further before they are thinned.  ``least_bits``:
+    least binary logarithm of the number of buckets (``MIN_BUCKET_BITS``).
     """
     half = radius // 2
     if radius != 2 * half:
@@ -175,7 +194,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
     masks = ball(half, width)
     fps = fps if "family" in fps.columns else fps.withColumn("family", F.lit(0))
     most = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
-    bits = min(24, max(MIN_BUCKET_BITS, int(np.ceil(np.log2(max(1, most * len(masks) / BUCKET_VARIANTS))))))
+    bits = min(24, max(MIN_BUCKET_BITS if least_bits is None else least_bits, int(np.ceil(np.log2(max(1, most * len(masks) / BUCKET_VARIANTS))))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _columns(1)
@@ -183,7 +202,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
         held: dict[int, list[np.ndarray]] = {}
 
         def blocks(family: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            home = syndrome(values, columns, bits)
+            home = syndrome(values & np.uint64((1 << width) - 1), columns, bits)
             if len(known) == 1 << bits:  # every fingerprint has variants in every bucket
                 yield batch(family, range(1 << bits), [values.tobytes()] * (1 << bits))
                 return
@@ -213,7 +232,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         family, bucket = table.column("family")[0].as_py(), table.column("bucket")[0].as_py()
-        found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks, radius).view(np.int64)
+        found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks, radius, width, whole).view(np.int64)
         return pa.table({"family": pa.array(np.full(len(found), family, np.int32)), "u": found[:, 0], "v": found[:, 1]})
 
     return fps.select("fp", F.col("family").cast("int").alias("family")).mapInArrow(deal, "family int, bucket int, fps binary").groupBy("family", "bucket").applyInArrow(meet, "family int, u long, v long")
@@ -244,37 +263,42 @@ def hex_fingerprint(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs`` with an id: the smallest id that links of any family reach.
+def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` with an id: the smallest id that links reach.
 
-    One fingerprint sees a pair of similarity 0.9 within the radius at about every third draw; several families of
-    hashes over the same shingles are as many draws, each searched by ball hashing.  A link counts if the two differ in no more than
-    ``APART`` of all families' bits, which unrelated texts never do.  Rows without an id are left out; null and
-    wordless texts are copies of each other; an empty table gives no rows.
+    One short fingerprint sees a pair of similarity 0.8 within two bits at about every thirteenth draw; both ends of several
+    families' fingerprints over the same shingles are as many draws, each searched by ball hashing.  Every pair that meets is
+    verified: it is linked if it differs in no more than ``APART`` of all families' bits, which estimates the similarity
+    with a standard error of 0.025.  Rows without an id are left out; null and wordless texts are copies of each other;
+    an empty table gives no rows.
     """
     prints = materialise(with_fingerprints(docs.where("doc_id is not null"), families, shingle_words), "fingerprints")
     same = materialise(prints.groupBy("fps").agg(F.min("doc_id").alias("low")), "distinct")  # one row per different vector of fingerprints
-    each = same.select("low", F.posexplode("fps").alias("family", "fp")).withColumn("fp", F.col("fp").bitwiseAND(F.lit((1 << STAGE_BITS) - 1)))
-    held = materialise(each.groupBy("family", "fp").agg(F.min("low").alias("rep")), "families")
-    alike = each.join(held, ["family", "fp"]).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    near = linked(held, radius, STAGE_BITS).distinct()
+    turned = F.transform("fps", lambda x: F.shiftleft(x, STAGE_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - STAGE_BITS)))
+    each = same.select("low", F.posexplode(F.concat("fps", turned)).alias("family", "fp"))
+    held = materialise(each.groupBy("family", "fp").agg(F.min("low").alias("rep"), F.max("low").alias("last")), "families")
+    # texts that share a whole fingerprint: each is paired with the least of them
+    shared = held.where("last <> rep").select("family", "fp", "rep")
+    alike = each.join(shared, ["family", "fp"]).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    near = linked(held.select("family", "fp"), STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS)
+    near = materialise(near.distinct(), "near")
     near = near.join(held.select("family", F.col("fp").alias("u"), F.col("rep").alias("a")), ["family", "u"]).join(held.select("family", F.col("fp").alias("v"), F.col("rep").alias("b")), ["family", "v"])
-    links = alike.union(near.select("a", "b"))
+    links = alike.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).where("u <> v").distinct()
     most = int(APART * 64 * families)
     of = lambda end: same.select(F.col("low").alias(end), F.col("fps").alias(f"of_{end}"))
     differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    sure = links.distinct().join(of("u"), "u").join(of("v"), "v").where(differ <= most).select("u", "v")
+    sure = links.join(of("u"), "u").join(of("v"), "v").where(differ <= most).select("u", "v")
     roots = materialise(connected(sure), "roots")
     named = same.join(roots, F.col("low") == F.col("node"), "left").select("fps", F.coalesce("root", "low").alias("component_id"))
     return prints.join(named, "fps").select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS, radius: int = RADIUS) -> DataFrame:
+def deduplicate(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id; columns are as given.
 
     Rows that share an id are one document: if the kept ids repeat, one row of each stays.  Rows without an id stay.
     """
-    near = materialise(near_copies(docs, families, shingle_words, radius), "near")
+    near = materialise(near_copies(docs, families, shingle_words), "near")
     kept = drop_documents(docs, near.where("doc_id <> component_id").select("doc_id"))
     ids = near.where("doc_id = component_id").select("doc_id")
     if ids.groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -40,7 +40,7 @@ def brute_components(ids, prints, radius=4):
 
 
 def brute_copies(ids, texts):
-    """Smallest id reachable by links of any family of five-word fingerprints."""
+    """Smallest id reachable by links that either end of any family finds and all families' bits confirm."""
     prints = [simhash.fingerprints((t or "").encode(), simhash.FAMILIES, 5) for t in texts]
     root = {i: i for i in ids}
 
@@ -49,9 +49,15 @@ def brute_copies(ids, texts):
             x = root[x]
         return x
 
+    def met(a, b):
+        x = a ^ b
+        ends = x % (1 << simhash.STAGE_BITS), x >> (64 - simhash.STAGE_BITS)
+        return x.bit_count() <= simhash.STAGE_WHOLE and min(e.bit_count() for e in ends) <= simhash.STAGE_RADIUS
+
     for i in range(len(ids)):
         for j in range(i):
-            if any(((a ^ b) % (1 << simhash.STAGE_BITS)).bit_count() <= 4 for a, b in zip(prints[i], prints[j])):
+            apart = sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j]))
+            if apart <= simhash.APART * 64 * simhash.FAMILIES and any(map(met, prints[i], prints[j])):
                 a, b = find(ids[i]), find(ids[j])
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -65,14 +71,17 @@ def test_recall_of_near_copies(spark):
     shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
     for i in range(150):
         words = [word() for _ in range(rng.randint(80, 600))]
-        other = [word() if rng.random() < rng.choice((0.005, 0.01, 0.015)) else w for w in words]
+        rate = rng.choice((0.005, 0.015, 0.02, 0.08))
+        other = [word() if rng.random() < rate else w for w in words]
         a, b = shingles(words), shingles(other)
         docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
         pairs.append((i, len(a & b) / len(a | b)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
-    for least, share in ((0.8, 0.85), (0.9, 0.97)):
+    for least, share, few in ((0.8, 0.9, 60), (0.9, 0.97, 20)):
         similar = [i for i, j in pairs if j >= least]
-        assert len(similar) > 60 and sum(got[2 * i + 1] == 2 * i for i in similar) >= share * len(similar)
+        assert len(similar) > few and sum(got[2 * i + 1] == 2 * i for i in similar) >= share * len(similar)
+    other = [i for i, j in pairs if j < 0.7]
+    assert len(other) > 20 and sum(got[2 * i + 1] == 2 * i for i in other) <= 0.05 * len(other)
     assert all(got[2 * i] == 2 * i for i in range(150))
 
 
