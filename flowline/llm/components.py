@@ -32,6 +32,30 @@ def forest(links: np.ndarray) -> np.ndarray:
     return np.stack([nodes[root[child]], nodes[child]], 1).astype(np.int64)
 
 
+def spanning(links: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The pairs of a minimum spanning forest of integer pairs (n, 2): at most one less than there are nodes, each a given pair.
+
+    Boruvka's rounds: every component takes its lightest pair that leads out, and ties go by position.
+    """
+    links = links[np.argsort(weights, kind="stable")]
+    if not len(links):
+        return links
+    nodes, flat = np.unique(links, return_inverse=True)
+    a, b = flat.reshape(-1, 2).T
+    root, taken = np.arange(len(nodes)), np.zeros(len(links), bool)
+    while len(out := np.flatnonzero(root[a] != root[b])):
+        best = np.full(len(nodes), len(links))
+        np.minimum.at(best, root[a[out]], out)
+        np.minimum.at(best, root[b[out]], out)
+        chosen = np.unique(best[best < len(links)])
+        taken[chosen] = True
+        merged = forest(np.stack([root[a[chosen]], root[b[chosen]]], 1))
+        new = np.arange(len(nodes))
+        new[merged[:, 0]] = merged[:, 1]
+        root = new[root]
+    return links[taken]
+
+
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``links`` (u, v); nodes without links are absent.
 

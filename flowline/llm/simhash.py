@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import connected, forest
+from .components import connected, forest, spanning
 from .shared import drop_documents, materialise
 
 SHINGLE_WORDS = 4
@@ -40,7 +40,7 @@ FAMILIES, STAGE_BITS, STAGE_RADIUS, STAGE_WHOLE, STAGE_WORDS = 16, 36, 2, 16, 5
 #: 0.192 at 0.7, with a standard error of 0.011.
 APART = 0.165
 #: Least binary logarithm of the number of buckets of each family's end; there are 32 of these.
-STAGE_BUCKET_BITS = 3
+STAGE_BUCKET_BITS = 0
 #: Least binary logarithm of the number of buckets, and variants that a bucket should hold.
 MIN_BUCKET_BITS, BUCKET_VARIANTS = 7, 1 << 24
 #: Variants that a reducer holds at once.
@@ -140,7 +140,7 @@ def _by_syndrome(masks: np.ndarray, columns: np.ndarray, bits: int) -> dict[int,
 
 
 def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None) -> np.ndarray:
-    """Links (pairs of fingerprints) that meet in a bucket, in slices of bounded size: a spanning forest, or with ``whole`` the pairs themselves."""
+    """Links (pairs of fingerprints) that meet in a bucket, in slices of bounded size: a spanning forest of stars, or with ``whole`` one of pairs that are that near."""
     whole_fps = np.unique(fps)
     fps = whole_fps & np.uint64((1 << width) - 1)
     columns, second = _columns(1), _columns(2)
@@ -175,7 +175,8 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
             links = forest(np.concatenate([links, pairs]))
         else:
             pairs = pairs[np.bitwise_count(whole_fps[pairs[:, 0]] ^ whole_fps[pairs[:, 1]]) <= whole]
-            links = np.unique(np.concatenate([links, pairs]), axis=0)
+            links = np.concatenate([links, pairs])
+            links = spanning(links, np.bitwise_count(whole_fps[links[:, 0]] ^ whole_fps[links[:, 1]]))
     return whole_fps[links.reshape(-1)].reshape(-1, 2)
 
 
@@ -184,9 +185,9 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
 
     Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
     component but need not be neighbours themselves.  ``fps`` has one row per family (0 without that column) and distinct fingerprint;
-    its lowest ``width`` bits are searched.  With ``whole``, pairs that meet and differ in so many of all bits at most are given as they
-    are, next to each other in a run of equal variants, so that they can be verified further before they are thinned.  ``least_bits``:
-    least binary logarithm of the number of buckets (``MIN_BUCKET_BITS``).
+    its lowest ``width`` bits are searched.  With ``whole``, links are pairs that meet and differ in so many of all bits at most, so that
+    they can be verified further: in every bucket a minimum spanning forest by that difference.  ``least_bits``: least binary logarithm
+    of the number of buckets (``MIN_BUCKET_BITS``).
     """
     half = radius // 2
     if radius != 2 * half:
@@ -267,8 +268,8 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     """(doc_id, component_id) of every row of ``docs`` with an id: the smallest id that links reach.
 
     One short fingerprint sees a pair of similarity 0.8 within two bits at about every thirteenth draw; both ends of several
-    families' fingerprints over the same shingles are as many draws, each searched by ball hashing.  Every pair that meets is
-    verified: it is linked if it differs in no more than ``APART`` of all families' bits, which estimates the similarity
+    families' fingerprints over the same shingles are as many draws, each searched by ball hashing.  A minimum spanning
+    forest of the pairs that meet, for each end, is verified: a pair is linked if it differs in no more than ``APART`` of all families' bits, which estimates the similarity
     with a standard error of 0.025.  Rows without an id are left out; null and wordless texts are copies of each other;
     an empty table gives no rows.
     """

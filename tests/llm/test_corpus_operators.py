@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowline.llm import decontaminate, simhash
-from flowline.llm.components import connected, forest
+from flowline.llm.components import connected, forest, spanning
 
 from ..conftest import SF
 
@@ -163,6 +163,29 @@ def test_forest_spans():
     assert {int(b): int(a) for a, b in thin} == {i: find(i) for i in range(60) if find(i) != i}
 
 
+def test_spanning_takes_the_lightest_pairs():
+    rng = np.random.default_rng(1)
+    links, weights = rng.integers(0, 40, (120, 2)), rng.integers(0, 9, 120)
+    root = {i: i for i in range(40)}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    want = []  # Kruskal
+    for w, (a, b) in sorted(zip(weights.tolist(), links.tolist()), key=lambda x: x[0]):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append(w)
+    of = {}
+    for w, (a, b) in zip(weights.tolist(), links.tolist()):
+        of[a, b] = min(w, of.get((a, b), 99))
+    got = spanning(links, weights).tolist()
+    assert sorted(of[a, b] for a, b in got) == sorted(want)
+    tops = {find(i) for i in range(40)}
+    assert len(got) == 40 - len(tops)
+    assert spanning(np.empty((0, 2), np.int64), np.empty(0)).tolist() == []
+
+
 def test_benchmark_passages(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 8))) for _ in range(4000)]
