@@ -38,6 +38,8 @@ REPORTED, HEAVY = 4, 1 / (1 << 18)
 BUCKET_ENTRIES, MIN_BUCKETS = 1 << 20, 32
 #: Bytes of a key behind its bucket; with more buckets keys tell more apart.
 KEY_BYTES = 6
+#: Parts of a nat to which a bucket's sum for a document is rounded; a token has two terms, so its loss is off by 1 / FINE at most.
+FINE = 1 << 16
 #: Binary logarithm of the registers by which different words are counted (an error of 0.8 %).
 REGISTERS = 14
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -117,6 +119,23 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         yield Block(ids, targets, words)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes, small ones of either sign in few: count, number of planes, planes."""
+    v = values.astype(np.int64)
+    v = ((v << 1) ^ (v >> 63)).view(np.uint64)
+    width = (int(v.max(initial=0)).bit_length() + 7) // 8
+    return len(v).to_bytes(7, "little") + bytes([width]) + pa.compress(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The integers that were ``packed``."""
+    n, width = int.from_bytes(data[:7], "little"), data[7]
+    v = np.zeros((n, 8), np.uint8)
+    v[:, :width] = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    v = v.view(np.uint64).reshape(-1)
+    return (v >> np.uint64(1)).view(np.int64) ^ -(v & np.uint64(1)).view(np.int64)
+
+
 def losses(key: np.ndarray, target: np.ndarray, everything: np.ndarray, prior: tuple[float, float], vocabulary: float) -> np.ndarray:
     """What a key's counts add to a token's loss beyond log V, in the target model and in the background model."""
     context = (key & np.uint64(1)).astype(bool)
@@ -188,7 +207,7 @@ def score(docs: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: i
     ``targets`` (doc_id) names the target documents.  Null and wordless texts have no tokens and null losses
     and score; ids named more than once count once; without any target document the target
     model is uniform; repeated rows are documents of their own, so each is known from the others; empty
-    tables give no rows; other columns are ignored.  Sums are kept in single precision.
+    tables give no rows; other columns are ignored.  A mean loss is exact to 1 / FINE nats.
     """
     spark = docs.sparkSession
     wanted = small(materialise(targets.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct().withColumn("is_target", F.lit(True)), "targets"))
@@ -226,8 +245,7 @@ def score(docs: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: i
             six = rest.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             rows = [((task + number) % (1 << bits), True, _ids(b.ids), b.target.tobytes(), b.tokens.tobytes(), sums.tobytes())]
             for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(bucket)) + 1) if len(key) else []:
-                told = np.diff(doc[part], prepend=0).astype(np.uint32)
-                rows.append((int(bucket[part[0]]), False, six[part].tobytes(), told.tobytes(), n[part].astype(np.uint32).tobytes(), b.target[doc[part]].tobytes()))
+                rows.append((int(bucket[part[0]]), False, six[part].tobytes(), packed(np.diff(doc[part], prepend=0)), packed(n[part] - 1), np.packbits(b.target[doc[part]]).tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(np.full(len(rows), task + number)), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "block", "own", "a", "b", "c", "d"])
 
@@ -241,9 +259,9 @@ def score(docs: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: i
         key = np.zeros((sizes.sum(), 8), np.uint8)
         key[:, :KEY_BYTES] = np.concatenate(six)
         key = key.view(np.uint64).reshape(-1)
-        doc = np.concatenate([np.cumsum(np.frombuffer(x.as_py(), np.uint32), dtype=np.int64) for x in sent["b"]])
-        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in sent["c"]]).astype(np.int64)
-        hit = np.concatenate([np.frombuffer(x.as_py(), bool) for x in sent["d"]])
+        doc = np.concatenate([np.cumsum(unpacked(x.as_py())) for x in sent["b"]])
+        n = np.concatenate([unpacked(x.as_py()) for x in sent["c"]]) + 1
+        hit = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=size).astype(bool) for x, size in zip(sent["d"], sizes)])
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
@@ -258,10 +276,10 @@ def score(docs: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: i
             mine = np.arange(at, at + size)[told[at : at + size]]
             if len(mine):
                 first = np.flatnonzero(np.diff(doc[mine], prepend=-1))
-                parts.append((block_.as_py(), doc[mine][first].astype(np.uint32).tobytes(), np.add.reduceat(value[mine], first).astype(np.float32).tobytes()))
-        cols = list(zip(*parts)) or [[], [], []]
-        none = pa.nulls(len(parts), pa.binary())
-        back = pa.table([pa.array(cols[0], pa.int64()), pa.array([False] * len(parts), pa.bool_()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), none, none], names=own.column_names)
+                fine = np.rint(np.add.reduceat(value[mine], first) * FINE)
+                parts.append((block_.as_py(), packed(np.diff(doc[mine][first], prepend=0)), packed(fine[:, 0]), packed(fine[:, 1])))
+        cols = list(zip(*parts)) or [[]] * 4
+        back = pa.table([pa.array(cols[0], pa.int64()), pa.array([False] * len(parts), pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(len(parts), pa.binary())], names=own.column_names)
         return pa.concat_tables([own, back]).combine_chunks()
 
     def finish(table: pa.Table) -> pa.Table:
@@ -269,8 +287,8 @@ def score(docs: DataFrame, targets: DataFrame, block: int = BLOCK, vocabulary: i
         ids, target = np.frombuffer(own["a"], np.int64).reshape(2, -1), np.frombuffer(own["b"], bool)
         tokens, sums = np.frombuffer(own["c"], np.int64), np.frombuffer(own["d"]).reshape(-1, 2).copy()
         back = table.filter(pa.compute.invert(table["own"]))
-        for doc, value in zip(back["a"].to_pylist(), back["b"].to_pylist()):
-            sums[np.frombuffer(doc, np.uint32)] += np.frombuffer(value, np.float32).reshape(-1, 2)
+        for doc, *value in zip(*(back[c].to_pylist() for c in "abc")):
+            sums[np.cumsum(unpacked(doc))] += np.stack([unpacked(v) for v in value], 1) / FINE
         none = tokens == 0
         mean = sums / np.maximum(tokens, 1)[:, None] + np.log(vocabulary)
         return pa.table({"doc_id": pa.array(ids[0], mask=ids[1] == 0), "is_target": pa.array(target), "n_tokens": pa.array(tokens), "target_loss": pa.array(mean[:, 0], mask=none), "background_loss": pa.array(mean[:, 1], mask=none), "score": pa.array(mean[:, 0] - mean[:, 1], mask=none)})

@@ -231,6 +231,11 @@ def test_word_hashes_in_pieces(monkeypatch):
     assert (lm_score.word_hashes("\n".join(words).encode()) == hashes).all()
 
 
+@pytest.mark.parametrize("values", [[], [0, 0, 0], [1, 0, 250, 3], [-1, 1, -(1 << 40), 1 << 61], list(range(-500, 500))])
+def test_packed_integers_come_back(values):
+    assert lm_score.unpacked(lm_score.packed(np.array(values, np.int64))).tolist() == values
+
+
 def test_vocabulary_is_counted(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * 10 + k) % 15000) for k in range(10)]).alias("text"), F.lit(False).alias("is_target")).select("doc_id", F.col("text").cast("binary"), "is_target")
     _, total, words = lm_score._survey(docs, 1 << 12)
