@@ -4,7 +4,8 @@ Segments of a document (lines, sentences, paragraphs, word windows around a temp
 and the whole text) are compared with licence templates (notices, titles, sentences and whole texts) by
 sparse TF-IDF cosine, all frequencies from the corpus; a document takes the licence of its best segment.
 A document that is mostly licence text is a licence file and speaks for its directory; a document without
-a licence of its own inherits that of the nearest directory above it that has one.
+a licence of its own inherits that of the nearest directory above it that has one.  A text may stand at
+further paths (:func:`page_places`), where it speaks and inherits as well.
 
 Documents without a template's telling words are never exploded: a segment that holds none of
 a template's anchors (its heaviest terms, taken until the rest of its vector is shorter than the
@@ -149,10 +150,10 @@ def one_of(words: list[str]) -> str:
 
 
 def headers(docs: DataFrame, cosine: float = COSINE, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, path, licence, cosine, n_segment, n_words): the best segment at the threshold of each (doc_id, path).
+    """(doc_id, path, licence, cosine, n_segment, n_words, copy): the best segment at the threshold of each (doc_id, path).
 
     ``n_segment`` is the number of words that segments with this licence cover: lines, sentences or paragraphs
-    together, or the longest window, whichever is most.  Copies of a text are compared once.
+    together, or the longest window, whichever is most.  Copies of a text are compared once; ``copy`` is its MD5.
     """
     counted = frequencies(docs)
     weighted, total = template_terms(counted, templates)
@@ -207,7 +208,7 @@ def headers(docs: DataFrame, cosine: float = COSINE, templates=TEMPLATES) -> Dat
     best = by_licence.groupBy("row").agg(F.max_by(F.struct("licence", "b.cosine", "n_segment"), rank).alias("f"), F.max(rank).alias("rank"))
     of_text = texts.select("row", "copy", "n_words").join(best, "row").select("copy", "n_words", "f", "rank")
     of_row = held.select("doc_id", "path", "copy").distinct().join(small(materialise(of_text, "found")), "copy")
-    return of_row.groupBy("doc_id", "path").agg(F.max_by(F.struct("f.*", "n_words"), F.struct("rank", "copy")).alias("b")).select("doc_id", "path", "b.*")
+    return of_row.groupBy("doc_id", "path").agg(F.max_by(F.struct("f.*", "n_words", "copy"), F.struct("rank", "copy")).alias("b")).select("doc_id", "path", "b.*")
 
 
 def directory(path: Column) -> Column:
@@ -215,7 +216,49 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(docs: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE, templates=TEMPLATES) -> DataFrame:
+def _bare(text: Column) -> Column:
+    """The MD5 of a text without its ASCII white space."""
+    for gap in " \n\r\t\x0b\x0c":
+        text = F.replace(text, F.lit(gap), F.lit(""))
+    return F.md5(text)
+
+
+def article(html: Column) -> Column:
+    """What stands between the first and the last ``article`` tag of a page; empty where it has no two."""
+    pieces = F.split(html, r"</?[aA][rR][tT][iI][cC][lL][eE](?=[\s/>])[^<>]*>", -1)
+    return F.array_join(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), "")
+
+
+def visible(html: Column) -> Column:
+    """The text of ``html``: no scripts, styles, comments and tags, usual entities resolved.  What isn't closed goes to the end."""
+    out = F.regexp_replace(html, r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\b[^<>]*>|\z)|style\b.*?(?:</style\b[^<>]*>|\z)|[^<>]*>)", "")
+    for char, entities in (("\xa0", ("nbsp", "#160")), ("<", ("lt", "#60")), (">", ("gt", "#62")), ('"', ("quot", "#34")), ("'", ("apos", "#39")), ("&", ("#38", "amp"))):
+        for entity in entities:
+            out = F.replace(out, F.lit(f"&{entity};"), F.lit(char))
+    return out
+
+
+def page_places(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(copy, path): the paths at which texts of ``docs`` (text) stand in ``pages`` (url, html), ``copy`` being the text's MD5.
+
+    A text stands at a page if it is that of the page's article, with or without its main heading, white space aside.  The path is
+    ``//``, the host with A-Z lower-cased and the url's path, up to ``?`` or ``#``; pages without ``://`` before these, host or article are
+    no places, nor are texts of white space only.  One row per text and path, however many documents and pages share them.
+    """
+    rest = F.regexp_extract("url", r"^[^?#]*?://([^?#]+)", 1)
+    host = F.translate(F.regexp_extract(rest, "^[^/]+", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    under = F.regexp_extract(rest, "^[^/]+(/.*)$", 1)
+    path = F.when(host != "", F.concat(F.lit("//"), host, F.when(under == "", "/").otherwise(under)))
+    inside = article(F.col("html"))
+    headless = F.regexp_replace(inside, r"(?s)<[hH]1\b.*?(?:</[hH]1\b[^<>]*>|\z)", "")
+    # written first: filters on the digests would otherwise be evaluated on the texts, once more
+    shown = materialise(pages.select(path.alias("path"), F.array(_bare(visible(inside)), _bare(visible(headless))).alias("bare")), "articles")
+    texts = materialise(docs.select(F.md5("text").alias("copy"), _bare(F.col("text")).alias("bare")), "bare")
+    shown = shown.where("path is not null").select("path", F.explode("bare").alias("bare")).where(F.col("bare") != F.md5(F.lit(""))).distinct()
+    return texts.distinct().join(shown, "bare").select("copy", "path").distinct()
+
+
+def scan(docs: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE, templates=TEMPLATES, places: DataFrame | None = None) -> DataFrame:
     """(doc_id, path, licence, origin, cosine, licence_path) of every row of ``docs`` (doc_id, path, text).
 
     ``origin`` is file, header, inherited or none.  A licence file is one by name, or one whose licence segment makes up
@@ -223,21 +266,39 @@ def scan(docs: DataFrame, cosine: float = COSINE, file_share: float = FILE_SHARE
     Null and empty texts have no licence of their own but inherit; a null path is a file in the root; rows that share doc_id and
     path share the result; ties between templates go to the longer segment, then the first template; an empty table gives no
     rows; other columns are ignored.
+
+    ``places`` (copy, path) are further paths of the text with that MD5: it speaks for their directories too, and is a licence file if one
+    of them is named so.  A text that hears nothing at its own path hears at each place the nearest directory, and of these
+    the highest cosine counts, then the first licence path.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.col("text"))
-    own = materialise(headers(slim, cosine, templates).withColumn("is_file", F.col("path").rlike(FILE_NAME) | (F.col("n_segment") >= file_share * F.col("n_words"))), "licences")
-    speak = own.where("is_file").groupBy(directory(F.col("path")).alias("dir")).agg(F.min_by(F.struct("licence", "cosine", "path"), F.struct(F.negative("cosine"), "path")).alias("spoken"))
+    own = headers(slim, cosine, templates).withColumn("is_file", F.col("path").rlike(FILE_NAME) | (F.col("n_segment") >= file_share * F.col("n_words")))
+    if places is not None:
+        places = materialise(places.select("copy", "path"), "places")
+        named = small(materialise(places.where(F.col("path").rlike(FILE_NAME)).select("copy").distinct().withColumn("named", F.lit(True)), "named"))
+        own = own.join(named, "copy", "left").withColumn("is_file", F.col("is_file") | F.col("named").isNotNull()).drop("named")
+    own = materialise(own, "licences")
+    files = own.where("is_file").select("path", "licence", "cosine")
+    if places is not None:
+        texts = small(materialise(own.where("is_file").select("copy", "licence", "cosine").distinct(), "files"))
+        files = files.unionByName(places.join(texts, "copy").select("path", "licence", "cosine"))
+    speak = files.groupBy(directory(F.col("path")).alias("dir")).agg(F.min_by(F.struct("licence", "cosine", "path"), F.struct(F.negative("cosine"), "path")).alias("spoken"))
     speak = materialise(speak, "directories")
     # nearest ancestor: every directory that occurs is joined with its ancestors once, not once per document
-    dirs = slim.select(directory(F.col("path")).alias("dir")).distinct()
+    paths = slim.select("path") if places is None else slim.select("path").unionByName(places.select("path"))
+    dirs = paths.select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     up = dirs.select("dir", F.explode(above).alias("up"))
     heard = speak.select(F.col("dir").alias("up"), "spoken")
-    nearest = up.join(small(heard), "up").groupBy("dir").agg(F.max_by("spoken", F.length("up")).alias("spoken"))
-    keyed = slim.select("doc_id", "path", directory(F.col("path")).alias("dir"))
+    nearest = small(materialise(up.join(small(heard), "up").groupBy("dir").agg(F.max_by("spoken", F.length("up")).alias("spoken")), "nearest"))
+    keyed = slim.select("doc_id", "path", directory(F.col("path")).alias("dir"), F.md5("text").alias("copy")).join(nearest, "dir", "left")
+    if places is not None:
+        told = places.select("copy", directory(F.col("path")).alias("dir")).join(nearest, "dir").groupBy("copy")
+        told = small(materialise(told.agg(F.min_by("spoken", F.struct(F.negative("spoken.cosine"), "spoken.path")).alias("told")), "told"))
+        keyed = keyed.join(told, "copy", "left").withColumn("spoken", F.coalesce("spoken", "told")).drop("told")
     mine = small(own.select(F.struct("doc_id", "path", "licence", "cosine", "is_file").alias("own")))
-    joined = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["own.doc_id"]) & (keyed["path"] == mine["own.path"]), "left").join(small(nearest), "dir", "left")
+    joined = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["own.doc_id"]) & (keyed["path"] == mine["own.path"]), "left")
     has, heard = F.col("own").isNotNull(), F.col("spoken").isNotNull()
     return joined.select(
         "doc_id", "path", F.coalesce("own.licence", "spoken.licence").alias("licence"),

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowline.llm import language_id, license_scan, lm_score, mixing, pii, quality, secret_scan, spans, url_filter
-from flowline.llm.queries import URL_RULES
+from flowline.llm.queries import QUERIES, URL_RULES
 
 from ..conftest import SF
 
@@ -361,6 +361,31 @@ def test_licences_of_ordinary_notices(spark):
     assert all(got[i]["origin"] == "file" for i in (0, 3, 4)) and all(got[100 + i]["licence"] is None for i in range(60))
 
 
+def test_documents_inherit_by_their_pages(spark, tmp_path):
+    """op1's documents hear the licence files of their pages' directories, at every page and as copies; none by their source."""
+    plain = [" ".join(f"w{(i * 37 + k * 11) % 500}" for k in range(60)) for i in range(8)]
+    notice = plain[6] + "\nLicensed under the Apache License, Version 2.0."
+    texts = [MIT_FILE, plain[0], plain[1], plain[2], notice, plain[0].replace(" ", "\n"), plain[3], plain[4] + ' a<b & "c"', None, "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", plain[5]]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;").replace("\n", "<br>")
+    page = lambda t: f"<html><nav>go</nav><ARTICLE id=x><h1>Title</h1><!-- no --><p><b>{escape(t)}</b></p><script>var t='</p>';</script></article><footer>end</footer></html>"
+    pages = [
+        ("http://H.example/lib/LICENSE.html", MIT_FILE), ("https://h.example/lib/deep/one?x=/a#b", plain[0]), ("http://other.example/lib/two", plain[1]), ("http://h.example/three", plain[2]),
+        ("http://h.example/lib/four", notice), ("http://other.example/six", plain[3]), ("http://third.example/six", plain[3]), ("http://third.example/COPYING", MIT_FILE),
+        ("http://third.example/a/b/seven/", texts[7]), ("http://license", texts[9]), ("h.example/lib/ten", plain[5]), (None, plain[5]),
+    ]
+    rows = [(i, u, page(t)) for i, (u, t) in enumerate(pages)] + [(90, "http://h.example/lib/open", "<article><!-- " + "x " * 200000), (91, "http://h.example/lib/none", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["op1_license_scan"](spark, str(tmp_path)).collect()
+    assert len(found) == len(texts)
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["licence_path"]) for r in found}
+    lib, third, none = ("MIT", "inherited", "//h.example/lib/LICENSE.html"), ("MIT", "inherited", "//third.example/COPYING"), (None, "none", None)
+    assert got == {
+        0: ("MIT", "file", "s/0/text"), 1: lib, 2: none, 3: none, 4: ("Apache-2.0", "header", "s/4/text"), 5: lib, 6: third, 7: third, 8: none,
+        9: ("GPL-3.0", "file", "s/9/text"), 10: none,
+    }
+
+
 def test_short_secrets_and_slashes(spark):
     """Random strings of 12 characters on, with slashes and without digits; paths, URLs and long words stay."""
     rng = random.Random(8)
