@@ -22,6 +22,8 @@ from .shared import materialise, running, small
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: From this many copies on, a text's weight is looked up without a shuffle, as its documents would all meet in one task.
 HOT = 1000
+#: Buckets whose counts tasks hand on as one row.
+STRETCH = 4096
 #: Different words whose buckets a task keeps.
 KNOWN = 1 << 18
 
@@ -78,21 +80,32 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket occurs, copies counted: a vector per task, then one sum per bucket."""
+    """How often each bucket occurs, copies counted.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+    A task adds its texts up to one vector, which it hands on in stretches of STRETCH buckets; the stretches are added as they come.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(-(-buckets // STRETCH) * STRETCH, np.int64)
         for b in batches:
             found, sizes = _unpacked(b.column(0))
             np.add.at(total, found, np.repeat(b.column(1).to_numpy(zero_copy_only=False), sizes))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["bucket", "n"])
-
-    summed = features.select("features", "copies").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(buckets, np.int64)
-    for row in summed.collect():  # at most one row for each bucket
-        out[row["bucket"]] = row["n"]
-    return out
+        parts = total.reshape(-1, STRETCH)
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([parts[k].tobytes() for k in held], pa.binary())], names=["stretch", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(part, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["stretch", "counts"])
+
+    schema = "stretch bigint, counts binary"
+    out = np.zeros(-(-buckets // STRETCH) * STRETCH, np.int64)
+    for row in features.select("features", "copies").mapInArrow(added, schema).repartition("stretch").mapInArrow(summed, schema).collect():  # a row for each stretch
+        out[row["stretch"] * STRETCH : (row["stretch"] + 1) * STRETCH] = np.frombuffer(row["counts"], np.int64)
+    return out[:buckets]
 
 
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
