@@ -207,6 +207,29 @@ SELECT "table", pk, op, coalesce(lsn, -1) AS lsn FROM (SELECT * FROM e QUALIFY r
     "stream_outcomes": "SELECT CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1",
     "stream_resume": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_distinct FROM events GROUP BY event_type",
 }
+ORACLE["stream_merge"] = f"""WITH {_CHUNKS}, {_LOG},
+q AS (
+  SELECT 'public.customer' AS "table", chunk_id, max(pk) AS hi
+  FROM (SELECT c_custkey AS pk, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 1000) AS BIGINT) AS chunk_id FROM customer) GROUP BY chunk_id),
+k AS (
+  SELECT "table", chunk_id, hi, lag(hi) OVER (PARTITION BY "table" ORDER BY chunk_id) AS low, (SELECT max(chunk_id) FROM p) AS last
+  FROM (SELECT "table", chunk_id, hi FROM p UNION ALL SELECT * FROM q)),
+r AS (
+  SELECT "table", CASE WHEN "table" = 'public.orders' THEN 0 ELSE 800 * (last + 1) END + chunk_id * 800 AS begin, low, hi, hi + 500 AS est,
+         CASE WHEN "table" = 'public.orders' THEN CASE WHEN chunk_id < last THEN chunk_id * 800 + 600 END ELSE 800 * (last + 1) + chunk_id * 800 + 600 END AS stop,
+         CASE WHEN "table" = 'public.orders' THEN chunk_id // 3 * 900 ELSE chunk_id * 400 + 2000 END AS xmin, 800 * last + 700 AS over FROM k),
+x AS (SELECT CASE WHEN lsn % 4 = 3 THEN 'public.customer' ELSE 'public.orders' END AS "table", lsn * 2 + 1 AS place, pk, lsn - lsn % 5 * 150 AS xid FROM w),
+j AS (
+  SELECT x.*, i.begin AS its_begin, i.stop AS its_stop, i.xmin, n.begin AS now_begin, CASE WHEN x."table" = 'public.orders' THEN (SELECT any_value(over) FROM r) END AS over
+  FROM x LEFT JOIN r i ON i."table" = x."table" AND i.stop IS NOT NULL AND (i.low IS NULL OR pk > i.low) AND pk <= i.hi
+         LEFT JOIN r n ON n."table" = x."table" AND n.begin < place AND (n.stop IS NULL OR place < n.stop) AND (n.low IS NULL OR pk > n.low) AND pk <= n.est),
+v AS (
+  SELECT *, CASE WHEN place > over THEN 'emit' WHEN its_stop < place THEN CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END
+                 WHEN now_begin IS NULL THEN 'discard_unscanned' WHEN its_begin >= now_begin THEN CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END
+                 WHEN over IS NOT NULL THEN 'emit' ELSE 'buffer' END AS verdict,
+         CASE WHEN place > over OR its_stop < place OR now_begin IS NULL THEN place WHEN its_begin >= now_begin THEN its_stop ELSE coalesce(over, -1) END AS settled_at FROM j)
+SELECT "table", place, pk, xid, verdict, settled_at FROM v"""
+ORACLE["stream_transactions"] = ORACLE["tx_assemble"]
 ORACLE["stream_sessions"] = ORACLE["session_fold"]
 ORACLE["stream_batches"] = ORACLE["batch_assign"]
 ORACLE["stream_pipeline"] = ORACLE["pipeline_outcomes"]

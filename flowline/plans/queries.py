@@ -16,7 +16,7 @@ from ..functions import hashing, values
 from ..operators import batching, envelope, outcomes, partition, process, sessions
 from ..operators.batching import Batcher
 from ..sources import activity, changelog, offset_store
-from ..streaming import run as streaming
+from ..streaming import merging, run as streaming, transactions
 from .pipeline import Pipeline
 from .storage import scratch
 
@@ -489,6 +489,53 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_distinct"))
 
 
+def _interleaved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, control) of two tables that are scanned one after the other while changes arrive.
+
+    Changes have odd places and the scan even ones. The last chunk of orders is read and never ends, but that snapshot is completed; the one of customer isn't.
+    """
+    orders = snapshot.plan(_chunked(spark, sf_dir))
+    customer = snapshot.plan(snapshot.chunks(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "public.customer"))
+    last = orders.agg(F.max("chunk_id")).first()[0]
+    spans = snapshot.ranges(orders, F.floor(F.col("chunk_id") / 3) * 900).unionByName(snapshot.ranges(customer, F.col("chunk_id") * 400 + 2000))
+    first = F.when(F.col("table") == "public.orders", 0).otherwise(2 * 400 * (last + 1))
+    begin = (first + F.col("chunk_id") * 800).cast("bigint")
+    open_ = (F.col("table") == "public.orders") & (F.col("chunk_id") == last)
+    chunks = spans.select("table", begin.alias("begin"), F.when(~open_, begin + 600).alias("end"), "low", (F.col("high") + 500).alias("estimated"), "high", "xmin")
+    completed = spark.createDataFrame([("public.orders", 2 * (400 * last + 350))], "table string, place long")
+    table = F.when(F.col("lsn") % 4 == 3, "public.customer").otherwise("public.orders")
+    log = _log(spark, sf_dir).select(table.alias("table"), (F.col("lsn") * 2 + 1).alias("place"), "pk", (F.col("lsn") - F.col("lsn") % 5 * 150).alias("xid"))
+    return merging.changes(log), merging.control(chunks, completed)
+
+
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and changes arrive interleaved, in several micro-batches; every change's verdict, where it was settled, and what waits at the end."""
+    changes, control = _interleaved(spark, sf_dir)
+    own = streaming.own_session(spark)
+    events = changes.unionByName(control).withColumn("seq", F.col("place"))
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "merged"), scratch(spark, "checkpoint")
+    streaming.append_log(events, path, 3)
+    merged = merging.merged(streaming.read_log(own, path, events.schema).drop("seq"), [4000, 9000])
+    streaming.drained(streaming.sink(merged, out, checkpoint))
+    settled = spark.read.parquet(out).drop("batch_id")
+    return settled.unionByName(merging.waiting(own, checkpoint)).withColumns({"settled_at": _or("settled_at", -1), "pk": _or("pk", -1)})
+
+
+def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions of four changes each that reach over micro-batches, their commits coming 30 changes later; every ninth has none or is aborted."""
+    changes = _log(spark, sf_dir).select(F.lit(transactions.CHANGE).alias("kind"), (F.col("lsn") * 2).alias("place"), F.floor(F.col("lsn") / 4).cast("bigint").alias("xid"), "lsn", "op")
+    ends = changes.groupBy("xid").agg((F.max("lsn") + 1).alias("lsn")).where("xid % 27 <> 8")
+    kind = F.when(F.col("xid") % 9 == 8, transactions.ABORT).otherwise(transactions.COMMIT)
+    ends = ends.select(kind.alias("kind"), (F.col("lsn") * 2 + 61).alias("place"), "xid", "lsn", F.lit(None).cast("string").alias("op"))
+    own = streaming.own_session(spark)
+    events = changes.unionByName(ends).withColumn("seq", F.col("place"))
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "transactions"), scratch(spark, "checkpoint")
+    streaming.append_log(events, path, 3)
+    assembled = transactions.assembled(streaming.read_log(own, path, events.schema).drop("seq"), slices=2)
+    streaming.drained(streaming.sink(assembled, out, checkpoint))
+    return spark.read.parquet(out).select("xid", "lsn", "op", "commit_lsn")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -496,6 +543,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
         keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
         text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
-        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions,
+        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions,
     )
 }

@@ -23,6 +23,19 @@ from ..operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
 FILES_PER_TRIGGER = 1
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which state lives in RocksDB; its tables and settings are its own, its executors aren't.
+
+    Streams of state that is appended to, of maps and of timers need that store, and other streams of ``spark`` keep theirs.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def append_log(df: DataFrame, path: str, parts: int) -> None:
     """Writes messages (``seq`` from 0) to a log folder in ``parts`` appends, in order of seq."""
     last = df.agg(F.max("seq")).first()[0]
