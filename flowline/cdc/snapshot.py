@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import canonical_uuid, in_range
-from ..operators.numbering import numbered, ranked
+from ..operators.numbering import ranked
 
 CHUNK_SIZE = 1000
 
@@ -13,14 +13,15 @@ CHUNK_SIZE = 1000
 def chunks(rows: DataFrame, pk: str, table: str, size: int = CHUNK_SIZE) -> DataFrame:
     """(table, pk, chunk_id, row): rows in chunks of ``size`` by ascending key, chunk ids from 0 within the table.
 
-    Keys are whole numbers, or UUIDs as text, which are kept in canonical form and in its order.
+    Keys are whole numbers, or UUIDs as text, which are kept in canonical form and in its order. Rows are dealt to ranges of the key by quantiles of a
+    sample, so keys may be as sparse or as crowded as they like; numbers of rows are exact.
     """
     if size < 1:
         raise ValueError("the chunk size must be at least 1")
     text = dict(rows.dtypes)[pk] == "string"
     key = canonical_uuid(F.col(pk)) if text else F.col(pk).cast("bigint")
     keyed = rows.select(F.lit(table).alias("table"), key.alias("pk"), F.struct(*rows.columns).alias("row"))
-    placed = (ranked if text else numbered)(keyed, ["table"], "pk", "_place")
+    placed = ranked(keyed, ["table"], "pk", "_place")
     return placed.withColumn("chunk_id", F.floor(F.col("_place") / size).cast("bigint")).drop("_place")
 
 
@@ -32,10 +33,14 @@ def plan(chunked: DataFrame) -> DataFrame:
 def ranges(chunk_plan: DataFrame, xmin: Column) -> DataFrame:
     """(table, chunk_id, low, high, xmin): what each chunk has scanned, (low, high], the first being open below.
 
-    The window runs over one row per chunk.
+    Each chunk tells the next one its end, so that no task sees all chunks of a table.
     """
-    before = F.lag("hi").over(Window.partitionBy("table").orderBy("chunk_id"))
-    return chunk_plan.select("table", "chunk_id", before.alias("low"), F.col("hi").alias("high"), xmin.alias("xmin"))
+    kind = dict(chunk_plan.dtypes)["hi"]
+    own = F.struct(F.col("chunk_id").alias("chunk_id"), F.col("size").alias("size"), F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.lit(None).cast(kind).alias("before"))
+    after = F.struct((F.col("chunk_id") + 1).alias("chunk_id"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast(kind).alias("lo"), F.lit(None).cast(kind).alias("hi"), F.col("hi").alias("before"))
+    told = chunk_plan.select("table", F.inline(F.array(own, after)))
+    met = told.groupBy("table", "chunk_id").agg(*[F.max(c).alias(c) for c in ("size", "lo", "hi", "before")]).where(F.col("hi").isNotNull())
+    return met.select("table", "chunk_id", F.col("before").alias("low"), F.col("hi").alias("high"), xmin.alias("xmin"))
 
 
 def page(rows: DataFrame, pk: str, cursor: object | None, size: int = CHUNK_SIZE) -> DataFrame:

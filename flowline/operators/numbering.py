@@ -16,7 +16,8 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, block: int =
     """``df`` with ``name``: 0, 1, 2, ... by the whole number ``order`` within ``keys``.
 
     A key's rows are cut into blocks of its order values, which are numbered by themselves; the blocks' sizes,
-    one row each, give what is added.  So a key with a third of all rows is spread over many tasks.
+    one row each, give what is added.  So a key with a third of all rows is spread over many tasks, where its order values are dense enough for blocks
+    to hold many; for sparse ones see :func:`ranked`.
     Rows of equal order are numbered in any order; ``order`` isn't null.
     """
     cut = "_block"

@@ -229,6 +229,12 @@ v AS (
                  WHEN over IS NOT NULL THEN 'emit' ELSE 'buffer' END AS verdict,
          CASE WHEN place > over OR its_stop < place OR now_begin IS NULL THEN place WHEN its_begin >= now_begin THEN its_stop ELSE coalesce(over, -1) END AS settled_at FROM j)
 SELECT "table", place, pk, xid, verdict, settled_at FROM v"""
+ORACLE["chunk_plan_sparse"] = """
+WITH k AS (
+  SELECT CASE WHEN o_orderkey % 1000 = 999 THEN o_orderkey * 4000000000000 WHEN o_orderkey % 2 = 0 THEN o_orderkey * 100003 ELSE -o_orderkey * 7 END AS pk FROM orders),
+c AS (SELECT pk, CAST(floor((row_number() OVER (ORDER BY pk) - 1) / 1000) AS BIGINT) AS chunk_id FROM k)
+SELECT 'public.orders' AS "table", chunk_id, count(*) AS size, min(pk) AS lo, max(pk) AS hi FROM c GROUP BY chunk_id"""
+ORACLE["stream_bounded"] = "SELECT event_id // 2500 AS batch_id, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1"
 ORACLE["stream_transactions"] = ORACLE["tx_assemble"]
 ORACLE["stream_sessions"] = ORACLE["session_fold"]
 ORACLE["stream_batches"] = ORACLE["batch_assign"]

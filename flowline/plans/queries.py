@@ -206,6 +206,13 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.plan(_chunked(spark, sf_dir))
 
 
+def chunk_plan_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders under keys that lie far apart, in clusters and with outliers at both ends."""
+    key = F.col("o_orderkey")
+    spread = F.when(key % 1000 == 999, key * 4_000_000_000_000).when(key % 2 == 0, key * 100_003).otherwise(-key * 7)
+    return snapshot.plan(snapshot.chunks(_read(spark, sf_dir, "orders").select(spread.alias("id")), "id", "public.orders"))
+
+
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = snapshot.page(_read(spark, sf_dir, "orders"), "o_orderkey", 499, 250)
     return page.select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -468,14 +475,30 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that runs on is idle once all is processed, and a graceful stop loses nothing."""
     rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type")
-    stream, _ = _stream_log(spark, rows)
-    out = scratch(spark, "stopped")
-    query = streaming.sink(stream, out, scratch(spark, "checkpoint"), interval="100 milliseconds")
-    streaming.stopped(query)
+    stream, path = _stream_log(spark, rows)
+    out, checkpoint = scratch(spark, "stopped"), scratch(spark, "checkpoint")
+    query = streaming.sink(stream, out, checkpoint, interval="100 milliseconds")
+    streaming.stopped(query, barrier=streaming.files_barrier(path, checkpoint))
     idle = F.lit(streaming.idle(query))
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.first(idle).alias("idle"))
 
 
+def stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches under a budget, stopped in the middle of the backlog and resumed: each batch's rows, first and last seq."""
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type")
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "bounded"), scratch(spark, "checkpoint")
+    budget = changelog.demand(100, 2600)
+    changelog.register(spark)
+    streaming.write_log(rows.where("seq < 5000"), path)
+    for part in (None, rows.where("seq >= 5000")):
+        if part is not None:
+            streaming.write_log(part, path)
+        log = streaming.demanded(spark, path, rows.schema, budget, checkpoint)
+        query = streaming.sink(log, out, checkpoint, interval="0 seconds")
+        streaming.stopped(query, barrier=streaming.rows_barrier(path) if part is not None else lambda q: q.lastProgress is not None)
+    return spark.read.parquet(out).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+
+
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log source is read, stopped, and resumed from its checkpoint after more has been logged: every seq once."""
     changelog.register(spark)
@@ -514,9 +537,10 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = streaming.own_session(spark)
     events = changes.unionByName(control).withColumn("seq", F.col("place"))
     path, out, checkpoint = scratch(spark, "log"), scratch(spark, "merged"), scratch(spark, "checkpoint")
-    streaming.append_log(events, path, 3)
-    merged = merging.merged(streaming.read_log(own, path, events.schema).drop("seq"), [4000, 9000])
-    streaming.drained(streaming.sink(merged, out, checkpoint))
+    streaming.write_log(events, path)
+    log = streaming.demanded(own, path, events.schema, events.count() // 3 + 1, checkpoint)
+    query = streaming.sink(merging.merged(log.drop("seq"), [4000, 9000]), out, checkpoint, interval="0 seconds")
+    streaming.stopped(query, barrier=streaming.rows_barrier(path))
     settled = spark.read.parquet(out).drop("batch_id")
     return settled.unionByName(merging.waiting(own, checkpoint)).withColumns({"settled_at": _or("settled_at", -1), "pk": _or("pk", -1)})
 
@@ -530,9 +554,10 @@ def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = streaming.own_session(spark)
     events = changes.unionByName(ends).withColumn("seq", F.col("place"))
     path, out, checkpoint = scratch(spark, "log"), scratch(spark, "transactions"), scratch(spark, "checkpoint")
-    streaming.append_log(events, path, 3)
-    assembled = transactions.assembled(streaming.read_log(own, path, events.schema).drop("seq"), slices=2)
-    streaming.drained(streaming.sink(assembled, out, checkpoint))
+    streaming.write_log(events, path)
+    log = streaming.demanded(own, path, events.schema, events.count() // 3 + 1, checkpoint)
+    query = streaming.sink(transactions.assembled(log.drop("seq"), slices=2), out, checkpoint, interval="0 seconds")
+    streaming.stopped(query, barrier=streaming.rows_barrier(path))
     return spark.read.parquet(out).select("xid", "lsn", "op", "commit_lsn")
 
 
@@ -543,6 +568,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
         keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
         text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
-        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions,
+        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions, stream_bounded, chunk_plan_sparse,
     )
 }

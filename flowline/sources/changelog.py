@@ -1,55 +1,160 @@
-"""A Python streaming data source over a numbered message log (SRC-1 to SRC-4, SRC-7, SRC-12, UDF-3).
+"""A Python streaming data source over a numbered message log, bounded by demand (SRC-1 to SRC-4, SRC-7, SRC-12, UDF-3, STR-1, STR-2).
 
-The log is a folder of Parquet files with a whole-number column ``seq``.  Offsets are the next seq, and a micro-batch takes what is
-there; where its size must be bounded, the file source with ``maxFilesPerTrigger`` reads the same folder.  What has been delivered is decided by the stream's
-checkpoint alone, so a stopped query goes on where it left off.  Executors read the files themselves, so
-the folder must be one that all of them see.
+The log is a folder of Parquet files with a whole-number column ``seq``, which every row has once.  Offsets are {"seq": next}.  A micro-batch takes at most
+``budget`` rows (MaxDemand less MinDemand): its end is planned from an index of the row groups' statistics, which reads the footer of a
+file once and only of files that it hasn't seen.  What has been delivered is decided by the stream's checkpoint alone, so a stopped query goes on
+where it left off; a source that is to go on under a budget is told the ``checkpoint``, where the end of the last micro-batch that was planned is found.
+Executors read the files themselves, so log and checkpoint are folders, named by URIs, that all of them see.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import insort
 from collections.abc import Iterator
+from itertools import takewhile
 
+import numpy as np
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 NAME = "flowline-log"
 
+#: Messages that are asked for where so few wait, and that may wait at most.
+MIN_DEMAND, MAX_DEMAND = 10, 100
+
+
+def demand(least: int = MIN_DEMAND, most: int = MAX_DEMAND) -> int:
+    """Rows that one request asks for: what may wait less what is waiting when it is made."""
+    if not 0 <= least < most:
+        raise ValueError("demand needs 0 <= least < most")
+    return most - least
+
+
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and the folder there; a path without a scheme is local."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 class Span(InputPartition):
-    def __init__(self, start: int, end: int):
+    """Rows with seq in [start, end), and the files that may hold some."""
+
+    def __init__(self, start: int, end: int, files: list[str]):
         super().__init__((start, end))
-        self.start, self.end = start, end
+        self.start, self.end, self.files = start, end, files
+
+
+class Index:
+    """(first seq, last seq, rows, file, number) of every row group of the log, read once for each file."""
+
+    def __init__(self, path: str):
+        self.system, self.folder = located(path)
+        self.seen: set[str] = set()
+        self.groups: list[tuple[int, int, int, str, int]] = []
+
+    def update(self) -> None:
+        """Reads the footers of files that have come since; files without rows or that are being written are left out."""
+        chosen = fs.FileSelector(self.folder, allow_not_found=True)
+        for info in self.system.get_file_info(chosen):
+            if info.type != fs.FileType.File or not info.base_name.endswith(".parquet") or info.base_name[0] in "._" or info.path in self.seen:
+                continue
+            with self.system.open_input_file(info.path) as file:
+                meta = pq.ParquetFile(file).metadata
+            at = meta.schema.names.index("seq")
+            for k in range(meta.num_row_groups):
+                group = meta.row_group(k)
+                if group.num_rows:
+                    stats = group.column(at).statistics
+                    insort(self.groups, (stats.min, stats.max, group.num_rows, info.path, k))
+            self.seen.add(info.path)
+
+    def ends(self) -> tuple[int, int]:
+        """First seq and the one after the last; (0, 0) for an empty log."""
+        return (self.groups[0][0], max(g[1] for g in self.groups) + 1) if self.groups else (0, 0)
+
+    def forget(self, start: int) -> None:
+        """Drops what ends before ``start``, which a stream won't ask for again."""
+        self.groups = [g for g in self.groups if g[1] >= start]
+
+    def files(self, start: int, end: int) -> list[str]:
+        return sorted({g[3] for g in self.groups if g[0] < end and g[1] >= start})
+
+    def planned(self, start: int, budget: int) -> int:
+        """The largest end up to which [start, end) has no more than ``budget`` rows; gaps in seq are free.
+
+        Statistics give a bound on the rows before an end, which is exact for groups without gaps that don't overlap. Where the budget ends inside
+        groups with gaps, their seqs are read, and only the first ones kept.
+        """
+        near = [g for g in self.groups if g[1] >= start]
+        low = start
+        for end in sorted({g[1] + 1 for g in near}):
+            inside = list(takewhile(lambda g: g[0] < end, near))
+            if sum(min(n, min(b, end - 1) - max(a, start) + 1) for a, b, n, *_ in inside) > budget:
+                break
+            low = end
+        else:
+            return low
+        if all(b - a + 1 == n for a, b, n, *_ in inside) and all(x[1] < y[0] for x, y in zip(inside, inside[1:])):
+            left = budget
+            for a, b, *_ in inside:
+                a = max(a, start)
+                if b - a + 1 > left:
+                    return max(low, a + left)
+                left -= b - a + 1
+        first = np.zeros(0, np.int64)
+        for path in sorted({g[3] for g in inside}):
+            with self.system.open_input_file(path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(columns=["seq"], row_groups=[g[4] for g in inside if g[3] == path]):
+                    seqs = batch.column(0).to_numpy()
+                    first = np.concatenate([first, seqs[(seqs >= start) & (seqs < end)]])
+                    if len(first) > 4 * budget + 4096:
+                        first = np.partition(first, budget)[: budget + 1]
+        first.sort()
+        if len(first) > budget:
+            return max(low, int(first[budget]))
+        return end if len(first) == budget else self.planned(end, budget - len(first))
 
 
 class _Log:
     """Reading a span of the log; the seq predicate reaches the Parquet row groups."""
 
     def __init__(self, options: dict, schema: StructType):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.names = schema.names
         self.parallel = max(1, int(options.get("parallel", 4)))
-
-    def ends(self) -> tuple[int, int]:
-        """First seq and the one after the last; (0, 0) for an empty log."""
-        data = ds.dataset(self.path)
-        least, most = [], []
-        for f in data.get_fragments():
-            for group in f.row_groups:
-                stats = group.statistics["seq"]
-                least.append(stats["min"])
-                most.append(stats["max"])
-        return (min(least), max(most) + 1) if least else (0, 0)
-
-    def spans(self, start: int, end: int) -> list[Span]:
+        self.budget = int(options["budget"]) if "budget" in options else None
+        self.checkpoint, self.source = options.get("checkpoint"), int(options.get("source", 0))
+        if self.budget is not None and self.budget < 1:
+            raise ValueError("the budget must be at least 1")
+        if self.budget is not None and not self.checkpoint:
+            raise ValueError("a stream under a budget can't go on unless the source is told its checkpoint")
+
+    def spans(self, index: Index, start: int, end: int) -> list[Span]:
         n = min(self.parallel, max(1, end - start))
         cuts = [start + (end - start) * k // n for k in range(n + 1)]
-        return [Span(a, b) for a, b in zip(cuts, cuts[1:])]
+        return [Span(a, b, files) for a, b in zip(cuts, cuts[1:]) if (files := index.files(a, b))]
 
     def batches(self, part: Span) -> Iterator:
+        system, _ = located(self.path)
         wanted = (ds.field("seq") >= part.start) & (ds.field("seq") < part.end)
-        yield from ds.dataset(self.path).to_batches(columns=self.names, filter=wanted)
+        yield from ds.dataset(part.files, filesystem=system, format="parquet").to_batches(columns=self.names, filter=wanted)
+
+
+def planned_end(checkpoint: str, source: int = 0) -> int | None:
+    """The end of the last micro-batch that a checkpoint has planned for its ``source``-th source; None before the first."""
+    system, folder = located(checkpoint)
+    found = system.get_file_info(fs.FileSelector(f"{folder}/offsets", allow_not_found=True))
+    numbers = sorted((int(f.base_name) for f in found if f.base_name.isdigit()), reverse=True)
+    if not numbers:
+        return None
+    with system.open_input_stream(f"{folder}/offsets/{numbers[0]}") as file:
+        lines = file.read().decode().splitlines()
+    offset = lines[2 + source]  # after the version and the batch's own facts
+    return json.loads(offset)["seq"] if offset != "-" else None
 
 
 class LogReader(DataSourceReader):
@@ -57,26 +162,42 @@ class LogReader(DataSourceReader):
         self.log = log
 
     def partitions(self) -> list[Span]:
-        return self.log.spans(*self.log.ends())
+        index = Index(self.log.path)
+        index.update()
+        return self.log.spans(index, *index.ends()) or [Span(0, 0, [])]
 
     def read(self, partition: Span) -> Iterator:
-        return self.log.batches(partition)
+        return self.log.batches(partition) if partition.files else iter(())
 
 
 class LogStreamReader(DataSourceStreamReader):
-    """Offsets are {"seq": next}; ``commit`` needs no action, since the checkpoint holds what is done."""
+    """``commit`` needs no action, since the checkpoint holds what is done; ``at`` is the end that was planned last."""
 
     def __init__(self, log: _Log):
-        self.log = log
+        self.log, self.index, self.at = log, Index(log.path), None
 
     def initialOffset(self) -> dict:
-        return {"seq": self.log.ends()[0]}
+        self.index.update()
+        return {"seq": self.index.ends()[0]}
 
     def latestOffset(self) -> dict:
-        return {"seq": self.log.ends()[1]}
+        self.index.update()
+        first, last = self.index.ends()
+        if self.log.budget is None:
+            return {"seq": last}
+        if self.at is None:  # a stream begins, or goes on where its checkpoint says
+            planned = planned_end(self.log.checkpoint, self.log.source)
+            self.at = first if planned is None else planned
+        # a log that was empty at first begins wherever its first row is
+        if last > self.at:
+            self.index.forget(self.at)
+            self.at = self.index.planned(max(self.at, first), self.log.budget)
+        return {"seq": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        return self.log.spans(start["seq"], end["seq"])
+        self.index.update()
+        self.at = max(self.at or 0, end["seq"])
+        return self.log.spans(self.index, start["seq"], end["seq"])
 
     def read(self, partition: Span) -> Iterator:
         return self.log.batches(partition)
@@ -86,6 +207,8 @@ class LogStreamReader(DataSourceStreamReader):
 
 
 class LogSource(DataSource):
+    """Options: path; parallel (tasks of a micro-batch, 4); budget (rows of a micro-batch, unbounded); checkpoint and source (see :func:`planned_end`)."""
+
     @classmethod
     def name(cls) -> str:
         return NAME
@@ -101,4 +224,12 @@ class LogSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known to a session, and to the sessions cloned from it later."""
     spark.dataSource.register(LogSource)
+
+
+def end_of(path: str) -> int:
+    """The seq after the last one that the log has now."""
+    index = Index(path)
+    index.update()
+    return index.ends()[1]

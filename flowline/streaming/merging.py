@@ -90,7 +90,7 @@ class Merger(StatefulProcessor):
             self.waiting.removeKey((place,))
             yield place, pk, xid
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         table = key[0]
         events = pd.concat(list(rows), ignore_index=True).sort_values("place", kind="stable")
         streaming = was_streaming = self.phase.exists() and bool(self.phase.get()[0])

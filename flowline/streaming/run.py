@@ -7,10 +7,13 @@ micro-batch leaves no second copy.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,20 +21,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.batching import Batcher, Handler, judged
 from ..operators.outcomes import FAILED
 from ..operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
+from ..sources import changelog
 
 #: Log files that a micro-batch takes at most: the backpressure.
 FILES_PER_TRIGGER = 1
 
 
 def own_session(spark: SparkSession) -> SparkSession:
-    """A session with the settings of ``spark`` in which state lives in RocksDB; its tables and settings are its own, its executors aren't.
+    """A clone of ``spark``'s session, with its settings and sources, in which state lives in RocksDB.
 
     Streams of state that is appended to, of maps and of timers need that store, and other streams of ``spark`` keep theirs.
     """
-    own = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if own.conf.isModifiable(name):
-            own.conf.set(name, value)
+    changelog.register(spark)
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return own
 
@@ -48,6 +50,19 @@ def read_log(spark: SparkSession, path: str, schema, files: int = FILES_PER_TRIG
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def write_log(df: DataFrame, path: str, files: int = 4) -> None:
+    """Appends messages to a log folder, in ``files`` files of a range of seq each."""
+    df.repartitionByRange(files, "seq").write.mode("append").parquet(path)
+
+
+def demanded(spark: SparkSession, path: str, schema, budget: int, checkpoint: str) -> DataFrame:
+    """The log as a stream whose micro-batches take at most ``budget`` rows, in order of seq; ``checkpoint`` is that of the query to be started.
+
+    The session must know the source: see :func:`own_session` and ``changelog.register``.
+    """
+    return spark.readStream.format(changelog.NAME).schema(schema).option("budget", budget).option("checkpoint", checkpoint).load(path)
+
+
 def sink(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append", interval: str | None = None) -> StreamingQuery:
     """Starts ``stream`` into ``path``; ``transform`` runs on every micro-batch.  Without an interval it ends when the source is drained."""
 
@@ -79,16 +94,62 @@ def idle(*queries: StreamingQuery) -> bool:
     return all(not q.isActive or not (q.status["isDataAvailable"] or q.status["isTriggerActive"]) for q in queries)
 
 
-def stopped(*queries: StreamingQuery) -> None:
-    """Graceful end: each query processes all that is there, then stops (STR-6).
+Barrier = Callable[[StreamingQuery], bool]
+
+
+def rows_barrier(path: str, source: int = 0) -> Barrier:
+    """Reached when a stream of the log source has processed every row that the log at ``path`` has now."""
+    end = changelog.end_of(path)
+
+    def reached(query: StreamingQuery) -> bool:
+        progress = query.lastProgress
+        at = re.search(r"seq\W+([0-9]+)", str(progress["sources"][source]["endOffset"])) if progress else None
+        return end == 0 or at is not None and int(at[1]) >= end
+
+    return reached
 
-    Waits for a trigger without input, which also comes where timeouts keep a query triggering; an idle query reports one
-    every ten seconds.
+
+def files_barrier(path: str, checkpoint: str, source: int = 0) -> Barrier:
+    """Reached when a stream of the file source has processed every file that the folder at ``path`` has now, by the checkpoint's own logs."""
+    system, folder = changelog.located(path)
+    found = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+    missing = {f.base_name for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._"}
+    held, home = changelog.located(checkpoint)
+    read: set[str] = set()
+
+    def names(at: str) -> list[str]:
+        return [f.base_name for f in held.get_file_info(fs.FileSelector(f"{home}/{at}", allow_not_found=True)) if f.base_name[0] != "."]
+
+    def reached(_: StreamingQuery) -> bool:
+        done = max((int(n) for n in names("commits") if n.isdigit()), default=-1)
+        for name in names(f"sources/{source}"):
+            if name in read or not name.removesuffix(".compact").isdigit() or int(name.removesuffix(".compact")) > done:
+                continue
+            with held.open_input_stream(f"{home}/sources/{source}/{name}") as file:
+                missing.difference_update(json.loads(line)["path"].rsplit("/", 1)[1] for line in file.read().decode().splitlines()[1:] if line)
+            read.add(name)
+        return not missing
+
+    return reached
+
+
+def stopped(*queries: StreamingQuery, barrier: Barrier | None = None) -> None:
+    """Graceful end: each query processes all that was there when this was called, then stops (STR-6).
+
+    The barrier says when that is so, and is taken before the call, so input that goes on coming doesn't keep a query running. Without one, a query
+    ends at the first trigger without input that began since, for which an idle query takes ten seconds and steady input may take for ever.
     """
+    called = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+
+    def idle_since(q: StreamingQuery) -> bool:
+        return q.lastProgress is not None and q.lastProgress["numInputRows"] == 0 and q.lastProgress["timestamp"] >= called
+
     for q in queries:
-        while q.isActive and (q.lastProgress is None or q.lastProgress["numInputRows"] > 0):
-            time.sleep(0.1)
+        while q.isActive and not (barrier or idle_since)(q):
+            time.sleep(0.05)
         q.stop()
+        if q.exception() is not None:
+            raise q.exception()
 
 
 _SESSION = "is_logged_in boolean, last_seq long, last_activity timestamp_ntz, page_views long, purchase_count long, total_purchase_amount double"

@@ -8,23 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 # Kinds of events.
 CHANGE, COMMIT, ABORT = "change", "commit", "abort"
 
-#: Rows that are handed on at once: a transaction of any size leaves in pieces of this many.
+#: Rows that are appended to a list at once.
 ROWS = 10_000
 
 
 class Assembler(StatefulProcessor):
-    """Holds the rows of one slice of a transaction; ``columns`` are those of the rows, ``silence_ms`` how long one may be without an event."""
+    """Holds the rows of one slice of a transaction; ``schema`` is theirs, ``silence_ms`` how long one may be without an event."""
 
     def __init__(self, schema: StructType, silence_ms: int | None):
-        self.schema, self.columns, self.silence_ms = schema, schema.names, silence_ms
+        self.schema, self.silence_ms = schema, silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,39 +32,40 @@ class Assembler(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _watched(self, timer_values: object, on: bool) -> None:
+    def _watched(self, times: object, on: bool) -> None:
         if self.silence_ms is None:
             return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if on:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.silence_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values("place", kind="stable")
-        changes = events[events["kind"] == CHANGE]
-        ends = events[events["kind"] != CHANGE]
-        plain = lambda part: [tuple(None if pd.isna(v) else v for v in r) for r in part[self.columns].astype(object).itertuples(index=False, name=None)]
-        if not len(ends):
-            self.rows.appendList(plain(changes))
-            self._watched(timer_values, True)
+            self.handle.registerTimer(times.getCurrentProcessingTimeInMs() + self.silence_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        """Changes are appended in pieces as they come; a transaction has one end, after all its changes."""
+        fresh: list[tuple] = []
+        end = None
+        for row in rows:
+            if row["kind"] != CHANGE:
+                end = row
+                continue
+            fresh.append(tuple(row[c] for c in self.schema.names))
+            if len(fresh) == ROWS:
+                self.rows.appendList(fresh)
+                fresh = []
+        if end is None:
+            self.rows.appendList(fresh) if fresh else None
+            self._watched(timerValues, True)
             return
-        end = ends.iloc[0]
         if end["kind"] == COMMIT:
-            piece: list[tuple] = []
+            told, lsn = Row(*self.schema.names, "commit_lsn"), end["lsn"]
             for row in self.rows.get() if self.rows.exists() else ():
-                piece.append(tuple(row))
-                if len(piece) == ROWS:
-                    yield self._told(piece, end["lsn"])
-                    piece = []
-            yield self._told(piece + plain(changes), end["lsn"])
+                yield told(*row, lsn)
+            for row in fresh:
+                yield told(*row, lsn)
         self.rows.clear()
-        self._watched(timer_values, False)
+        self._watched(timerValues, False)
 
-    def _told(self, rows: list[tuple], lsn: int) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns).assign(commit_lsn=int(lsn))
-
-    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         """A transaction that has been silent for too long goes as an aborted one does."""
         self.rows.clear()
         return iter(())
@@ -87,7 +87,7 @@ def assembled(events: DataFrame, silence_ms: int | None = None, slices: int = 1)
         spread = events.withColumn("slice", F.lit(0))
     out = StructType([*rest]).add("commit_lsn", "long")
     mode = "none" if silence_ms is None else "processingTime"
-    return spread.groupBy("xid", "slice").transformWithStateInPandas(Assembler(StructType(rest), silence_ms), out, "append", mode)
+    return spread.groupBy("xid", "slice").transformWithState(Assembler(StructType(rest), silence_ms), out, "append", mode)
 
 
 def held(spark: SparkSession, checkpoint: str) -> DataFrame:

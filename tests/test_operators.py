@@ -8,7 +8,7 @@ from flowline.cdc import snapshot, wal
 from flowline.functions import hashing, values
 from flowline.operators import batching, envelope, outcomes, partition, process
 from flowline.operators.batching import Batcher
-from flowline.operators.numbering import numbered
+from flowline.operators.numbering import numbered, ranked
 from flowline.plans.pipeline import Pipeline
 from flowline.sources import activity
 from flowline.sources.offset_store import OffsetStore
@@ -219,3 +219,25 @@ def test_idle_and_stopped(spark, tmp_path):
     streaming.stopped(query)
     assert streaming.idle(query) and not query.isActive
     assert spark.read.parquet(out).count() == 9
+
+
+def test_sparse_keys_fill_tasks_evenly(spark):
+    """Keys 100,000 apart, and such that half of them lie in a thousandth of the space: no range holds over twice the median, and numbers are exact."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for key in (F.col("id") * 100_000, F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") * 4_000_000_007)):
+            rows = spark.range(200_000).select(key.alias("id"))
+            placed = ranked(rows.withColumn("table", F.lit("t")), ["table"], "id", "place")
+            files = {}
+            for r in placed.select("id", "place").orderBy("id").collect():
+                assert r["place"] == len(files)
+                files[r["id"]] = r["place"]
+            sizes = sorted(r["count"] for r in rows.repartitionByRange("id").groupBy(F.spark_partition_id()).count().collect())
+            assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        chunked = snapshot.chunks(rows, "id", "t", 1000)
+        assert [r["size"] for r in snapshot.plan(chunked).collect()] == [1000] * 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
