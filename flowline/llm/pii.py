@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import fresh, materialise, small
-from .spans import SPAN, located, matches, redacted
+from .spans import SPAN, apart, located, matches, redacted
 
 # The patterns of the base kinds.  A local part starts where no character of its class stands before,
 # or where the match before ended, and an address where no digit stands before, which is where the plain patterns' leftmost
@@ -138,8 +138,13 @@ def _texts_with(docs: DataFrame, wanted: DataFrame, parts) -> DataFrame:
 
 
 def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc_id, text, copy) of whole-number ids; texts are told apart by 128 bits of a digest."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.withColumn("copy", F.xxhash64("text"))
+    return slim.withColumn("copy", _identity(F.col("text")))
+
+
+def _identity(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -151,7 +156,11 @@ def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLO
     ties in start are ordered by kind; an empty table gives no rows; other columns are ignored.
     The patterns run over every text once; texts are read again for terms only if an entity is in enough texts.
     """
-    marked = _marked(docs, text_col)
+    return _spans(_marked(docs, text_col), disclosure, support)
+
+
+def _spans(marked: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """The same of rows (doc_id, text, copy)."""
     based, key = base_spans(marked, F.col("text"))
     base = materialise(based.select("doc_id", "copy", F.col(key).alias("base"), F.when(F.size(key) > 0, terms(F.col("text"))).alias("words")), "base")
     chosen = disclosing(marked.where("text is not null"), base.where(F.size("base") > 0).select("copy", entities(F.col("base")).alias("entities"), "words"), disclosure, support)
@@ -166,9 +175,9 @@ def spans_of(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLO
     spans = located(F.col("text"), TERM, matches(F.col("text"), TERM), "term", len(KINDS), lambda m: F.col("own")[F.lower(m)].isNotNull())
     hits = near.select("_copy", F.transform(spans, lambda s: s.withField("value", F.col("own")[F.lower(s["value"])])).alias("found"))
     hits = materialise(hits, "term-spans")
-    apart = F.filter("found", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = apart(F.col("base"), F.coalesce("found", F.array().cast(SPAN)), len(KINDS))
     joined = base.join(small(hits), F.col("copy") == F.col("_copy"), "left")
-    return joined.select("doc_id", F.concat("base", F.coalesce(apart, F.array().cast(SPAN))).alias("spans"))
+    return joined.select("doc_id", F.concat("base", added).alias("spans"))
 
 
 def find(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, str]:
@@ -177,9 +186,10 @@ def find(docs: DataFrame, text_col: str = "text", **how) -> tuple[DataFrame, str
     Other columns pass through, and the new column's name avoids theirs.
     """
     text, copy, name = F.col(text_col), fresh(docs, "pii_copy"), fresh(docs, "pii")
-    found = spans_of(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).where(text.isNotNull()), **how).where(F.size("spans") > 0)
+    marked = docs.select(_identity(text).alias("doc_id"), text.alias("text"), _identity(text).alias("copy")).where(text.isNotNull())
+    found = _spans(marked, **how).where(F.size("spans") > 0)
     per_text = small(materialise(found.groupBy(F.col("doc_id").alias(copy)).agg(F.first("spans").alias(name)), "spans"))
-    joined = docs.join(per_text, F.when(text.isNotNull(), F.xxhash64(text)) == per_text[copy], "left").drop(copy)
+    joined = docs.join(per_text, _identity(text) == per_text[copy], "left").drop(copy)
     return joined.withColumn(name, F.coalesce(name, F.array().cast(SPAN))), name
 
 

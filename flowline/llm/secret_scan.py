@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import fresh
-from .spans import SPAN, located, matches, redacted
+from .spans import SPAN, apart, located, matches, redacted
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, samples: DataFrame | None = None, threshold: float = T
     passes = lambda m: F.aggregate(F.array(ratio(m, ratios)), F.lit(False), lambda _, r: (r >= threshold) & (r * (F.length(m) - 1) >= TOTAL))
     random = F.when(
         some(F.col(names["token"])),
-        F.filter(located(text, TOKEN, F.col(names["token"]), "random", 3, passes), lambda s: ~F.exists(F.col(names["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
+        apart(F.col(names["base"]), located(text, TOKEN, F.col(names["token"]), "random", 3, passes), 3),
     ).otherwise(nothing)
     key = fresh(docs, "secrets")
     return out.withColumn(key, F.concat(F.col(names["base"]), random)).drop(*names.values()), key

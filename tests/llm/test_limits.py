@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -125,3 +126,50 @@ def test_wide_rows_are_not_broadcast(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert not hinted(shared.small(wide, most_bytes=1 << 20)) and hinted(shared.small(wide.select("id"), most_bytes=1 << 20))
     assert not hinted(shared.small(spark.range(11), most_rows=10))
+
+
+def plain_redacted(text, found, mark):
+    out, at = [], 0
+    for start, end, kind in found:
+        if start >= at:
+            out += [text[at:start], mark(kind)]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 255, 256, 257, 1000])
+def test_redaction_and_overlaps_by_chance(spark, n):
+    """Spans that nest, touch, overlap and repeat, in a text of wide letters, against plain Python."""
+    rng = random.Random(n)
+    text = "".join(rng.choice("aé日🙂 ") for _ in range(3000))
+    draw = lambda k, rank: sorted((a, min(3000, a + rng.randrange(1, 12)), "xyz"[rank]) for a in (rng.randrange(2990) for _ in range(k)))
+    base, more = draw(n, 0), draw(n // 2 + 1, 1)
+    rows = lambda spans_, rank: [(a, b, k, rank, "v") for a, b, k in spans_]
+    df = spark.createDataFrame([(text, rows(base, 0), rows(more, 1))], f"text string, base {spans.SPAN}, more {spans.SPAN}").repartition(2)
+    got = df.select(
+        spans.redacted(F.col("text"), F.concat("base", "more"), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))).alias("text"), spans.apart(F.col("base"), F.col("more"), 1).alias("free"),
+    ).first()
+    both = sorted([(a, 0, b, k) for a, b, k in base] + [(a, 1, b, k) for a, b, k in more])
+    assert got["text"] == plain_redacted(text, [(a, b, k) for a, _, b, k in both], lambda k: f"[{k}]")
+    assert [(s["start"], s["end"]) for s in got["free"]] == [(a, b) for a, b, _ in more if not any(x < b and a < y for x, y, _ in base)]
+
+
+@pytest.mark.parametrize("kind", ["keys", "assignments", "addresses"])
+def test_very_many_spans(spark, kind):
+    """Twenty thousand spans in one text take seconds, for scanning and for redacting."""
+    rng = random.Random(1)
+    n = 20_000
+    one = {"keys": lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOP234567", k=16)), "assignments": lambda: "token=" + "".join(rng.choices("abcdefghij0123456789", k=14)) + " é " + "".join(rng.choices("ABCDabcdXYZxyz0123456789", k=24)), "addresses": lambda: f"a{rng.randrange(10**6)}@b.org"}[kind]
+    text = " ".join(one() for _ in range(n // (2 if kind == "assignments" else 1)))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    began = time.time()
+    if kind == "addresses":
+        clean = pii.sanitise(df).first()["text"]
+        assert clean == " ".join(["[EMAIL]"] * n)
+    else:
+        found, key = secret_scan.scan(df)
+        told = [(s["start"], s["end"], s["kind"]) for s in found.select(F.explode(key).alias("s")).select("s.*").collect()]
+        told.sort(key=lambda s: s[0])
+        assert len(told) > n * 0.9
+        assert secret_scan.redact(df).first()["text"] == plain_redacted(text, told, lambda _: "[SECRET]")
+    assert time.time() - began < 90  # on a machine about three times slower than usual; the quadratic fold took hours
