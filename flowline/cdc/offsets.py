@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.numbering import ranked
 from .wal import READ
 
 SNAPSHOT, STREAMING = "snapshot", "streaming"
@@ -41,6 +42,28 @@ def phases(chunks: DataFrame, scan_done: bool) -> DataFrame:
     return counted.withColumn("phase", F.when(F.lit(scan_done) & (F.col("pending") == 0), STREAMING).otherwise(SNAPSHOT))
 
 
+def coalesced(scanned: DataFrame, horizon: int | None = None) -> DataFrame:
+    """(table, chunk_id, low, high, xmin) of ``scanned`` ranges, disjoint within a table, with neighbours of one xmin as one: as many rows as there are gaps.
+
+    No change below ``horizon`` can come any more, if it is given, so ranges whose xmin isn't above it judge all alike and count as one class; its xmin is the horizon.
+    Verdicts of changes that can come stay as they are. A range keeps the chunk id of its first one; empty ranges hold no key and are left out.
+
+    A run's first range is one whose low end is no neighbour's high end, and its last one likewise, so runs are found without a window over a table; only their ends are
+    numbered, dealt by ranges of the key, and the n-th first one belongs to the n-th last one.
+    """
+    level = F.col("xmin") if horizon is None else F.greatest("xmin", F.lit(horizon).cast("bigint"))
+    own = scanned.where("low is null or high is null or high > low").select("table", "chunk_id", "low", "high", level.alias("xmin"))
+
+    def without(here: str, there: str) -> DataFrame:
+        """Ranges whose end ``here`` is the end ``there`` of no range of their table and xmin; open ends are nobody's."""
+        other = own.select(F.col("table").alias("_table"), F.col("xmin").alias("_xmin"), F.col(there).alias("_at"))
+        return own.join(other, (F.col("table") == F.col("_table")) & (F.col(here) == F.col("_at")) & F.col("xmin").eqNullSafe(F.col("_xmin")), "left_anti")
+
+    firsts = ranked(without("low", "high").select("table", "chunk_id", "low"), ["table"], "low", "_run")
+    lasts = ranked(without("high", "low").select("table", F.col("low").alias("_low"), "high", "xmin"), ["table"], "_low", "_run").drop("_low")
+    return firsts.join(lasts, ["table", "_run"]).select("table", "chunk_id", "low", "high", "xmin")
+
+
 def state(slot: str, cursor: DataFrame, lsn: DataFrame, phase: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """(slot, state): a connector's state as JSON, from one table's cursor and phase and the confirmed lsn (SNK-2).
 

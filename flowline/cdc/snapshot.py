@@ -52,13 +52,14 @@ def page(rows: DataFrame, pk: str, cursor: object | None, size: int = CHUNK_SIZE
     return after.orderBy(pk).limit(size)
 
 
-def tables(scans: list[tuple[str, DataFrame, str]], size: int = CHUNK_SIZE, done: list[str] = (), cursor: tuple[str, int] | None = None) -> DataFrame:
-    """(ordinal, table, pk, chunk_id) of several tables in turn; those in ``done`` are skipped, and ``cursor`` resumes one after a key."""
+def tables(scans: list[tuple[str, DataFrame, str]], size: int = CHUNK_SIZE, done: list[str] = (), cursor: tuple[str, int | str] | None = None) -> DataFrame:
+    """(ordinal, table, pk, chunk_id) of several tables in turn; those in ``done`` are skipped, and ``cursor`` resumes one after a key, a canonical UUID where keys are UUIDs."""
     out = None
     for k, (name, rows, pk) in enumerate(scans):
         if name in done:
             continue
-        rest = rows.where(F.col(pk) > cursor[1]) if cursor and cursor[0] == name else rows
+        key = canonical_uuid(F.col(pk)) if dict(rows.dtypes)[pk] == "string" else F.col(pk)
+        rest = rows.where(key > F.lit(cursor[1])) if cursor and cursor[0] == name else rows
         one = chunks(rest.select(pk), pk, name, size).select(F.lit(k).alias("ordinal"), "table", "pk", "chunk_id")
         out = one if out is None else out.unionByName(one)
     if out is None:

@@ -239,3 +239,46 @@ ORACLE["stream_transactions"] = ORACLE["tx_assemble"]
 ORACLE["stream_sessions"] = ORACLE["session_fold"]
 ORACLE["stream_batches"] = ORACLE["batch_assign"]
 ORACLE["stream_pipeline"] = ORACLE["pipeline_outcomes"]
+
+ORACLE["stream_watermark"] = f"""WITH {_CHUNKS},
+k AS (
+  SELECT 'public.customer' AS "table", c_custkey AS pk, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 1000) AS BIGINT) AS chunk_id FROM customer),
+a AS (
+  SELECT "table" AS name, pk, chunk_id, row_number() OVER (PARTITION BY "table" ORDER BY pk) AS n,
+         "table" = 'public.orders' AND chunk_id % 7 = 5 AND pk % 1000 = 17 OR "table" = 'public.customer' AND pk = 3 AS missing
+  FROM (SELECT * FROM c UNION ALL SELECT * FROM k)),
+x AS (
+  SELECT name, chunk_id, n, pk AS mark, missing FROM a
+  UNION ALL SELECT 'slot-1', event_id, event_id + 1, event_id, event_id >= 4000 AND event_id % 997 = 12 FROM events),
+g AS (SELECT name, coalesce(min(n) FILTER (WHERE missing) - 1, max(n)) AS upto FROM x GROUP BY name),
+e AS (SELECT name, chunk_id, max(n) AS n, max(mark) AS mark FROM x GROUP BY ALL)
+SELECT name, any_value(upto) AS upto, coalesce(max_by(mark, n) FILTER (WHERE n <= upto), -1) AS mark, true AS as_kept FROM g JOIN e USING (name) GROUP BY name"""
+
+_THREES = """
+t AS (SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 50) AS BIGINT) AS chunk_id, o_orderkey AS pk FROM orders),
+b AS (SELECT chunk_id, lag(max(pk)) OVER (ORDER BY chunk_id) AS low, max(pk) AS high, chunk_id // 3 * 100 AS xmin FROM t GROUP BY chunk_id),
+s AS (SELECT * FROM b WHERE chunk_id % 10 <> 9)"""
+
+ORACLE["range_coalesce"] = f"""WITH {_THREES},
+v AS (SELECT chunk_id, low, high, greatest(xmin, 500) AS xmin FROM s),
+i AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (ORDER BY chunk_id) AS run FROM (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY chunk_id) <> low OR lag(xmin) OVER (ORDER BY chunk_id) <> xmin, true) AS new FROM v))
+SELECT 'public.orders' AS "table", min(chunk_id) AS chunk_id, coalesce(min_by(low, chunk_id) FILTER (WHERE new), -1) AS low, max(high) AS high, any_value(xmin) AS xmin FROM i GROUP BY run"""
+
+ORACLE["merge_coalesced"] = f"""WITH {_THREES}, {_LOG}
+SELECT xid, w.pk, CASE WHEN s.chunk_id IS NULL THEN 'discard_unscanned' WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END AS verdict
+FROM w LEFT JOIN s ON (low IS NULL OR w.pk > low) AND w.pk <= high WHERE xid >= 500"""
+
+_KILLED = """
+h AS (SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 100) AS BIGINT) AS chunk_id, o_orderkey AS pk FROM orders),
+cur AS (SELECT max(pk) AS reached FROM h WHERE chunk_id < (SELECT chunk_id FROM h WHERE pk = 517))"""
+
+ORACLE["snapshot_resume"] = f"""WITH {_KILLED},
+u AS (SELECT md5(CAST(s_suppkey AS VARCHAR)) AS m FROM supplier)
+SELECT 'public.customer' AS "table", CAST(c_custkey AS VARCHAR) AS key, 1 AS run FROM customer
+UNION ALL SELECT 'public.orders', CAST(pk AS VARCHAR), CASE WHEN pk <= (SELECT reached FROM cur) THEN 1 ELSE 2 END FROM h
+UNION ALL SELECT 'public.supplier', concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]), 2 FROM u"""
+
+ORACLE["merge_resume"] = f"""WITH {_KILLED}, {_LOG},
+x AS (SELECT h.pk, CASE WHEN h.pk <= (SELECT reached FROM cur) THEN chunk_id // 3 * 1000 ELSE 3500 END AS xmin FROM h)
+SELECT xid, w.pk, xmin, CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END AS verdict FROM w JOIN x USING (pk) WHERE lsn > 40"""

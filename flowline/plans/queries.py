@@ -11,12 +11,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..cdc import merge, offsets, snapshot, wal
+from ..cdc import merge, offsets, resume, snapshot, wal
 from ..functions import hashing, values
 from ..operators import batching, envelope, outcomes, partition, process, sessions
 from ..operators.batching import Batcher
+from ..operators.numbering import ranked
 from ..sources import activity, changelog, offset_store
-from ..streaming import merging, run as streaming, transactions
+from ..streaming import merging, run as streaming, transactions, watermarks
 from .pipeline import Pipeline
 from .storage import scratch
 
@@ -561,6 +562,93 @@ def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("xid", "lsn", "op", "commit_lsn")
 
 
+def _acknowledged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(acks, marks) of the scans of orders and customer and of the changes of a slot, acknowledged in an order of their own and every fifth twice.
+
+    Of orders, one row of chunk 5 and of each seventh after it isn't acknowledged, of customer row 3, and of the changes those that failed, from the 4,000th on every 997th.
+    """
+    customer = snapshot.chunks(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "public.customer")
+    scans = _chunked(spark, sf_dir).drop("row").unionByName(customer.drop("row")).withColumnRenamed("table", "name")
+    placed = ranked(scans, ["name"], "pk", "low")
+    rows = placed.where("not (name = 'public.orders' and chunk_id % 7 = 5 and pk % 1000 = 17) and not (name = 'public.customer' and pk = 3)").select("name", "low")
+    log = _log(spark, sf_dir)
+    changes = log.where("not (lsn >= 4000 and lsn % 997 = 12)").select(F.lit("slot-1").alias("name"), F.col("lsn").alias("low"))
+    once = rows.unionByName(changes).withColumn("high", F.col("low") + 1)
+    acks = once.unionByName(once.where("low % 5 = 0")).withColumn("seq", F.pmod(F.xxhash64("name", "low"), F.lit(1 << 40)))
+    chunk_ends = placed.groupBy("name", "chunk_id").agg((F.max("low") + 1).alias("end"), F.max("pk").alias("mark")).drop("chunk_id")
+    return acks, chunk_ends.unionByName(log.select(F.lit("slot-1").alias("name"), (F.col("lsn") + 1).alias("end"), F.col("lsn").alias("mark")))
+
+
+def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements out of order over several micro-batches: how far each name reaches, the last safe chunk or LSN, and whether the kept state says the same."""
+    acks, marks = _acknowledged(spark, sf_dir)
+    own = streaming.own_session(spark)
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "reached"), scratch(spark, "checkpoint")
+    streaming.write_log(acks, path)
+    log = own.readStream.schema(acks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    streaming.drained(streaming.sink(watermarks.tracked(log.drop("seq"), 512), out, checkpoint, mode="update"))
+    upto = watermarks.reached(spark.read.parquet(out), 512)
+    state = watermarks.reached(watermarks.kept(own, checkpoint, 512), 512).select("name", F.col("upto").alias("kept"))
+    return watermarks.safe(upto, marks).join(state, "name").select("name", "upto", _or("mark", -1), (F.col("upto") == F.col("kept")).alias("as_kept"))
+
+
+def _by_threes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned ranges of small chunks, three of one xmin each, every tenth chunk missing."""
+    small = snapshot.chunks(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "public.orders", 50)
+    return snapshot.ranges(snapshot.plan(small), (F.floor(F.col("chunk_id") / 3) * 100).cast("bigint")).where("chunk_id % 10 <> 9")
+
+
+def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned ranges as a state keeps them, when no change below 500 can come any more."""
+    kept = offsets.coalesced(_by_threes(spark, sf_dir), 500)
+    return kept.select("table", "chunk_id", _or("low", -1), "high", "xmin")
+
+
+def merge_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by the coalesced ranges, on changes from 500 on: the same as by every chunk's own."""
+    changes = _log(spark, sf_dir).where("xid >= 500")
+    return merge.verdicts(changes, offsets.coalesced(_by_threes(spark, sf_dir), 500)).select("xid", "pk", "verdict")
+
+
+def _killed(spark: SparkSession, sf_dir: str) -> tuple[resume.Saved, dict[str, DataFrame], DataFrame]:
+    """What is restored after a scan of customer, orders and supplier (by UUID) ended in the middle of orders, the tables, and the ranges known before.
+
+    The first eight chunks of orders were read, of the sixth one row wasn't acknowledged.
+    """
+    rows = {
+        "public.customer": _read(spark, sf_dir, "customer").select("c_custkey"), "public.orders": _read(spark, sf_dir, "orders").select("o_orderkey"),
+        "public.supplier": _read(spark, sf_dir, "supplier").select(F.upper(F.md5(F.col("s_suppkey").cast("string"))).alias("id")),
+    }
+    customer = snapshot.chunks(rows["public.customer"], "c_custkey", "public.customer", 100)
+    orders = snapshot.chunks(rows["public.orders"], "o_orderkey", "public.orders", 100).where("chunk_id < 8")
+    plan = snapshot.plan(orders)
+    cursor = offsets.cursors(offsets.completion(plan, orders.where("pk <> 517"))).first()["cursor"]
+    known = snapshot.ranges(snapshot.plan(customer).unionByName(plan), F.floor(F.col("chunk_id") / 3).cast("bigint") * 1000)
+    tables = [("public.customer", "c_custkey"), ("public.orders", "o_orderkey"), ("public.supplier", "id")]
+    root = scratch(spark, "store")
+    resume.save(spark, root, "slot-1", resume.Saved(tables, confirmed_lsn=40, table="public.orders", cursor=cursor, ranges=[known]))
+    return resume.load(spark, root, "slot-1"), rows, orders
+
+
+def snapshot_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys acknowledged before the end, in run 1, and those scanned after the state was restored, in run 2: every key once."""
+    saved, rows, orders = _killed(spark, sf_dir)
+    key = F.col("pk").cast("string").alias("key")
+    out = rows["public.customer"].select(F.lit("public.customer").alias("table"), F.col("c_custkey").cast("string").alias("key"), F.lit(1).alias("run"))
+    out = out.unionByName(orders.where(F.col("pk") <= saved.cursor).select("table", key, F.lit(1).alias("run")))
+    for one in resume.rest(saved, rows, 100):
+        out = out.unionByName(one.select("table", key, F.lit(2).alias("run")))
+    return out
+
+
+def merge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes after the confirmed lsn, judged by the restored ranges and those scanned since, which have an xmin of their own."""
+    saved, rows, _ = _killed(spark, sf_dir)
+    whole = resume.rest(saved, rows, 100)[0]
+    changes = _log(spark, sf_dir).where(F.col("lsn") > saved.confirmed_lsn)
+    return merge.verdicts(changes, resume.scanned(saved, whole, F.lit(3500).cast("bigint"))).select("xid", "pk", "xmin", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -568,6 +656,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
         keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
         text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
-        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions, stream_bounded, chunk_plan_sparse,
+        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions, stream_bounded, chunk_plan_sparse, stream_watermark, range_coalesce, merge_coalesced, snapshot_resume, merge_resume,
     )
 }
