@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowline.plans.storage import scratch
 from flowline.sources import changelog
-from flowline.streaming import merging, run as streaming, transactions
+from flowline.streaming import merging, run as streaming, transactions, watermarks
 
 
 @pytest.fixture(scope="module")
@@ -243,3 +243,46 @@ def test_idle_end_needs_no_barrier(spark):
     streaming.write_log(spark.createDataFrame([(s,) for s in range(10)], "seq long"), path, 1)
     streaming.stopped(streaming.sink(streaming.read_log(spark, path, "seq long"), out, checkpoint, interval="100 milliseconds"))
     assert spark.read.parquet(out).count() == 10
+
+
+def test_watermark_never_passes_a_gap(spark, own):
+    """Acknowledgements in any order, some twice, some of several positions; the stream is started anew for each part, and is right after every one."""
+    rng = random.Random(5)
+    size, block, lanes = {"a": 300, "b": 40, "c": 7}, 16, 3
+    acks = []
+    for name, n in size.items():
+        at = 0
+        while at < n:
+            high = min(n, at + rng.choice([1, 1, 2, 40]))
+            acks += [(name, at, high)] * rng.choice([1, 1, 2])
+            at = high
+    rng.shuffle(acks)
+    acks = [*acks[:5], (None, 0, 5), ("a", None, 3), ("a", 5, 5), ("a", -3, 4), ("d", 2**40, 2**40 + 1), *acks[5:]]
+    marks = [(name, end, end * 10) for name, n in size.items() for end in range(7, n + 1, 7)]
+    told = spark.createDataFrame(marks, "name string, end long, mark long")
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "out"), scratch(spark, "checkpoint")
+    seen = {}
+    for k in range(4):
+        part = acks[k * len(acks) // 4 : (k + 1) * len(acks) // 4]
+        spark.createDataFrame(part, watermarks.ACKS).coalesce(2).write.mode("append").parquet(path)
+        log = streaming.read_log(own, path, watermarks.ACKS)
+        streaming.drained(streaming.sink(watermarks.tracked(log, block, lanes), out, checkpoint, mode="update"))
+        for name, low, high in part:
+            if name is not None and low is not None and low >= 0:
+                seen.setdefault(name, set()).update(range(low, high))
+        upto = {name: next(p for p in range(10**6) if p not in done) for name, done in seen.items()}
+        want = {name: (u, max((m for n, e, m in marks if n == name and e <= u), default=None)) for name, u in upto.items()}
+        for rows in (spark.read.parquet(out), watermarks.kept(own, checkpoint, block, lanes)):
+            got = watermarks.safe(watermarks.reached(rows, block, lanes), told).collect()
+            assert {r["name"]: (r["upto"], r["mark"]) for r in got} == want
+    assert {n: upto[n] for n in size} == size  # all is acknowledged in the end
+    state = own.read.format("statestore").option("stateVarName", "done").load(checkpoint)
+    assert state.where("key.name = 'a'").count() == lanes  # and one stretch a lane is all that is left
+
+
+def test_watermark_of_a_late_first_row(spark, own):
+    """Lanes that have told nothing hold the watermark back, however much others have."""
+    path, out, checkpoint = scratch(spark, "log"), scratch(spark, "out"), scratch(spark, "checkpoint")
+    spark.createDataFrame([("t", 4, 5000)], watermarks.ACKS).write.parquet(path)
+    streaming.drained(streaming.sink(watermarks.tracked(streaming.read_log(own, path, watermarks.ACKS), 4, 2), out, checkpoint, mode="update"))
+    assert [tuple(r) for r in watermarks.reached(spark.read.parquet(out), 4, 2).collect()] == [("t", 0)]
