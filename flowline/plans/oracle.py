@@ -282,3 +282,6 @@ UNION ALL SELECT 'public.supplier', concat_ws('-', m[1:8], m[9:12], m[13:16], m[
 ORACLE["merge_resume"] = f"""WITH {_KILLED}, {_LOG},
 x AS (SELECT h.pk, CASE WHEN h.pk <= (SELECT reached FROM cur) THEN chunk_id // 3 * 1000 ELSE 3500 END AS xmin FROM h)
 SELECT xid, w.pk, xmin, CASE WHEN xid >= xmin THEN 'emit' ELSE 'discard_stale' END AS verdict FROM w JOIN x USING (pk) WHERE lsn > 40"""
+
+ORACLE["stream_ledger"] = """
+SELECT CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, count(DISTINCT event_id) AS n_distinct, count(*) AS n_acknowledged FROM events GROUP BY ALL"""

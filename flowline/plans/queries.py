@@ -16,10 +16,10 @@ from ..functions import hashing, values
 from ..operators import batching, envelope, outcomes, partition, process, sessions
 from ..operators.batching import Batcher
 from ..operators.numbering import ranked
-from ..sources import activity, changelog, offset_store
+from ..sources import activity, changelog, ledger, offset_store
 from ..streaming import merging, run as streaming, transactions, watermarks
 from .pipeline import Pipeline
-from .storage import scratch
+from .storage import removed, scratch
 
 # How event types stand for user actions.
 ACTIONS = {"signup": "login", "error": "logout", "view": "view_page", "click": "click_button", "purchase": "purchase"}
@@ -649,6 +649,19 @@ def merge_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.verdicts(changes, resume.scanned(saved, whole, F.lit(3500).cast("bigint"))).select("xid", "pk", "xmin", "verdict")
 
 
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes in a ledger, of which the last micro-batch is replayed as after a crash before its commit: one outcome for each message, in the files and in the manifests."""
+    stream, _ = _stream_log(spark, _events(spark, sf_dir).select(F.col("event_id").alias("seq"), "event_type", "user_id"))
+    done = outcomes.of(process.map_columns(envelope.wrap(stream, F.col("seq"), F.col("user_id")), F.when(F.col("seq") % 2 == 0, F.lit("even")))).select("seq", "status", "error")
+    out, checkpoint = scratch(spark, "ledger"), scratch(spark, "checkpoint")
+    streaming.drained(ledger.start(done, out, checkpoint))
+    # the commit of the last one is lost
+    removed(spark, f"{checkpoint}/commits/{ledger.files(spark, out).select('manifest').distinct().count() - 1}")
+    streaming.drained(ledger.start(done, out, checkpoint))
+    kept = ledger.rows(spark, out, done.schema).groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_distinct"))
+    return kept.join(ledger.acknowledged(spark, out).withColumnRenamed("n", "n_acknowledged"), "status")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -656,6 +669,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ring_affinity, partition_affinity, demand_greedy, demand_total, batch_assign, batch_multi, ordered_lists, group_handler, session_fold, session_after_batch, activity_generator, chunk_plan,
         keyset_page, snapshot_multi, pk_in_range, merge_verdict, merge_in_progress, merge_stream, merge_replay, merge_overflow, tx_assemble, relation_lookup, wal_op_counts, wal_op_filter, wal_decode_ops,
         text_decode, pk_codec, row_parse, qualify_split, xmin_parse, chunk_ack_complete, snapshot_cursor, confirmed_lsn, phase_state, connector_state, offset_latest, apply_changes,
-        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions, stream_bounded, chunk_plan_sparse, stream_watermark, range_coalesce, merge_coalesced, snapshot_resume, merge_resume,
+        stream_sessions, stream_batches, stream_outcomes, stream_resume, stream_pipeline, stream_stop, chunk_plan_uuid, merge_verdict_uuid, apply_transactions, stream_merge, stream_transactions, stream_bounded, chunk_plan_sparse, stream_watermark, range_coalesce, merge_coalesced, snapshot_resume, merge_resume, stream_ledger,
     )
 }
