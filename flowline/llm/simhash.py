@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected, forest, spanning
-from .shared import drop_documents, materialise
+from .shared import drop_documents, materialise, small
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -45,6 +45,8 @@ STAGE_BUCKET_BITS = 0
 MIN_BUCKET_BITS, BUCKET_VARIANTS = 7, 1 << 24
 #: Variants that a reducer holds at once.
 SLICE_VARIANTS = 1 << 21
+#: In the second search of parted groups, places of a run within which two of different labels are compared: linear in the run's length.
+PLACES = 8
 #: Fingerprints in a shuffled block.
 BLOCK = 1 << 13
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -139,9 +141,16 @@ def _by_syndrome(masks: np.ndarray, columns: np.ndarray, bits: int) -> dict[int,
     return {int(keys[g[0]]): masks[g] for g in np.split(order, cuts)}
 
 
-def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None) -> np.ndarray:
-    """Links (pairs of fingerprints) that meet in a bucket, in slices of bounded size: a spanning forest of stars, or with ``whole`` one of pairs that are that near."""
-    whole_fps = np.unique(fps)
+def _bucket_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None) -> np.ndarray:
+    """Links that meet in a bucket, in slices of bounded size.
+
+    Entries are fingerprints (n, 1), and links are pairs of them: a spanning forest of stars, or with ``whole`` one of pairs that are
+    that near.  Or they are (n, 3), a fingerprint with a label and an id, and links are all pairs of ids with different labels that
+    are at most ``PLACES`` apart in a run of equal variants.
+    """
+    labelled = entries.shape[1] == 3
+    entries = entries[np.lexsort(entries.T[::-1])] if labelled else np.unique(entries, axis=0)
+    whole_fps = entries[:, 0]
     fps = whole_fps & np.uint64((1 << width) - 1)
     columns, second = _columns(1), _columns(2)
     table = _by_syndrome(masks, columns, bits)
@@ -167,8 +176,13 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
         v, o = np.concatenate(values), np.concatenate(owners)
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        pairs = np.unique(np.stack([o[same], o[same + 1]], 1), axis=0)
+        met = []
+        for step in range(1, 1 + (PLACES if labelled else 1)):
+            same = np.flatnonzero(v[step:] == v[:-step])
+            if labelled:
+                same = same[entries[o[same], 1] != entries[o[same + step], 1]]
+            met.append(np.stack([o[same], o[same + step]], 1))
+        pairs = np.unique(np.concatenate(met), axis=0)
         # two that share a variant differ in twice half the radius at most; a wrong link would join whole components
         pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
         if whole is None:
@@ -176,8 +190,11 @@ def _bucket_links(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray, ra
         else:
             pairs = pairs[np.bitwise_count(whole_fps[pairs[:, 0]] ^ whole_fps[pairs[:, 1]]) <= whole]
             links = np.concatenate([links, pairs])
+            if labelled:
+                links = np.unique(np.sort(links, axis=1), axis=0)
+                continue
             links = spanning(links, np.bitwise_count(whole_fps[links[:, 0]] ^ whole_fps[links[:, 1]]))
-    return whole_fps[links.reshape(-1)].reshape(-1, 2)
+    return entries[links.reshape(-1), -1].reshape(-1, 2)
 
 
 def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | None = None, least_bits: int | None = None) -> DataFrame:
@@ -188,12 +205,16 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
     its lowest ``width`` bits are searched.  With ``whole``, links are pairs that meet and differ in so many of all bits at most, so that
     they can be verified further: in every bucket a minimum spanning forest by that difference.  ``least_bits``: least binary logarithm
     of the number of buckets (``MIN_BUCKET_BITS``).
+
+    If ``fps`` also has longs ``label`` and ``id``, it may have several rows with one fingerprint, ``whole`` must be given, and u and v are
+    ids: nothing is thinned, but pairs of one label are left out.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: both sides meet at half of it")
     masks = ball(half, width)
     fps = fps if "family" in fps.columns else fps.withColumn("family", F.lit(0))
+    carried = ["fp", "label", "id"] if "label" in fps.columns else ["fp"]
     most = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
     bits = min(24, max(MIN_BUCKET_BITS if least_bits is None else least_bits, int(np.ceil(np.log2(max(1, most * len(masks) / BUCKET_VARIANTS))))))
 
@@ -203,7 +224,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
         held: dict[int, list[np.ndarray]] = {}
 
         def blocks(family: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            home = syndrome(values & np.uint64((1 << width) - 1), columns, bits)
+            home = syndrome(values[:, 0] & np.uint64((1 << width) - 1), columns, bits)
             if len(known) == 1 << bits:  # every fingerprint has variants in every bucket
                 yield batch(family, range(1 << bits), [values.tobytes()] * (1 << bits))
                 return
@@ -219,7 +240,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
             return pa.RecordBatch.from_arrays([pa.array([family] * len(blobs), pa.int32()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["family", "bucket", "fps"])
 
         for b in batches:
-            values, of = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            of, *rest = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            values = np.stack(rest, 1).view(np.uint64)
             for family in np.unique(of).tolist():
                 mine = held.setdefault(family, [])
                 mine.append(values[of == family])
@@ -228,15 +250,16 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
                     mine[:] = [whole[BLOCK:]]
                     yield from blocks(family, whole[:BLOCK])
         for family, mine in held.items():
-            if len(rest := np.concatenate(mine)):
-                yield from blocks(family, rest)
+            if len(left := np.concatenate(mine)):
+                yield from blocks(family, left)
 
     def meet(table: pa.Table) -> pa.Table:
         family, bucket = table.column("family")[0].as_py(), table.column("bucket")[0].as_py()
-        found = _bucket_links(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]), bucket, bits, masks, radius, width, whole).view(np.int64)
+        entries = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]).reshape(-1, len(carried))
+        found = _bucket_links(entries, bucket, bits, masks, radius, width, whole).view(np.int64)
         return pa.table({"family": pa.array(np.full(len(found), family, np.int32)), "u": found[:, 0], "v": found[:, 1]})
 
-    return fps.select("fp", F.col("family").cast("int").alias("family")).mapInArrow(deal, "family int, bucket int, fps binary").groupBy("family", "bucket").applyInArrow(meet, "family int, u long, v long")
+    return fps.select(F.col("family").cast("int").alias("family"), *carried).mapInArrow(deal, "family int, bucket int, fps binary").groupBy("family", "bucket").applyInArrow(meet, "family int, u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -270,7 +293,8 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     One short fingerprint sees a pair of similarity 0.8 within two bits at about every thirteenth draw; both ends of several
     families' fingerprints over the same shingles are as many draws, each searched by ball hashing.  A minimum spanning
     forest of the pairs that meet, for each end, is verified: a pair is linked if it differs in no more than ``APART`` of all families' bits, which estimates the similarity
-    with a standard error of 0.025.  Rows without an id are left out; null and wordless texts are copies of each other;
+    with a standard error of 0.025.  Where all verified pairs of a group of texts that met are linked, thinning has lost nothing; texts of the other
+    groups are searched again, labelled by what is linked so far, and every pair of two labels that meets is verified.  Rows without an id are left out; null and wordless texts are copies of each other;
     an empty table gives no rows.
     """
     prints = materialise(with_fingerprints(docs.where("doc_id is not null"), families, shingle_words), "fingerprints")
@@ -284,14 +308,30 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     near = linked(held.select("family", "fp"), STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS)
     near = materialise(near.distinct(), "near")
     near = near.join(held.select("family", F.col("fp").alias("u"), F.col("rep").alias("a")), ["family", "u"]).join(held.select("family", F.col("fp").alias("v"), F.col("rep").alias("b")), ["family", "v"])
-    links = alike.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).where("u <> v").distinct()
-    most = int(APART * 64 * families)
+    judged = materialise(_verified(alike.union(near.select("a", "b")), same, families), "judged")
+    # texts joined by linked pairs, and by all verified pairs; the latter groups hold every text that thinning may have parted
+    roots, met = materialise(connected(judged.where("near")), "roots"), materialise(connected(judged), "met")
+    labels = met.select("node", F.col("root").alias("met")).join(roots, "node", "left").select("node", "met", F.coalesce("root", "node").alias("label"))
+    parted = small(materialise(labels.groupBy("met").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("met"), "parted"))
+    labels = materialise(labels.join(parted, "met").select("node", "label"), "labels")
+    again = materialise(each.join(labels, each["low"] == labels["node"]).select("family", "fp", "label", F.col("low").alias("id")), "again")
+    pairs = linked(again, STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS).select("u", "v")
+    more = materialise(_verified(pairs, same, families).where("near"), "more")
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    joined = connected(more.join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+    roots = same.select("low").join(roots, F.col("low") == F.col("node"), "left").select("low", F.coalesce("root", "low").alias("root"))
+    roots = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("low", F.coalesce("least", "root").alias("component_id"))
+    named = same.join(roots, "low").select("fps", "component_id")
+    return prints.join(named, "fps").select("doc_id", "component_id")
+
+
+def _verified(pairs: DataFrame, same: DataFrame, families: int) -> DataFrame:
+    """(u, v, near) of each different pair of ids: whether their vectors of fingerprints differ in at most ``APART`` of all bits."""
+    u, v = pairs.columns
+    pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u <> v").distinct()
     of = lambda end: same.select(F.col("low").alias(end), F.col("fps").alias(f"of_{end}"))
     differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    sure = links.join(of("u"), "u").join(of("v"), "v").where(differ <= most).select("u", "v")
-    roots = materialise(connected(sure), "roots")
-    named = same.join(roots, F.col("low") == F.col("node"), "left").select("fps", F.coalesce("root", "low").alias("component_id"))
-    return prints.join(named, "fps").select("doc_id", "component_id")
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", (differ <= int(APART * 64 * families)).alias("near"))
 
 
 def deduplicate(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS) -> DataFrame:

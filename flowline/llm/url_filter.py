@@ -103,18 +103,19 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pag
     A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest
     rule wins; ``rule`` is null where none fits, and the verdict is then ``otherwise``.  Null urls and urls
     without ``://`` have empty host and path.  Repeated rows give repeated results, other columns are
-    ignored, an empty table or no rules are fine.
+    ignored, an empty table or no rules are fine.  Bytes that aren't UTF-8 are read as U+FFFD.  Rules whose index
+    would exceed ``max_index_bytes`` are joined by shuffle (:func:`judge_by_join`) instead.
     """
     spark = urls.sparkSession
     packed = pack(rules)
     if len(packed) > max_index_bytes:
-        raise ValueError("the rules exceed the index's bound; use judge_by_join")
+        return judge_by_join(urls, spark.createDataFrame(rules, "host string, path string, verdict string"), id_col, url_col, otherwise)
     name = publish(spark, "urls", packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(SparkFiles.get(name))
         for b in batches:
-            split = [parts(u.as_py()) for u in b.column(1)]
+            split = [parts((u.as_py() or b"").decode("utf-8", "replace")) for u in b.column(1)]
             probes: dict[bytes, int] = {}
             rows: list[list[int]] = []
             for host, path in split:
@@ -126,7 +127,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pag
             verdict = [otherwise if k < 0 else VERDICTS[index.verdicts[k]] for k in won]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
 
-    slim = urls.select(F.col(id_col), F.col(url_col).alias("url"))
+    slim = urls.select(F.col(id_col), F.col(url_col).cast("binary").alias("url"))
     return slim.mapInArrow(run, f"`{id_col}` {dict(slim.dtypes)[id_col]}, host string, path string, rule string, verdict string")
 
 

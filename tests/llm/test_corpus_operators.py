@@ -85,6 +85,42 @@ def test_recall_of_near_copies(spark):
     assert all(got[2 * i] == 2 * i for i in range(150))
 
 
+def test_thinning_loses_no_link(spark):
+    """Large groups of copies near the threshold, where forests hold pairs that aren't confirmed, against all pairs."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7)))
+    texts = []
+    for rate in (0.012, 0.016, 0.02, 0.024) * 2:
+        words = [word() for _ in range(150)]
+        texts += [" ".join(word() if rng.random() < rate else w for w in words) for _ in range(40)]
+    ids = list(range(len(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)).collect()}
+    # without thinning: all neighbours in runs, every text labelled by itself
+    prints = np.array([simhash.fingerprints(t.encode(), simhash.FAMILIES, 5) for t in texts], np.uint64)
+    masks, bits = simhash.ball(simhash.STAGE_RADIUS // 2, simhash.STAGE_BITS), np.uint64(simhash.STAGE_BITS)
+    numbers, links = np.array(ids, np.uint64), set()
+    for column in [*prints.T, *((prints << bits) | (prints >> (np.uint64(64) - bits))).T]:
+        found = simhash._bucket_links(np.stack([column, numbers, numbers], 1), 0, 0, masks, simhash.STAGE_RADIUS, simhash.STAGE_BITS, simhash.STAGE_WHOLE)
+        links |= {(int(u), int(v)) for u, v in found}
+    sure = [(u, v) for u, v in links if np.bitwise_count(prints[u] ^ prints[v]).sum() <= int(simhash.APART * 64 * simhash.FAMILIES)]
+    parent = {int(v): int(u) for u, v in forest(np.array(sure))}
+    unthinned = {i: parent.get(i, i) for i in ids}
+    every = brute_copies(ids, texts)
+    assert all(got[i] == got[unthinned[i]] and every[i] == every[got[i]] for i in ids)
+    assert len(set(got.values())) <= len(set(unthinned.values())) and sum(got[i] != every[i] for i in ids) <= len(ids) // 100
+    assert 20 < len(set(got.values())) < len(texts) - 100
+
+
+def test_labelled_links(spark):
+    """Ids with one fingerprint and others near it are met across labels, and within a label not at all."""
+    entries = [(0, 5, 1, 1), (0, 5, 2, 2), (0, 5, 1, 3), (0, 7, 4, 4), (0, 1 << 50, 9, 9), (1, 5, 1, 1), (1, 6, 1, 2)]
+    df = spark.createDataFrame(entries, "family int, fp long, label long, id long").repartition(3)
+    found = {tuple(sorted((r["u"], r["v"]))) for r in simhash.linked(df, 2, 64, 16, 0).select("u", "v").collect()}
+    assert {(1, 2), (2, 3)} <= found | {(1, 3)} and any(4 in p for p in found)
+    assert (1, 3) not in found and not any(9 in p for p in found)
+    assert simhash.linked(df.limit(0), 2, 64, 16, 0).collect() == []
+
+
 def test_fingerprints_in_blocks():
     rng = random.Random(2)
     for n in (0, 1, 3, 4, 5, 400):

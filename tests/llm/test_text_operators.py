@@ -263,6 +263,14 @@ def test_url_rules(spark, join):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
 
 
+def test_urls_beyond_the_index_and_odd_bytes(spark):
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    assert sorted(url_filter.judge(df, URL_RULES, max_index_bytes=1).collect()) == sorted(url_filter.judge(df, URL_RULES).collect())
+    odd = spark.sql("SELECT 1L AS page_id, CAST(concat(CAST('http://a.com/' AS binary), X'FFFE') AS string) AS url")
+    got = url_filter.judge(odd, URL_RULES).first()
+    assert (got["host"], got["path"], got["rule"]) == ("a.com", "/\ufffd\ufffd", "com/")
+
+
 def test_digest_collisions_compare_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
     path = tmp_path / "i"
