@@ -1,9 +1,11 @@
 """Queries on tables that are larger, or laid out otherwise, than the given ones."""
 
-from pyspark.sql import functions as F
-
+import duckdb
+from flowline.llm.queries import ORACLE, QUERIES as OPERATORS
 from flowline.plans.queries import QUERIES
 
+from .conftest import same
+
 
 def test_sparse_plan_beyond_64_bits(spark, tmp_path):
     """Outliers' keys times 4e12 pass 2^63 from order 2,305,844 on: the plan holds them all, in order, and is the SQL's below that."""
@@ -15,3 +17,13 @@ def test_sparse_plan_beyond_64_bits(spark, tmp_path):
     assert len(set(want)) == len(keys) and want[-1] == most * 4 * 10**12 + 8_999_999 - most < 2**63
     got = sorted(tuple(r) for r in QUERIES["chunk_plan_sparse"](spark, f"file://{tmp_path}").select("chunk_id", "size", "lo", "hi").collect())
     assert got == [(k, len(part), part[0], part[-1]) for k in range(len(want) // 1000 + 1) if (part := want[1000 * k : 1000 * k + 1000])]
+
+
+def test_repair_is_its_sql_where_ties_are_closed(spark):
+    """Equal rows of one turn may be numbered either way by the SQL; with one row number for both of its orders, every row agrees."""
+    sql = ORACLE["op11_conversation_repair"]
+    closed = sql.replace("  FROM c, range(", "  , row_number() OVER () AS rn FROM c, range(").replace("sha256(text)) AS i", "sha256(text), rn) AS i").replace("BY turn NULLS FIRST) AS seen", "BY turn NULLS FIRST, rn) AS seen")
+    assert closed.count("rn") == sql.count("rn") + 3
+    con = duckdb.connect()
+    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    same(OPERATORS["op11_conversation_repair"](spark, "/root/testdata/sf0.01"), con, closed)
