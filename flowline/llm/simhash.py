@@ -45,8 +45,8 @@ STAGE_BUCKET_BITS = 0
 MIN_BUCKET_BITS, BUCKET_VARIANTS = 7, 1 << 24
 #: Variants that a reducer holds at once.
 SLICE_VARIANTS = 1 << 21
-#: In the second search of parted groups, places of a run within which two of different labels are compared: linear in the run's length.
-PLACES = 8
+#: Pairs of texts that the second search of parted groups compares at once.
+PAIRS = 1 << 18
 #: Fingerprints in a shuffled block.
 BLOCK = 1 << 13
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -141,17 +141,8 @@ def _by_syndrome(masks: np.ndarray, columns: np.ndarray, bits: int) -> dict[int,
     return {int(keys[g[0]]): masks[g] for g in np.split(order, cuts)}
 
 
-def _bucket_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None) -> np.ndarray:
-    """Links that meet in a bucket, in slices of bounded size.
-
-    Entries are fingerprints (n, 1), and links are pairs of them: a spanning forest of stars, or with ``whole`` one of pairs that are
-    that near.  Or they are (n, 3), a fingerprint with a label and an id, and links are all pairs of ids with different labels that
-    are at most ``PLACES`` apart in a run of equal variants.
-    """
-    labelled = entries.shape[1] == 3
-    entries = entries[np.lexsort(entries.T[::-1])] if labelled else np.unique(entries, axis=0)
-    whole_fps = entries[:, 0]
-    fps = whole_fps & np.uint64((1 << width) - 1)
+def _runs(fps: np.ndarray, bucket: int, bits: int, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants in order, their fingerprints' positions) of a bucket, in slices of bounded size; equal variants are in one slice."""
     columns, second = _columns(1), _columns(2)
     table = _by_syndrome(masks, columns, bits)
     home = syndrome(fps, columns, bits) ^ np.uint32(bucket)
@@ -163,7 +154,6 @@ def _bucket_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray
     for g in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
         if (m := table.get(int(home[g[0]]))) is not None:
             groups.append((g, m, syndrome(m, second, cut) if cut else np.zeros(len(m), np.uint32)))
-    links = np.empty((0, 2), np.int64)
     for part in range(1 << cut):
         values, owners = [], []
         for g, m, s in groups:
@@ -171,50 +161,107 @@ def _bucket_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray
                 who = g if not cut else g[side[g] == (key ^ np.uint32(part))]
                 values.append(fps[who] ^ mask)
                 owners.append(who)
-        if not values:
-            continue
-        v, o = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(v, kind="stable")
-        v, o = v[order], o[order]
-        met = []
-        for step in range(1, 1 + (PLACES if labelled else 1)):
-            same = np.flatnonzero(v[step:] == v[:-step])
-            if labelled:
-                same = same[entries[o[same], 1] != entries[o[same + step], 1]]
-            met.append(np.stack([o[same], o[same + step]], 1))
-        pairs = np.unique(np.concatenate(met), axis=0)
+        if values:
+            v, o = np.concatenate(values), np.concatenate(owners)
+            order = np.argsort(v, kind="stable")
+            yield v[order], o[order]
+
+
+def _bucket_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray, radius: int, width: int = 64, whole: int | None = None, apart: int | None = None) -> np.ndarray:
+    """Links that meet in a bucket, in slices of bounded size.
+
+    Entries are fingerprints (n, 1), and links are pairs of them: a spanning forest of stars, or with ``whole`` one of pairs, by the bits
+    in which they differ. Or entries have a label, an id and perhaps a text's vector too: see :func:`_label_links`.
+    """
+    if entries.shape[1] > 1:
+        return _label_links(entries, bucket, bits, masks, width, whole, apart)
+    whole_fps = np.unique(entries)
+    fps = whole_fps & np.uint64((1 << width) - 1)
+    links = np.empty((0, 2), np.int64)
+    for v, o in _runs(fps, bucket, bits, masks):
+        same = np.flatnonzero(v[1:] == v[:-1])  # neighbours in a run of equal variants: that joins all who meet there
+        pairs = np.unique(np.stack([o[same], o[same + 1]], 1), axis=0)
         # two that share a variant differ in twice half the radius at most; a wrong link would join whole components
         pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
-        if whole is None:
-            links = forest(np.concatenate([links, pairs]))
-        else:
-            pairs = pairs[np.bitwise_count(whole_fps[pairs[:, 0]] ^ whole_fps[pairs[:, 1]]) <= whole]
-            links = np.concatenate([links, pairs])
-            if labelled:
-                links = np.unique(np.sort(links, axis=1), axis=0)
+        links = np.concatenate([links, pairs])
+        links = forest(links) if whole is None else spanning(links, np.bitwise_count(whole_fps[links[:, 0]] ^ whole_fps[links[:, 1]]))
+    return whole_fps[links.reshape(-1)].reshape(-1, 2)
+
+
+def _label_links(entries: np.ndarray, bucket: int, bits: int, masks: np.ndarray, width: int, whole: int, apart: int | None) -> np.ndarray:
+    """Links between labels of texts that meet in a bucket and differ in at most ``whole`` bits of their fingerprints.
+
+    Entries are (fingerprint, label, id), and links are all pairs of ids. Or the texts' vectors of fingerprints follow, and links are labels joined by
+    pairs whose vectors differ in at most ``apart`` bits: a forest of stars, so fewer than there are labels. Every pair of two labels that meets is
+    compared, ``PAIRS`` at once, unless its labels are joined already. At most as many different fingerprints as there are masks share a variant.
+    """
+    ends_of = entries[:, 0] & np.uint64((1 << width) - 1)
+    entries = entries[np.argsort(ends_of, kind="stable")]
+    fps, size = np.unique(ends_of, return_counts=True)
+    begin = np.cumsum(size) - size
+    names, label = np.unique(entries[:, 1], return_inverse=True)
+    vectors, root, links = entries[:, 3:], np.arange(len(names)), [np.empty((0, 2), np.uint64)]
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        least, most = np.minimum.reduceat(root[label], begin), np.maximum.reduceat(root[label], begin)
+        several = np.minimum(least[a], least[b]) != np.maximum(most[a], most[b])
+        a, b = a[several], b[several]
+        ends = np.cumsum(size[a] * size[b])
+        for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            place = np.arange(at, min(at + PAIRS, int(ends[-1])))
+            k = np.searchsorted(ends, place, "right")
+            inside = place - ends[k] + size[a[k]] * size[b[k]]
+            u, v = begin[a[k]] + inside // size[b[k]], begin[b[k]] + inside % size[b[k]]
+            wanted = root[label[u]] != root[label[v]]
+            u, v = u[wanted], v[wanted]
+            wanted = np.bitwise_count(entries[u, 0] ^ entries[v, 0]) <= whole
+            u, v = u[wanted], v[wanted]
+            if apart is None:
+                links.append(np.unique(np.sort(np.stack([entries[u, 2], entries[v, 2]], 1), axis=1), axis=0))
                 continue
-            links = spanning(links, np.bitwise_count(whole_fps[links[:, 0]] ^ whole_fps[links[:, 1]]))
-    return entries[links.reshape(-1), -1].reshape(-1, 2)
+            near = np.bitwise_count(vectors[u] ^ vectors[v]).sum(1, dtype=np.int64) <= apart
+            joined = forest(np.stack([root[label[u[near]]], root[label[v[near]]]], 1))
+            if len(joined):
+                links.append(names[joined])
+                new = np.arange(len(names))
+                new[joined[:, 1]] = joined[:, 0]
+                root = new[root]
+
+    # texts of one fingerprint meet on itself, in one bucket
+    alike = np.flatnonzero((size > 1) & (syndrome(fps, _columns(1), bits) == bucket))
+    compare(alike, alike)
+    for v, o in _runs(fps, bucket, bits, masks):
+        for step in range(1, len(masks)):
+            same = np.flatnonzero(v[step:] == v[:-step])
+            if not len(same):
+                break
+            compare(*np.unique(np.stack([o[same], o[same + step]], 1), axis=0).T)
+    return np.unique(np.concatenate(links), axis=0)
 
 
-def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | None = None, least_bits: int | None = None) -> DataFrame:
+def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | None = None, least_bits: int | None = None, apart: int | None = None) -> DataFrame:
     """Links (family, u, v) that span the components of fingerprints ``fp`` joined by steps of at most ``radius`` bits, in each ``family`` by itself.
 
     Colliding pairs are deduplicated and verified in every bucket, then thinned to a forest of stars, so u and v are in one
     component but need not be neighbours themselves.  ``fps`` has one row per family (0 without that column) and distinct fingerprint;
-    its lowest ``width`` bits are searched.  With ``whole``, links are pairs that meet and differ in so many of all bits at most, so that
-    they can be verified further: in every bucket a minimum spanning forest by that difference.  ``least_bits``: least binary logarithm
-    of the number of buckets (``MIN_BUCKET_BITS``).
+    its lowest ``width`` bits are searched.  With ``whole``, links are pairs that meet, so that they can be verified further: in every
+    bucket a minimum spanning forest by how many of all bits they differ in.  ``least_bits``: least binary logarithm of the number of
+    buckets (``MIN_BUCKET_BITS``).
 
-    If ``fps`` also has longs ``label`` and ``id``, it may have several rows with one fingerprint, ``whole`` must be given, and u and v are
-    ids: nothing is thinned, but pairs of one label are left out.
+    If ``fps`` also has longs ``label`` and ``id``, it may have several rows with one fingerprint, and u and v are ids: all pairs of two labels
+    that meet and differ in ``whole`` of all bits at most.  With ``apart`` it has texts' vectors ``fps`` too, and u and v are labels, which pairs join whose
+    vectors differ in so many bits at most: in every bucket fewer than it has labels, since only pairs that join two are handed on.
     """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: both sides meet at half of it")
     masks = ball(half, width)
     fps = fps if "family" in fps.columns else fps.withColumn("family", F.lit(0))
-    carried = ["fp", "label", "id"] if "label" in fps.columns else ["fp"]
+    carried = [F.col(c) for c in (["fp", "label", "id"] if "label" in fps.columns else ["fp"])]
+    if apart is not None:
+        carried += [F.col("fps")[k].alias(f"v{k}") for k in range(fps.select(F.max(F.size("fps"))).first()[0] or 0)]
+    columns_held = len(carried)
     most = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
     bits = min(24, max(MIN_BUCKET_BITS if least_bits is None else least_bits, int(np.ceil(np.log2(max(1, most * len(masks) / BUCKET_VARIANTS))))))
 
@@ -255,8 +302,8 @@ def linked(fps: DataFrame, radius: int = RADIUS, width: int = 64, whole: int | N
 
     def meet(table: pa.Table) -> pa.Table:
         family, bucket = table.column("family")[0].as_py(), table.column("bucket")[0].as_py()
-        entries = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]).reshape(-1, len(carried))
-        found = _bucket_links(entries, bucket, bits, masks, radius, width, whole).view(np.int64)
+        entries = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")]).reshape(-1, columns_held)
+        found = _bucket_links(entries, bucket, bits, masks, radius, width, whole, apart).view(np.int64)
         return pa.table({"family": pa.array(np.full(len(found), family, np.int32)), "u": found[:, 0], "v": found[:, 1]})
 
     return fps.select(F.col("family").cast("int").alias("family"), *carried).mapInArrow(deal, "family int, bucket int, fps binary").groupBy("family", "bucket").applyInArrow(meet, "family int, u long, v long")
@@ -294,7 +341,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     families' fingerprints over the same shingles are as many draws, each searched by ball hashing.  A minimum spanning
     forest of the pairs that meet, for each end, is verified: a pair is linked if it differs in no more than ``APART`` of all families' bits, which estimates the similarity
     with a standard error of 0.025.  Where all verified pairs of a group of texts that met are linked, thinning has lost nothing; texts of the other
-    groups are searched again, labelled by what is linked so far, and every pair of two labels that meets is verified.  Rows without an id are left out; null and wordless texts are copies of each other;
+    groups are searched again, labelled by what is linked so far, and every pair of two labels that meets is verified where it meets.  Rows without an id are left out; null and wordless texts are copies of each other;
     an empty table gives no rows.
     """
     prints = materialise(with_fingerprints(docs.where("doc_id is not null"), families, shingle_words), "fingerprints")
@@ -304,21 +351,20 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
     held = materialise(each.groupBy("family", "fp").agg(F.min("low").alias("rep"), F.max("low").alias("last")), "families")
     # texts that share a whole fingerprint: each is paired with the least of them
     shared = held.where("last <> rep").select("family", "fp", "rep")
-    alike = each.join(shared, ["family", "fp"]).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    alike = each.join(shared, ["family", "fp"]).where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"), F.lit(True).alias("fits"))
     near = linked(held.select("family", "fp"), STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS)
     near = materialise(near.distinct(), "near")
     near = near.join(held.select("family", F.col("fp").alias("u"), F.col("rep").alias("a")), ["family", "u"]).join(held.select("family", F.col("fp").alias("v"), F.col("rep").alias("b")), ["family", "v"])
-    judged = materialise(_verified(alike.union(near.select("a", "b")), same, families), "judged")
+    # pairs too far apart join those who may be linked by others: they count for the groups only
+    near = near.select("a", "b", (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= STAGE_WHOLE).alias("fits"))
+    judged = materialise(_verified(alike.union(near), same, families), "judged")
     # texts joined by linked pairs, and by all verified pairs; the latter groups hold every text that thinning may have parted
     roots, met = materialise(connected(judged.where("near")), "roots"), materialise(connected(judged), "met")
     labels = met.select("node", F.col("root").alias("met")).join(roots, "node", "left").select("node", "met", F.coalesce("root", "node").alias("label"))
     parted = small(materialise(labels.groupBy("met").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("met"), "parted"))
-    labels = materialise(labels.join(parted, "met").select("node", "label"), "labels")
-    again = materialise(each.join(labels, each["low"] == labels["node"]).select("family", "fp", "label", F.col("low").alias("id")), "again")
-    pairs = linked(again, STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS).select("u", "v")
-    more = materialise(_verified(pairs, same, families).where("near"), "more")
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
-    joined = connected(more.join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+    labels = labels.join(parted, "met").select("node", "label")
+    again = materialise(same.join(labels, same["low"] == labels["node"]).select("label", "fps"), "again").select("label", F.col("label").alias("id"), "fps", F.posexplode(F.concat("fps", turned)).alias("family", "fp"))
+    joined = connected(linked(again, STAGE_RADIUS, STAGE_BITS, STAGE_WHOLE, STAGE_BUCKET_BITS, int(APART * 64 * families)).select("u", "v"))
     roots = same.select("low").join(roots, F.col("low") == F.col("node"), "left").select("low", F.coalesce("root", "low").alias("root"))
     roots = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("low", F.coalesce("least", "root").alias("component_id"))
     named = same.join(roots, "low").select("fps", "component_id")
@@ -326,12 +372,11 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, shingle_words: int =
 
 
 def _verified(pairs: DataFrame, same: DataFrame, families: int) -> DataFrame:
-    """(u, v, near) of each different pair of ids: whether their vectors of fingerprints differ in at most ``APART`` of all bits."""
-    u, v = pairs.columns
-    pairs = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).where("u <> v").distinct()
+    """(u, v, near) of each different pair of ids (u, v, fits): whether it fits and their vectors of fingerprints differ in at most ``APART`` of all bits."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "fits").where("u <> v").groupBy("u", "v").agg(F.max("fits").alias("fits"))
     of = lambda end: same.select(F.col("low").alias(end), F.col("fps").alias(f"of_{end}"))
     differ = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", (differ <= int(APART * 64 * families)).alias("near"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", (F.col("fits") & (differ <= int(APART * 64 * families))).alias("near"))
 
 
 def deduplicate(docs: DataFrame, families: int = FAMILIES, shingle_words: int = STAGE_WORDS) -> DataFrame:

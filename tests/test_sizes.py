@@ -1,6 +1,11 @@
 """Queries on tables that are larger, or laid out otherwise, than the given ones."""
 
+import random
+
 import duckdb
+import numpy as np
+
+from flowline.llm import simhash
 from flowline.llm.queries import ORACLE, QUERIES as OPERATORS
 from flowline.plans.queries import QUERIES
 
@@ -27,3 +32,18 @@ def test_repair_is_its_sql_where_ties_are_closed(spark):
     con = duckdb.connect()
     con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
     same(OPERATORS["op11_conversation_repair"](spark, "/root/testdata/sf0.01"), con, closed)
+
+
+def test_no_pair_of_labels_is_too_far_in_a_run(spark):
+    """40 texts share an end of 36 bits; only the first and the last in its order are near, 39 places apart. Pairs are joined by labels, once for each."""
+    rng = random.Random(8)
+    fps = sorted(5 | (k << 36) for k in rng.sample(range(1 << 15), 40))
+    vectors = [[rng.getrandbits(63) for _ in range(16)] for _ in fps]
+    vectors[-1] = [v ^ 1 for v in vectors[0]]
+    df = spark.createDataFrame([(k % 2, fp, i, i, vectors[i]) for k in range(2) for i, fp in enumerate(fps)], "family int, fp long, label long, id long, fps array<long>").repartition(3)
+    for bits in (0, 3):
+        found = simhash.linked(df, 2, 36, 16, bits, 16)
+        assert {(r["u"], r["v"]) for r in found.collect()} == {(0, 39)} and found.count() == 2
+    # all alike: one link less than there are labels, for 780 pairs
+    entries = np.array([[fp, i, i, *[7] * 16] for i, fp in enumerate(fps)], np.uint64)
+    assert len(simhash._bucket_links(entries, 0, 0, simhash.ball(1, 36), 2, 36, 64, 16)) == 39
