@@ -152,26 +152,18 @@ def stopped(*queries: StreamingQuery, barrier: Barrier | None = None) -> None:
             raise q.exception()
 
 
-_SESSION = "is_logged_in boolean, last_seq long, last_activity timestamp_ntz, page_views long, purchase_count long, total_purchase_amount double"
-
-
 def sessions(activity: DataFrame) -> DataFrame:
-    """(user_id, session) after each micro-batch for the users it touches; state survives restarts in the checkpoint."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        logged, last, seen, views, bought, spent = state.get if state.exists else (False, None, None, 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        actions = rows["action"]
-        flags = actions[actions.isin([LOGIN, LOGOUT])]
-        logged = bool(flags.iloc[-1] == LOGIN) if len(flags) else logged
-        last, seen = int(rows["seq"].iloc[-1]), rows["ts"].iloc[-1]
-        views, bought = views + int((actions == VIEW).sum()), bought + int((actions == PURCHASE).sum())
-        spent += float(rows["amount"][actions == PURCHASE].sum())
-        state.update((logged, last, seen.to_pydatetime(), views, bought, spent))
-        yield pd.DataFrame({"user_id": [key[0]], "is_logged_in": [logged], "last_seq": [last], "last_activity": [seen], "page_views": [views], "purchase_count": [bought], "total_purchase_amount": [spent]})
-
-    rows = activity.select("user_id", "seq", "action", "ts", "amount")
-    return rows.groupBy("user_id").applyInPandasWithState(step, f"user_id {dict(rows.dtypes)['user_id']}, {_SESSION}", _SESSION, "update", GroupStateTimeout.NoTimeout)
+    """(user_id, session) after each micro-batch for the users it touches; state survives restarts in the checkpoint.
+
+    A session is an aggregate of its user's rows, so the state is one row of sums and of what has the greatest seq, kept by Spark itself.
+    """
+    action, seq = F.col("action"), F.col("seq")
+    flag = action.isin(LOGIN, LOGOUT)
+    bought = F.when((action == PURCHASE) & ~F.isnan(F.col("amount").cast("double")), F.col("amount").cast("double"))
+    return activity.groupBy("user_id").agg(
+        F.coalesce(F.max_by(action == LOGIN, F.when(flag, seq)), F.lit(False)).alias("is_logged_in"), F.max("seq").cast("long").alias("last_seq"), F.max_by(F.col("ts").cast("timestamp_ntz"), "seq").alias("last_activity"),
+        F.count_if(action == VIEW).alias("page_views"), F.count_if(action == PURCHASE).alias("purchase_count"), F.coalesce(F.sum(bought), F.lit(0.0)).alias("total_purchase_amount"),
+    )
 
 
 def batches(messages: DataFrame, size: int, timeout_ms: int | None = None) -> DataFrame:

@@ -1,13 +1,17 @@
 """Queries on tables that are larger, or laid out otherwise, than the given ones."""
 
 import random
+from datetime import datetime
 
 import duckdb
 import numpy as np
 
 from flowline.llm import simhash
 from flowline.llm.queries import ORACLE, QUERIES as OPERATORS
+from flowline.operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
 from flowline.plans.queries import QUERIES
+from flowline.plans.storage import scratch
+from flowline.streaming import run as streaming
 
 from .conftest import same
 
@@ -47,3 +51,15 @@ def test_no_pair_of_labels_is_too_far_in_a_run(spark):
     # all alike: one link less than there are labels, for 780 pairs
     entries = np.array([[fp, i, i, *[7] * 16] for i, fp in enumerate(fps)], np.uint64)
     assert len(simhash._bucket_links(entries, 0, 0, simhash.ball(1, 36), 2, 36, 64, 16)) == 39
+
+
+def test_session_of_a_late_row(spark):
+    """A row that comes in a later micro-batch than a greater seq of its user is counted, and decides nothing."""
+    path, out, checkpoint = (scratch(spark, n) for n in ("log", "out", "checkpoint"))
+    schema = "user_id long, seq long, action string, ts timestamp_ntz, amount double"
+    at = [datetime(2024, 1, d) for d in (1, 2)]
+    for rows in ([(1, 10, LOGIN, at[1], None), (2, 11, VIEW, at[1], None)], [(1, 5, LOGOUT, at[0], None), (1, 6, PURCHASE, at[0], 2.5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        streaming.drained(streaming.sink(streaming.sessions(streaming.read_log(spark, path, schema)), out, checkpoint, mode="update"))
+    got = [tuple(r) for r in spark.read.parquet(out).where("batch_id = 1").drop("batch_id").collect()]
+    assert got == [(1, True, 10, at[1], 0, 1, 2.5)]
