@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +22,8 @@ REACHED = "name string, lane int, missing long, gaps long"
 
 #: Positions of one block, and lanes to which blocks are dealt; both stay the same for one checkpoint.
 BLOCK, LANES = 4096, 8
+#: Places of a lane whose stretches are one entry of its state, and acknowledgements that are sorted at once at least.
+CELL, ROWS = 1024, 100_000
 
 
 def laned(acks: DataFrame, block: int, lanes: int) -> DataFrame:
@@ -38,44 +41,50 @@ def laned(acks: DataFrame, block: int, lanes: int) -> DataFrame:
     )
 
 
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches [low, high) as disjoint ones by low; those that overlap or touch are one."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(spans):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]])[: len(low)])
+    return low[first], reach[np.append(first[1:], len(low))[: len(first)] - 1]
 
 
 class Tracker(StatefulProcessor):
-    """Keeps the acknowledged stretches of one lane, one map entry each; a micro-batch writes those that it changes."""
+    """Keeps the acknowledged stretches of one lane, those that begin in one cell of ``CELL`` positions as one map entry; a micro-batch writes the entries that it changes."""
 
     def __init__(self, block: int, lanes: int):
         self.block, self.lanes = block, lanes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getMapState("done", "low long", "high long")
+        self.done = handle.getMapState("done", "cell long", "lows array<long>, highs array<long>")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        fresh: list[tuple[int, int]] = []
-        for part in rows:  # one Arrow batch at a time, of which only the stretches remain
-            fresh = joined(fresh + list(zip(part["low"].tolist(), part["high"].tolist())))
-        old = {low[0]: high[0] for low, high in self.done.iterator()} if self.done.exists() else {}
-        new = dict(joined([*old.items(), *fresh]))
-        for low in old.keys() - new.keys():
-            self.done.removeKey((low,))
-        for low, high in new.items():
-            if old.get(low) != high:
-                self.done.updateValue((low,), (high,))
+        held = {cell[0]: (np.array(lows, np.int64), np.array(highs, np.int64)) for cell, (lows, highs) in self.done.iterator()} if self.done.exists() else {}
+        none = np.empty(0, np.int64)
+        old = [np.concatenate([none, *[h[k] for h in held.values()]]) for k in (0, 1)]
+        low, high, fresh, n = *joined(*old), [], 0
+        for part in rows:  # what has come is joined to what is known whenever it is as much, so that each stretch is sorted few times
+            fresh.append((part["low"].to_numpy(np.int64), part["high"].to_numpy(np.int64)))
+            n += len(part)
+            if n > max(len(low), ROWS):
+                low, high = joined(np.concatenate([low, *[f[0] for f in fresh]]), np.concatenate([high, *[f[1] for f in fresh]]))
+                fresh, n = [], 0
+        low, high = joined(np.concatenate([low, *[f[0] for f in fresh]]), np.concatenate([high, *[f[1] for f in fresh]]))
+        cells, at = np.unique(low // CELL, return_index=True)
+        new = dict(zip(cells.tolist(), zip(np.split(low, at[1:]), np.split(high, at[1:])))) if len(cells) else {}
+        for cell in held.keys() - new.keys():
+            self.done.removeKey((cell,))
+        for cell, (lows, highs) in new.items():
+            if cell not in held or not (np.array_equal(held[cell][0], lows) and np.array_equal(held[cell][1], highs)):
+                self.done.updateValue((cell,), (lows.tolist(), highs.tolist()))
         name, lane = key
-        place = new.get(0, 0)
+        begun = bool(len(low)) and low[0] == 0
+        place = int(high[0]) if begun else 0
         missing = (place // self.block * self.lanes + int(lane)) * self.block + place % self.block
-        yield pd.DataFrame([(name, int(lane), missing, len(new) - (0 in new))], columns=["name", "lane", "missing", "gaps"])
+        yield pd.DataFrame([(name, int(lane), missing, len(low) - begun)], columns=["name", "lane", "missing", "gaps"])
 
 
 def tracked(acks: DataFrame, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
@@ -97,8 +106,9 @@ def reached(told: DataFrame, block: int = BLOCK, lanes: int = LANES) -> DataFram
 def kept(spark: SparkSession, checkpoint: str, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
     """REACHED as a stopped stream's state has it."""
     state = spark.read.format("statestore").option("stateVarName", "done").load(checkpoint)
-    low, high = F.col("user_map_key.low"), F.col("user_map_value.high")
-    found = state.groupBy(F.col("key.name").alias("name"), F.col("key.lane").alias("lane")).agg(F.coalesce(F.max(F.when(low == 0, high)), F.lit(0)).alias("_place"), F.count_if(low > 0).alias("gaps"))
+    lows, highs = F.col("user_map_value.lows"), F.col("user_map_value.highs")
+    each = state.select(F.col("key.name").alias("name"), F.col("key.lane").alias("lane"), F.when(lows[0] == 0, highs[0]).alias("_first"), F.size(lows).cast("long").alias("_n"))
+    found = each.groupBy("name", "lane").agg(F.coalesce(F.max("_first"), F.lit(0)).alias("_place"), (F.sum("_n") - F.count("_first")).alias("gaps"))
     missing = (F.expr(f"_place div {block}") * lanes + F.col("lane")) * block + F.col("_place") % block
     return found.select("name", "lane", missing.cast("long").alias("missing"), "gaps")
 

@@ -5,13 +5,14 @@ from datetime import datetime
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from flowline.llm import simhash
 from flowline.llm.queries import ORACLE, QUERIES as OPERATORS
 from flowline.operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
 from flowline.plans.queries import QUERIES
 from flowline.plans.storage import scratch
-from flowline.streaming import run as streaming
+from flowline.streaming import run as streaming, watermarks
 
 from .conftest import same
 
@@ -63,3 +64,17 @@ def test_session_of_a_late_row(spark):
         streaming.drained(streaming.sink(streaming.sessions(streaming.read_log(spark, path, schema)), out, checkpoint, mode="update"))
     got = [tuple(r) for r in spark.read.parquet(out).where("batch_id = 1").drop("batch_id").collect()]
     assert got == [(1, True, 10, at[1], 0, 1, 2.5)]
+
+
+def test_watermark_state_grows_by_cells(spark):
+    """Every other position of 6,000 is acknowledged: 3,000 stretches are few entries of the state, and all positions are one."""
+    own = streaming.own_session(spark)
+    path, out, checkpoint = (scratch(spark, n) for n in ("log", "out", "checkpoint"))
+    for step, want in ((0, (1, 6)), (1, (6000, 1))):
+        acks = spark.range(3000).select(F.lit("t").alias("name"), (F.col("id") * 2 + step).alias("low"), (F.col("id") * 2 + step + 1).alias("high"))
+        acks.coalesce(1).write.mode("append").parquet(path)
+        log = streaming.read_log(own, path, watermarks.ACKS)
+        streaming.drained(streaming.sink(watermarks.tracked(log, 4096, 1), out, checkpoint, mode="update"))
+        state = own.read.format("statestore").option("stateVarName", "done").load(checkpoint)
+        kept = watermarks.kept(own, checkpoint, 4096, 1).first()
+        assert (kept["missing"], state.count()) == want and kept["gaps"] == (2999 if step == 0 else 0)
