@@ -25,6 +25,8 @@ from ..sources import changelog
 
 #: Log files that a micro-batch takes at most: the backpressure.
 FILES_PER_TRIGGER = 1
+#: Rows that a micro-batch of a stream under a budget takes at most, however long its log: what a slice's task holds is bounded by it.
+MOST_ROWS = 1_000_000
 
 
 def own_session(spark: SparkSession) -> SparkSession:

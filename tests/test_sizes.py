@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from flowline.llm import simhash
 from flowline.llm.queries import ORACLE, QUERIES as OPERATORS
 from flowline.operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
+from flowline.plans.oracle import ORACLE as CORE_ORACLE
 from flowline.plans.queries import QUERIES
 from flowline.plans.storage import scratch
 from flowline.streaming import run as streaming, watermarks
 
-from .conftest import same
+from .conftest import SF, same
 
 
 def test_sparse_plan_beyond_64_bits(spark, tmp_path):
@@ -78,3 +79,12 @@ def test_watermark_state_grows_by_cells(spark):
         state = own.read.format("statestore").option("stateVarName", "done").load(checkpoint)
         kept = watermarks.kept(own, checkpoint, 4096, 1).first()
         assert (kept["missing"], state.count()) == want and kept["gaps"] == (2999 if step == 0 else 0)
+
+
+def test_merge_under_a_bounded_budget(spark, duck, monkeypatch):
+    """However long the log, a micro-batch of the merger takes no more than its most; the verdicts are the same."""
+    budgets, demanded = [], streaming.demanded
+    monkeypatch.setattr(streaming, "MOST_ROWS", 250)
+    monkeypatch.setattr(streaming, "demanded", lambda *a: budgets.append(a[3]) or demanded(*a))
+    same(QUERIES["stream_merge"](spark, SF), duck, CORE_ORACLE["stream_merge"])
+    assert budgets == [250]
