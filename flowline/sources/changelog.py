@@ -4,17 +4,20 @@ The log is a folder of Parquet files with a whole-number column ``seq``, which e
 ``budget`` rows (MaxDemand less MinDemand): its end is planned from an index of the row groups' statistics, which reads the footer of a
 file once and only of files that it hasn't seen.  What has been delivered is decided by the stream's checkpoint alone, so a stopped query goes on
 where it left off; a source that is to go on under a budget is told the ``checkpoint``, where the end of the last micro-batch that was planned is found.
+A micro-batch may answer several open requests at once, as a producer is asked for the sum of all: each takes at most ``budget`` rows, in order of seq,
+requests are numbered from 0 over micro-batches and restarts, and every row tells its own in a column ``request``.  Offsets then are {"seq": next, "request": next}.
 Executors read the files themselves, so log and checkpoint are folders, named by URIs, that all of them see.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import takewhile
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -23,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 NAME = "flowline-log"
+#: The column of the request that a row answers, where a micro-batch answers several.
+REQUEST = "request"
 
 #: Messages that are asked for where so few wait, and that may wait at most.
 MIN_DEMAND, MAX_DEMAND = 10, 100
@@ -41,11 +46,11 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Span(InputPartition):
-    """Rows with seq in [start, end), and the files that may hold some."""
+    """Rows with seq in [start, end), the files that may hold some, and the number of the first request that they answer."""
 
-    def __init__(self, start: int, end: int, files: list[str]):
+    def __init__(self, start: int, end: int, files: list[str], request: int = 0):
         super().__init__((start, end))
-        self.start, self.end, self.files = start, end, files
+        self.start, self.end, self.files, self.request = start, end, files, request
 
 
 class Index:
@@ -118,6 +123,10 @@ class Index:
             return max(low, int(first[budget]))
         return end if len(first) == budget else self.planned(end, budget - len(first))
 
+    def asked(self, start: int, end: int, budget: int, requests: int) -> int:
+        """The least number of requests, ``requests`` at most, that take [start, end): all but the last one are full."""
+        return bisect_left(range(1, requests), end, key=lambda n: self.planned(start, n * budget)) + 1
+
 
 class _Log:
     """Reading a span of the log; the seq predicate reaches the Parquet row groups."""
@@ -127,9 +136,12 @@ class _Log:
         self.names = schema.names
         self.parallel = max(1, int(options.get("parallel", 4)))
         self.budget = int(options["budget"]) if "budget" in options else None
+        self.requests = int(options["requests"]) if "requests" in options else None
         self.checkpoint, self.source = options.get("checkpoint"), int(options.get("source", 0))
         if self.budget is not None and self.budget < 1:
             raise ValueError("the budget must be at least 1")
+        if self.requests is not None and (self.requests < 1 or self.budget is None):
+            raise ValueError("there must be at least one request, and a budget for each")
         if self.budget is not None and not self.checkpoint:
             raise ValueError("a stream under a budget can't go on unless the source is told its checkpoint")
 
@@ -138,13 +150,28 @@ class _Log:
         cuts = [start + (end - start) * k // n for k in range(n + 1)]
         return [Span(a, b, files) for a, b in zip(cuts, cuts[1:]) if (files := index.files(a, b))]
 
+    def answers(self, index: Index, start: dict, end: dict) -> list[Span]:
+        """Spans of whole requests; the cuts depend on the rows of [start, end) alone, so a replay gives every row the same request."""
+        low, number = start["seq"], start.get("request", 0)
+        total = end["request"] - number
+        n = min(self.parallel, total)
+        firsts = [total * k // n for k in range(n)] if n > 0 else []
+        cuts = [min(end["seq"], index.planned(low, f * self.budget)) if f else low for f in firsts] + [end["seq"]]
+        return [Span(a, b, files, number + f) for a, b, f in zip(cuts, cuts[1:], firsts) if (files := index.files(a, b))]
+
     def batches(self, part: Span) -> Iterator:
         system, _ = located(self.path)
         wanted = (ds.field("seq") >= part.start) & (ds.field("seq") < part.end)
-        yield from ds.dataset(part.files, filesystem=system, format="parquet").to_batches(columns=self.names, filter=wanted)
+        log = ds.dataset(part.files, filesystem=system, format="parquet")
+        if self.requests is None:
+            yield from log.to_batches(columns=self.names, filter=wanted)
+            return
+        rows = log.to_table(columns=list(dict.fromkeys(["seq", *(n for n in self.names if n != REQUEST)])), filter=wanted).sort_by("seq")
+        number = part.request + np.arange(len(rows), dtype=np.int64) // self.budget
+        yield from rows.append_column(REQUEST, pa.array(number)).select(self.names).to_batches()
 
 
-def planned_end(checkpoint: str, source: int = 0) -> int | None:
+def planned_offset(checkpoint: str, source: int = 0) -> dict | None:
     """The end of the last micro-batch that a checkpoint has planned for its ``source``-th source; None before the first."""
     system, folder = located(checkpoint)
     found = system.get_file_info(fs.FileSelector(f"{folder}/offsets", allow_not_found=True))
@@ -154,7 +181,7 @@ def planned_end(checkpoint: str, source: int = 0) -> int | None:
     with system.open_input_stream(f"{folder}/offsets/{numbers[0]}") as file:
         lines = file.read().decode().splitlines()
     offset = lines[2 + source]  # after the version and the batch's own facts
-    return json.loads(offset)["seq"] if offset != "-" else None
+    return json.loads(offset) if offset != "-" else None
 
 
 class LogReader(DataSourceReader):
@@ -171,14 +198,17 @@ class LogReader(DataSourceReader):
 
 
 class LogStreamReader(DataSourceStreamReader):
-    """``commit`` needs no action, since the checkpoint holds what is done; ``at`` is the end that was planned last."""
+    """``commit`` needs no action, since the checkpoint holds what is done; ``at`` is the end that was planned last, and ``request`` the number of the next request."""
 
     def __init__(self, log: _Log):
-        self.log, self.index, self.at = log, Index(log.path), None
+        self.log, self.index, self.at, self.request = log, Index(log.path), None, 0
+
+    def _offset(self, seq: int, request: int) -> dict:
+        return {"seq": seq} if self.log.requests is None else {"seq": seq, "request": request}
 
     def initialOffset(self) -> dict:
         self.index.update()
-        return {"seq": self.index.ends()[0]}
+        return self._offset(self.index.ends()[0], 0)
 
     def latestOffset(self) -> dict:
         self.index.update()
@@ -186,17 +216,22 @@ class LogStreamReader(DataSourceStreamReader):
         if self.log.budget is None:
             return {"seq": last}
         if self.at is None:  # a stream begins, or goes on where its checkpoint says
-            planned = planned_end(self.log.checkpoint, self.log.source)
-            self.at = first if planned is None else planned
+            planned = planned_offset(self.log.checkpoint, self.log.source) or self._offset(first, 0)
+            self.at, self.request = planned["seq"], planned.get("request", 0)
         # a log that was empty at first begins wherever its first row is
         if last > self.at:
             self.index.forget(self.at)
-            self.at = self.index.planned(max(self.at, first), self.log.budget)
-        return {"seq": self.at}
+            start, most = max(self.at, first), self.log.requests or 1
+            self.at = self.index.planned(start, self.log.budget * most)
+            self.request += most if self.at < last else self.index.asked(start, self.at, self.log.budget, most)
+        return self._offset(self.at, self.request)
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self.index.update()
-        self.at = max(self.at or 0, end["seq"])
+        if self.at is None or end["seq"] >= self.at:
+            self.at, self.request = end["seq"], end.get("request", 0)
+        if self.log.requests is not None:
+            return self.log.answers(self.index, start, end)
         return self.log.spans(self.index, start["seq"], end["seq"])
 
     def read(self, partition: Span) -> Iterator:
@@ -207,7 +242,7 @@ class LogStreamReader(DataSourceStreamReader):
 
 
 class LogSource(DataSource):
-    """Options: path; parallel (tasks of a micro-batch, 4); budget (rows of a micro-batch, unbounded); checkpoint and source (see :func:`planned_end`)."""
+    """Options: path; parallel (tasks of a micro-batch, 4); budget (rows of a micro-batch, unbounded); requests (that a micro-batch answers at most, each with the budget; one, and untold); checkpoint and source (see :func:`planned_offset`)."""
 
     @classmethod
     def name(cls) -> str:

@@ -17,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.batching import Batcher, Handler, judged
 from ..operators.outcomes import FAILED
@@ -27,6 +28,8 @@ from ..sources import changelog
 FILES_PER_TRIGGER = 1
 #: Rows that a micro-batch of a stream under a budget takes at most, however long its log: what a slice's task holds is bounded by it.
 MOST_ROWS = 1_000_000
+#: Rows of a file of the log at most.
+FILE_ROWS = 250_000
 
 
 def own_session(spark: SparkSession) -> SparkSession:
@@ -53,16 +56,20 @@ def read_log(spark: SparkSession, path: str, schema, files: int = FILES_PER_TRIG
 
 
 def write_log(df: DataFrame, path: str, files: int = 4) -> None:
-    """Appends messages to a log folder, in ``files`` files of a range of seq each."""
-    df.repartitionByRange(files, "seq").write.mode("append").parquet(path)
+    """Appends messages to a log folder, in ``files`` ranges of seq, and each range in files of a bounded number of rows, so that what is read for a part of the log doesn't grow with it."""
+    df.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
 
-def demanded(spark: SparkSession, path: str, schema, budget: int, checkpoint: str) -> DataFrame:
+def demanded(spark: SparkSession, path: str, schema, budget: int, checkpoint: str, requests: int | None = None) -> DataFrame:
     """The log as a stream whose micro-batches take at most ``budget`` rows, in order of seq; ``checkpoint`` is that of the query to be started.
 
+    With ``requests``, a micro-batch answers so many open requests at most, each with ``budget`` rows at most, and rows have their number as ``request``.
     The session must know the source: see :func:`own_session` and ``changelog.register``.
     """
-    return spark.readStream.format(changelog.NAME).schema(schema).option("budget", budget).option("checkpoint", checkpoint).load(path)
+    reader = spark.readStream.format(changelog.NAME).option("budget", budget).option("checkpoint", checkpoint)
+    if requests is None:
+        return reader.schema(schema).load(path)
+    return reader.schema(StructType([*schema.fields, StructField(changelog.REQUEST, LongType())])).option("requests", requests).load(path)
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append", interval: str | None = None) -> StreamingQuery:
