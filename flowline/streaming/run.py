@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.batching import Batcher, Handler, judged
-from ..operators.outcomes import FAILED
+from ..operators.outcomes import FAILED, OK
 from ..operators.sessions import LOGIN, LOGOUT, PURCHASE, VIEW
 from ..sources import changelog
 
@@ -28,6 +28,8 @@ from ..sources import changelog
 FILES_PER_TRIGGER = 1
 #: Rows that a micro-batch of a stream under a budget takes at most, however long its log: what a slice's task holds is bounded by it.
 MOST_ROWS = 1_000_000
+#: Groups of keys that share a state: as many calls of Python a micro-batch needs at most, however many keys it has.
+BUCKETS = 4096
 #: Rows of a file of the log at most.
 FILE_ROWS = 250_000
 
@@ -48,7 +50,7 @@ def append_log(df: DataFrame, path: str, parts: int) -> None:
     last = df.agg(F.max("seq")).first()[0]
     for k in range(parts if last is not None else 0):
         low, high = (last + 1) * k // parts, (last + 1) * (k + 1) // parts
-        df.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(path)
+        df.where((F.col("seq") >= low) & (F.col("seq") < high)).repartition(1).write.mode("append").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str, schema, files: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -175,6 +177,17 @@ def sessions(activity: DataFrame) -> DataFrame:
     )
 
 
+def _bucketed(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("bucket", F.pmod(F.xxhash64("batcher", "batch_key"), F.lit(BUCKETS)).cast("int"))
+
+
+def _due(state: GroupState, now: int, ends: Iterable[int]) -> None:
+    """The state's timeout: the first of ``ends``."""
+    first = min(ends, default=None)
+    if first is not None:
+        state.setTimeoutDuration(max(1, first - now))
+
+
 def batches(messages: DataFrame, size: int, timeout_ms: int | None = None) -> DataFrame:
     """(batcher, batch_key, batch_no, n, lo, hi) as batches fill up, or, with a timeout, when an incomplete one has waited so long.
 
@@ -203,58 +216,74 @@ def batches(messages: DataFrame, size: int, timeout_ms: int | None = None) -> Da
 
 
 def _judged(texts: list[str], batcher: str, handlers: dict[str, Handler]) -> list[tuple]:
+    if handlers.get(batcher) is None:
+        return [(json.loads(t)["seq"], OK, None) for t in texts]
     rows = pd.DataFrame([json.loads(t) for t in texts])
     status, error = judged(rows, handlers.get(batcher))
     return list(zip(rows["seq"].tolist(), status, error))
 
 
+def _outcomes(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({"seq": pd.Series([o[0] for o in out], dtype="int64"), "status": pd.Series([o[1] for o in out], dtype=object), "error": pd.Series([o[2] for o in out], dtype=object)})
+
+
 def handled(messages: DataFrame, batchers: Iterable[Batcher], handlers: dict[str, Handler]) -> DataFrame:
     """Outcomes (seq, status, error) of a stream's routed messages, batches reaching over micro-batches (WIN-2, STR-14).
 
     A batch is handed to its batcher's handler when it is full, or when its first message has waited for the batcher's timeout.
     Failed messages and those for unknown batchers get their outcome at once.  State is fewer than a batch of messages per key, as
-    JSON, and handlers get the messages' JSON values; within a micro-batch, messages are taken in order of seq.
+    JSON, and keys share one by a hash; handlers get the messages' JSON values; within a micro-batch, messages are taken in order of seq.
     """
     config = {b.name: (b.batch_size, int(1000 * b.batch_timeout)) for b in batchers}
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waits, since = state.get if state.exists else ([], 0)
-        waits, out = list(waits), []
-        size, timeout = config.get(key[0], (0, 0))
-        if state.hasTimedOut:
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        held = {(b, k): (list(w), t) for b, k, w, t in zip(*state.get)} if state.exists else {}
+        out, fresh = [], {}
+        for part in () if state.hasTimedOut else parts:
+            lost = part["message"].isna()
+            out += [(s, FAILED, e) for s, e in zip(part["seq"][lost].tolist(), part["error"][lost].tolist())]
+            part = part[~lost]
+            for b, k, s, m in zip(part["batcher"].tolist(), part["batch_key"].tolist(), part["seq"].tolist(), part["message"].tolist()):
+                fresh.setdefault((b, k), []).append((s, m))
+        for key, found in fresh.items():
+            size, (waits, since) = config[key[0]][0], held.get(key, ([], 0))
+            before = len(waits)
+            waits = waits + [m for _, m in sorted(found)]
+            whole = len(waits) - len(waits) % size
+            for at in range(0, whole, size):
+                out += _judged(waits[at : at + size], key[0], handlers)
+            held[key] = (waits[whole:], since if before and not whole else now)
+        # a batcher that the stream was started without this time gives up what waits for it
+        ends = {key: since + config.get(key[0], (0, 0))[1] for key, (_, since) in held.items()}
+        for key in [k for k in held if ends[k] <= now and k not in fresh or not held[k][0]]:
+            waits = held.pop(key)[0]
             out += _judged(waits, key[0], handlers) if waits else []
-            waits = []
-        else:
-            rows = pd.concat(list(parts)).sort_values("seq")
-            lost = rows["error"].notna() if size else pd.Series(True, index=rows.index)
-            out += [(s, FAILED, e if isinstance(e, str) else f"unknown batcher: {key[0]}") for s, e in zip(rows["seq"][lost], rows["error"][lost])]
-            now, before = state.getCurrentProcessingTimeMs(), len(waits)
-            waits += rows["message"][~lost].tolist()
-            while size and len(waits) >= size:
-                out += _judged(waits[:size], key[0], handlers)
-                waits, before = waits[size:], 0
-            since = since if before else now
-        if waits:
-            state.update((waits, since))
-            state.setTimeoutDuration(max(1, since + timeout - state.getCurrentProcessingTimeMs()))
+        if held:
+            state.update(([b for b, _ in held], [k for _, k in held], [w for w, _ in held.values()], [t for _, t in held.values()]))
+            _due(state, now, (ends[k] if k not in fresh else held[k][1] + config[k[0]][1] for k in held))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"seq": pd.Series([o[0] for o in out], dtype="int64"), "status": pd.Series([o[1] for o in out], dtype=object), "error": pd.Series([o[2] for o in out], dtype=object)})
+        yield _outcomes(out)
 
-    slim = messages.select("batcher", "batch_key", "seq", "error", F.to_json(F.struct("*")).alias("message"))
-    return slim.groupBy("batcher", "batch_key").applyInPandasWithState(step, "seq long, status string, error string", "waits array<string>, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = F.coalesce(F.col("batcher").isin(*config), F.lit(False))
+    unknown = F.coalesce("error", F.concat(F.lit("unknown batcher: "), F.coalesce("batcher", F.lit("None"))))
+    message = F.when(known & F.col("error").isNull(), F.to_json(F.struct("*"))).alias("message")
+    slim = messages.select("batcher", "batch_key", "seq", F.when(known, F.col("error")).otherwise(unknown).alias("error"), message)
+    kept = "batchers array<string>, batch_keys array<string>, waits array<array<string>>, since array<long>"
+    return _bucketed(slim).groupBy("bucket").applyInPandasWithState(step, "seq long, status string, error string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def flushed(spark: SparkSession, checkpoint: str, handlers: dict[str, Handler]) -> DataFrame:
     """Outcomes of what a stopped stream of :func:`handled` still held, by its batches' handlers, read from the state."""
     state = spark.read.format("statestore").load(checkpoint)
-    first = state.schema["key"].dataType.names[0]
-    held = state.select(F.col(f"key.{first}").alias("batcher"), F.col("value.groupState.waits").alias("waits")).where(F.size("waits") > 0)
+    kept = [F.col(f"value.groupState.{name}") for name in ("batchers", "waits")]
+    held = state.select(F.inline(F.arrays_zip(*kept)).alias("batcher", "waits")).where(F.size("waits") > 0)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = [o for batcher, texts in zip(part["batcher"], part["waits"]) for o in _judged(list(texts), batcher, handlers)]
-            yield pd.DataFrame({"seq": pd.Series([o[0] for o in out], dtype="int64"), "status": pd.Series([o[1] for o in out], dtype=object), "error": pd.Series([o[2] for o in out], dtype=object)})
+            yield _outcomes(out)
 
     return held.mapInPandas(run, "seq long, status string, error string")
 
