@@ -191,28 +191,38 @@ def _due(state: GroupState, now: int, ends: Iterable[int]) -> None:
 def batches(messages: DataFrame, size: int, timeout_ms: int | None = None) -> DataFrame:
     """(batcher, batch_key, batch_no, n, lo, hi) as batches fill up, or, with a timeout, when an incomplete one has waited so long.
 
-    State is the next number and fewer than ``size`` waiting seqs per key.
+    State is the next number and fewer than ``size`` waiting seqs per key; keys share one by a hash, so a call of Python serves many.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, waiting = state.get if state.exists else (0, [])
-        waiting, out = list(waiting), []
-        if not state.hasTimedOut:
-            waiting += [int(s) for p in parts for s in p["seq"]]
-            waiting.sort()
-        whole = len(waiting) if state.hasTimedOut else len(waiting) - len(waiting) % size
-        for at in range(0, whole, size):
-            part = waiting[at : min(at + size, whole)]
-            out.append((*key, number, len(part), part[0], part[-1]))
-            number += 1
-        state.update((number, waiting[whole:]))
-        if timeout_ms is not None and waiting[whole:]:
-            state.setTimeoutDuration(timeout_ms)
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = 0 if timeout_ms is None else state.getCurrentProcessingTimeMs()
+        held = {(b, k): [n, t, list(w)] for b, k, n, t, w in zip(*state.get)} if state.exists else {}
+        out, touched = [], set()
+        for part in () if state.hasTimedOut else parts:
+            for b, k, seq in zip(part["batcher"].tolist(), part["batch_key"].tolist(), part["seq"].tolist()):
+                held.setdefault((b, k), [0, now, []])[2].append(seq)
+                touched.add((b, k))
+        for key, entry in held.items():
+            number, since, waits = entry
+            late = timeout_ms is not None and key not in touched and since + timeout_ms <= now
+            if key not in touched and not (late and waits):
+                continue
+            waits.sort()
+            whole = len(waits) if late else len(waits) - len(waits) % size
+            for at in range(0, whole, size):
+                part = waits[at : min(at + size, whole)]
+                out.append((*key, number, len(part), part[0], part[-1]))
+                number += 1
+            entry[:] = number, now, waits[whole:]
+        state.update(([b for b, _ in held], [k for _, k in held], *([e[i] for e in held.values()] for i in range(3))))
+        if timeout_ms is not None:
+            _due(state, now, (t + timeout_ms for _, t, waits in held.values() if waits))
         yield pd.DataFrame(out, columns=["batcher", "batch_key", "batch_no", "n", "lo", "hi"])
 
     schema = "batcher string, batch_key string, batch_no long, n long, lo long, hi long"
+    kept = "batchers array<string>, batch_keys array<string>, numbers array<long>, since array<long>, waiting array<array<long>>"
     timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return messages.select("batcher", "batch_key", "seq").groupBy("batcher", "batch_key").applyInPandasWithState(step, schema, "number long, waiting array<long>", "append", timeout)
+    return _bucketed(messages.select("batcher", "batch_key", "seq")).groupBy("bucket").applyInPandasWithState(step, schema, kept, "append", timeout)
 
 
 def _judged(texts: list[str], batcher: str, handlers: dict[str, Handler]) -> list[tuple]:
@@ -291,9 +301,6 @@ def flushed(spark: SparkSession, checkpoint: str, handlers: dict[str, Handler])
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Batches that a stopped stream of :func:`batches` still held: the flush at shutdown, read from the state itself."""
     state = spark.read.format("statestore").load(checkpoint)
-    held = F.col("value.groupState.waiting")
-    key = state.schema["key"].dataType.names
-    return state.where(F.size(held) > 0).select(
-        F.col(f"key.{key[0]}").alias("batcher"), F.col(f"key.{key[1]}").alias("batch_key"), F.col("value.groupState.number").alias("batch_no"),
-        F.size(held).cast("long").alias("n"), F.array_min(held).alias("lo"), F.array_max(held).alias("hi"),
-    )
+    kept = [F.col(f"value.groupState.{name}") for name in ("batchers", "batch_keys", "numbers", "waiting")]
+    held = state.select(F.inline(F.arrays_zip(*kept)).alias("batcher", "batch_key", "batch_no", "held")).where(F.size("held") > 0)
+    return held.select("batcher", "batch_key", "batch_no", F.size("held").cast("long").alias("n"), F.array_min("held").alias("lo"), F.array_max("held").alias("hi"))
