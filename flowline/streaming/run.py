@@ -57,6 +57,14 @@ def read_log(spark: SparkSession, path: str, schema, files: int = FILES_PER_TRIG
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def share(spark: SparkSession, path: str, batches: int, least: int = FILES_PER_TRIGGER) -> int:
+    """Files of a micro-batch, ``least`` at least, with which all files that the log has now are read in ``batches`` micro-batches at most, however many there are.
+
+    For streams whose state is touched as a whole by any part of the log, so that it isn't read and written more often as the log grows, and whose tasks hold no more for a longer micro-batch.
+    """
+    return max(least, -(-len(spark.read.parquet(path).inputFiles()) // batches))
+
+
 def write_log(df: DataFrame, path: str, files: int = 4) -> None:
     """Appends messages to a log folder, in ``files`` ranges of seq, and each range in files of a bounded number of rows, so that what is read for a part of the log doesn't grow with it."""
     df.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)

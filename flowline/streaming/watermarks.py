@@ -1,7 +1,8 @@
 """Low watermarks as a stream: how far acknowledgements reach without a gap, whatever order they come in (AGG-3 to AGG-5, JOIN-6, SNK-2).
 
 What is to be acknowledged has positions 0, 1, 2, ... within a name: the rows of a table's scan, or the changes emitted for a slot. An acknowledgement covers
-positions [low, high), and may come more than once. State holds the acknowledged stretches, neighbours being one, so it grows with the gaps and not with what is done.
+positions [low, high), and may come more than once. State holds the acknowledged stretches, neighbours being one, so it grows with the gaps and not with what is done,
+and by a bit for each position around them at most.
 
 A name's positions are dealt to lanes by blocks in turn, so that one with a third of all acknowledgements is followed by as many tasks as there are lanes. Each lane tells the
 first position that it misses, and the least of these is where the name stands. Chunk ends and LSNs up to there are safe to resume from; the greatest acknowledged
@@ -14,16 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ACKS = "name string, low long, high long"
 REACHED = "name string, lane int, missing long, gaps long"
+GATHERED = "name string, lane int, stretches binary"
 
 #: Positions of one block, and lanes to which blocks are dealt; both stay the same for one checkpoint.
 BLOCK, LANES = 4096, 8
 #: Places of a lane whose stretches are one entry of its state, and acknowledgements that are sorted at once at least.
 CELL, ROWS = 1024, 100_000
+#: Cells whose bits are spread out at once, and stretches of a lane that are one row of GATHERED at most.
+SPREAD, ROW = 4096, 128
+#: An entry of the state: how many stretches begin in the cell, the first one, where the last one ends, and, if they are several, a bit for each place of the cell, set where one covers it.
+ENTRY = "n int, low long, high long, reach long, bits binary"
 
 
 def laned(acks: DataFrame, block: int, lanes: int) -> DataFrame:
@@ -49,37 +56,95 @@ def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], reach[np.append(first[1:], len(low))[: len(first)] - 1]
 
 
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """GATHERED of acknowledgements by lane: those of a batch are joined, and many go to their lane as one row, as Spark hands over rows of stateful Python one by one."""
+    for part in parts:
+        name = part.column("name").dictionary_encode()
+        lane, low, high = (part.column(c).to_numpy() for c in ("lane", "low", "high"))
+        order = np.lexsort((low, lane, name.indices.to_numpy()))
+        of, lane, low, high = name.indices.to_numpy()[order], lane[order], low[order], high[order]
+        ends = np.flatnonzero((np.diff(of) != 0) | (np.diff(lane) != 0)) + 1
+        at, rows = [], []
+        for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), len(of)] if len(of) else []):
+            lows, highs = joined(low[begin:end], high[begin:end])
+            for k in range(0, len(lows), ROW):
+                at.append(begin)
+                rows.append(np.concatenate([lows[k : k + ROW], highs[k : k + ROW]]).astype("<i8").tobytes())
+        at = np.array(at, np.int64)
+        yield pa.RecordBatch.from_arrays([name.dictionary.take(pa.array(of[at])), pa.array(lane[at]), pa.array(rows, pa.binary())], ["name", "lane", "stretches"])
+
+
+def spread(rows: pd.Series) -> np.ndarray:
+    """Both ends of the stretches of GATHERED rows, as two lines."""
+    return np.concatenate([np.empty((2, 0), np.int64), *[np.frombuffer(r, "<i8").reshape(2, -1) for r in rows]], axis=1)
+
+
+def packed(low: np.ndarray, high: np.ndarray) -> dict[int, tuple]:
+    """{cell: ENTRY} of disjoint stretches by low, none touching the next."""
+    cells, at, n = np.unique(low // CELL, return_index=True, return_counts=True)
+    several, own = np.flatnonzero(n > 1), np.repeat(n > 1, n)
+    lows, highs, ends = low[own], high[own], np.append(0, np.cumsum(n[several]))
+    bits: list[bytes | None] = [None] * len(cells)
+    for k in range(0, len(several), SPREAD):
+        part = several[k : k + SPREAD]
+        of, row = slice(ends[k], ends[k + len(part)]), np.repeat(np.arange(len(part)), n[part])
+        edge = np.zeros((len(part), CELL + 1), np.int8)
+        edge[row, lows[of] % CELL] = 1
+        edge[row, np.minimum(highs[of] - lows[of] // CELL * CELL, CELL)] = -1
+        for cell, line in zip(part.tolist(), np.packbits(np.cumsum(edge[:, :CELL], axis=1, dtype=np.int8), axis=1)):
+            bits[cell] = line.tobytes()
+    return dict(zip(cells.tolist(), zip(n.tolist(), low[at].tolist(), high[at].tolist(), high[at + n - 1].tolist(), bits)))
+
+
+def unpacked(entries: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``packed`` entries, by low."""
+    one = [e for e in entries.values() if e[4] is None]
+    several = [cell for cell, e in entries.items() if e[4] is not None]
+    lows, highs = [np.array([e[1] for e in one], np.int64)], [np.array([e[2] for e in one], np.int64)]
+    for k in range(0, len(several), SPREAD):
+        part = several[k : k + SPREAD]
+        line = np.frombuffer(b"".join(entries[cell][4] for cell in part), np.uint8).reshape(len(part), CELL // 8)
+        edge = np.diff(np.unpackbits(line, axis=1).view(np.int8), axis=1, prepend=0, append=0).astype(np.int8)
+        row, first = np.nonzero(edge == 1)
+        start = np.array(part, np.int64)[row] * CELL
+        end = start + np.nonzero(edge == -1)[1]
+        end[np.append(np.flatnonzero(np.diff(row)), len(row) - 1)] = [entries[cell][3] for cell in part]
+        lows.append(start + first)
+        highs.append(end)
+    low, high = np.concatenate(lows), np.concatenate(highs)
+    order = np.argsort(low, kind="stable")
+    return low[order], high[order]
+
+
 class Tracker(StatefulProcessor):
-    """Keeps the acknowledged stretches of one lane, those that begin in one cell of ``CELL`` positions as one map entry; a micro-batch writes the entries that it changes."""
+    """Keeps the acknowledged stretches of one lane, those that begin in one cell of ``CELL`` positions as one entry of a list.
+
+    An entry takes a bit for each place of its cell at most, however many gaps it has, and a lane's list is read and written at once: a call of Spark's for each
+    entry that changed took ten times as long, and acknowledgements out of order change most.
+    """
 
     def __init__(self, block: int, lanes: int):
         self.block, self.lanes = block, lanes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getMapState("done", "cell long", "lows array<long>, highs array<long>")
+        self.done = handle.getListState("done", f"cell long, {ENTRY}")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = {cell[0]: (np.array(lows, np.int64), np.array(highs, np.int64)) for cell, (lows, highs) in self.done.iterator()} if self.done.exists() else {}
-        none = np.empty(0, np.int64)
-        old = [np.concatenate([none, *[h[k] for h in held.values()]]) for k in (0, 1)]
-        low, high, fresh, n = *joined(*old), [], 0
+        held = {cell: (*e[:4], e[4] and bytes(e[4])) for cell, *e in self.done.get()} if self.done.exists() else {}
+        low, high, fresh, n = *unpacked(held), [], 0
         for part in rows:  # what has come is joined to what is known whenever it is as much, so that each stretch is sorted few times
-            fresh.append((part["low"].to_numpy(np.int64), part["high"].to_numpy(np.int64)))
-            n += len(part)
+            fresh.append(spread(part["stretches"]))
+            n += fresh[-1].shape[1]
             if n > max(len(low), ROWS):
                 low, high = joined(np.concatenate([low, *[f[0] for f in fresh]]), np.concatenate([high, *[f[1] for f in fresh]]))
                 fresh, n = [], 0
         low, high = joined(np.concatenate([low, *[f[0] for f in fresh]]), np.concatenate([high, *[f[1] for f in fresh]]))
-        cells, at = np.unique(low // CELL, return_index=True)
-        new = dict(zip(cells.tolist(), zip(np.split(low, at[1:]), np.split(high, at[1:])))) if len(cells) else {}
-        for cell in held.keys() - new.keys():
-            self.done.removeKey((cell,))
-        for cell, (lows, highs) in new.items():
-            if cell not in held or not (np.array_equal(held[cell][0], lows) and np.array_equal(held[cell][1], highs)):
-                self.done.updateValue((cell,), (lows.tolist(), highs.tolist()))
+        new = packed(low, high)
+        if new != held:
+            self.done.put([(cell, *entry) for cell, entry in new.items()])
         name, lane = key
         begun = bool(len(low)) and low[0] == 0
         place = int(high[0]) if begun else 0
@@ -89,7 +154,7 @@ class Tracker(StatefulProcessor):
 
 def tracked(acks: DataFrame, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
     """REACHED of a stream of ACKS: for each lane with news, the first position it misses and the stretches beyond that are acknowledged."""
-    return laned(acks, block, lanes).groupBy("name", "lane").transformWithStateInPandas(Tracker(block, lanes), REACHED, "update", "none")
+    return laned(acks, block, lanes).mapInArrow(gathered, GATHERED).groupBy("name", "lane").transformWithStateInPandas(Tracker(block, lanes), REACHED, "update", "none")
 
 
 def reached(told: DataFrame, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
@@ -106,8 +171,8 @@ def reached(told: DataFrame, block: int = BLOCK, lanes: int = LANES) -> DataFram
 def kept(spark: SparkSession, checkpoint: str, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
     """REACHED as a stopped stream's state has it."""
     state = spark.read.format("statestore").option("stateVarName", "done").load(checkpoint)
-    lows, highs = F.col("user_map_value.lows"), F.col("user_map_value.highs")
-    each = state.select(F.col("key.name").alias("name"), F.col("key.lane").alias("lane"), F.when(lows[0] == 0, highs[0]).alias("_first"), F.size(lows).cast("long").alias("_n"))
+    first = F.when(F.col("list_element.low") == 0, F.col("list_element.high"))
+    each = state.select(F.col("key.name").alias("name"), F.col("key.lane").alias("lane"), first.alias("_first"), F.col("list_element.n").cast("long").alias("_n"))
     found = each.groupBy("name", "lane").agg(F.coalesce(F.max("_first"), F.lit(0)).alias("_place"), (F.sum("_n") - F.count("_first")).alias("gaps"))
     missing = (F.expr(f"_place div {block}") * lanes + F.col("lane")) * block + F.col("_place") % block
     return found.select("name", "lane", missing.cast("long").alias("missing"), "gaps")
